@@ -26,18 +26,20 @@ BUCKETS = 1 << 15
 #: The matrix has at most this many languages; beyond it fit() raises.
 MAX_LANGUAGES = 512
 _LETTER = re.compile(r"[^\W\d_]")
-_PLAIN = {c: " " for c in range(128) if not chr(c).isalpha()}
+#: What a character below U+0080 counts as: itself for a letter, else a space.
+_PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
 def grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Bucket of every n-gram (n = 1, 2, 3) of a text."""
-    c = np.frombuffer(f" {text.lower().translate(_PLAIN)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Bucket of every n-gram (n = 1, 2, 3) of a text; buckets is a power of two."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(c < 128, _PLAIN[c & np.uint32(127)], c)
     one = (c + np.uint32(1)) * _MULT[0]
     two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * _MULT[1] + c[1:]
     three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * _MULT[2] + c[2:]
     h = np.concatenate([one, two * _MULT[0], three * _MULT[0]])
-    return ((h ^ (h >> np.uint32(16))) % np.uint32(buckets)).astype(np.int32)
+    return ((h ^ (h >> np.uint32(16))) & np.uint32(buckets - 1)).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -67,14 +69,21 @@ def fit(docs: DataFrame, train_fold=None, buckets: int = BUCKETS, smoothing: flo
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
+        waiting: dict[str, list] = {}
+
+        def add(lang: str) -> None:
+            total[lang] += np.bincount(np.concatenate(waiting.pop(lang)), minlength=buckets)
+
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"]):
-                if lang not in total:
-                    total[lang] = np.zeros(buckets, np.int64)
+                total.setdefault(lang, np.zeros(buckets, np.int64))
                 if _LETTER.search(text):
-                    total[lang] += np.bincount(grams(text, buckets), minlength=buckets)
-                else:
-                    continue
+                    held = waiting.setdefault(lang, [])
+                    held.append(grams(text, buckets))
+                    if len(held) == 200:
+                        add(lang)
+        for lang in [*waiting]:
+            add(lang)
         for lang, c in total.items():
             at = np.flatnonzero(c)
             for s in range(0, len(at), 8192):

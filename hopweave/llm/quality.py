@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -22,49 +24,50 @@ from pyspark.sql import functions as F
 
 from hopweave.llm._common import crc_fold, stored
 
-#: Byte classes counted for each text, as tests on a byte's value.
-_UPPER = slice(65, 91)
-_LOWER = slice(97, 123)
-_DIGIT = slice(48, 58)
 FEATURES = (
-    "log_words", "log_mean_word", "upper", "digit", "common_punct", "other_punct", "non_ascii", "distinct_words",
-    "top_word", "repeat_next", "distinct_lines", "log_line", "short_words", "capital_starts", "symbol_ends", "stop_ends",
+    "log_words", "log_mean_word", "log_line", "upper", "digit", "common_punct", "other_punct", "non_ascii", "distinct_words",
+    "top_word", "repeat_next", "distinct_lines", "short_words", "capital_starts", "symbol_ends", "stop_ends",
 )
-_COMMON = np.frombuffer(b".,;:'\"-?()", np.uint8)
-_ALNUM = np.zeros(256, bool)
-_ALNUM[_UPPER] = _ALNUM[_LOWER] = _ALNUM[_DIGIT] = True
-_ALNUM[128:] = True
-_SPACE = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
 
 
-def _share(k: float, n: float) -> float:
-    """A share as a smoothed logit."""
-    return float(np.log((k + 0.5) / (max(n - k, 0) + 0.5 + 0.02 * n)))
+def _byte_classes() -> np.ndarray:
+    """Per byte value: white space, upper case, digit, common punctuation, other ASCII punctuation, non-ASCII."""
+    out = np.zeros((256, 6))
+    for b in range(256):
+        c = chr(b)
+        out[b] = (
+            c in " \t\n\r\x0b\x0c", "A" <= c <= "Z", "0" <= c <= "9", c in ".,;:'\"-?()",
+            b < 128 and not c.isalnum() and c not in " \t\n\r\x0b\x0c.,;:'\"-?()", b >= 128,
+        )
+    return out
+
+
+_CLASSES = _byte_classes()
+
+
+def _tallied(raw: bytes) -> np.ndarray:
+    """How many bytes there are of each class."""
+    return np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASSES
 
 
 def statistics(text: str | None) -> np.ndarray:
-    """The transformed statistics of one whole text."""
+    """The transformed statistics of one whole text: logs of means, then smoothed logits of shares."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    hist = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    n = len(raw)
     words = raw.split()
     k = len(words)
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    counts = Counter(words)
-    chars = n - int(hist[_SPACE].sum())
-    common = int(hist[_COMMON].sum())
-    plain = int(hist[_ALNUM].sum())
-    repeats = sum(map(bytes.__eq__, words, words[1:])) if k > 1 else 0
-    ends = bytes(w[-1] for w in words)
-    end_hist = np.bincount(np.frombuffer(ends, np.uint8), minlength=256)
-    starts = np.bincount(np.frombuffer(bytes(w[0] for w in words), np.uint8), minlength=256)
-    return np.array([
-        np.log1p(k), np.log1p(chars / max(k, 1)), _share(hist[_UPPER].sum(), chars), _share(hist[_DIGIT].sum(), chars),
-        _share(common, chars), _share(chars - plain - common, chars), _share(hist[128:].sum(), chars), _share(len(counts), k),
-        _share(max(counts.values(), default=0), k), _share(repeats, k), _share(len(set(lines)), len(lines)),
-        np.log1p(n / max(len(lines), 1)), _share(sum(map(2 .__ge__, map(len, words))), k), _share(starts[_UPPER].sum(), k),
-        _share(end_hist[~_ALNUM].sum() - end_hist[_COMMON].sum(), k), _share(end_hist[_COMMON].sum(), k),
-    ], np.float64)
+    lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
+    counts, sizes = Counter(words), [*map(len, words)]
+    space, upper, digit, common, other, high = _tallied(raw)
+    starts = _tallied(bytes([w[0] for w in words]))
+    ends = _tallied(bytes([w[-1] for w in words]))
+    chars = len(raw) - space
+    parts = np.array([
+        upper, digit, common, other, high, len(counts), max(counts.values(), default=0), sum(map(eq, words, islice(words, 1, None))),
+        len(set(lines)), sizes.count(1) + sizes.count(2), starts[1], ends[4], ends[3],
+    ])
+    wholes = np.array([chars] * 5 + [k] * 3 + [len(lines)] + [k] * 4)
+    shares = np.log((parts + 0.5) / (np.maximum(wholes - parts, 0) + 0.5 + 0.02 * wholes))
+    return np.concatenate([np.log1p([k, chars / max(k, 1), len(raw) / max(len(lines), 1)]), shares])
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,9 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
 from hopweave.llm.langid import op7_language
+from hopweave.llm.ngram_join import op2_ngram_join
 from hopweave.llm.quality import op5_quality
 from hopweave.llm.urlfilter import OP6_SQL, op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op5_quality, op6_url_filter, op7_language)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op5_quality, op6_url_filter, op7_language)}
 ORACLES = {"op6_url_filter": OP6_SQL}
