@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -91,3 +92,29 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
+
+
+def ranked(rows: DataFrame, group: list[str], key: list[str], name: str, per_block: int = 20_000) -> DataFrame:
+    """Number the rows of each group from 0 without gathering a group: blocks by hash, then block offsets.
+
+    ``rows`` should be a stored table: it is read twice. Ties in ``key`` are numbered in any order.
+    """
+    blocks = max(1, -(-rows.count() // per_block))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
+    offsets = sizes.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = dealt.withColumn("_row", F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*key)))
+    return within.join(offsets, [*group, "_block"]).withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_block", "_row", "_before")
+
+
+def cumulated(rows: DataFrame, size: str, key: list[str], name: str, per_block: int = 20_000) -> DataFrame:
+    """The sum of ``size`` before each row, in one fixed order of the whole (stored) table, by blocks."""
+    blocks = max(1, -(-rows.count() // per_block))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
+    all_before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_block").agg(F.sum(size).alias("_n"))
+    offsets = sizes.select("_block", F.coalesce(F.sum("_n").over(all_before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_block").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumn("_sum", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return within.join(offsets, "_block").withColumn(name, F.col("_before") + F.col("_sum")).drop("_block", "_sum", "_before")

@@ -2,8 +2,10 @@
 
 from hopweave.llm.langid import op7_language
 from hopweave.llm.ngram_join import op2_ngram_join
+from hopweave.llm.packing import op3_packing
 from hopweave.llm.quality import op5_quality
+from hopweave.llm.sharding import op8_sharding
 from hopweave.llm.urlfilter import OP6_SQL, op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op5_quality, op6_url_filter, op7_language)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_packing, op5_quality, op6_url_filter, op7_language, op8_sharding)}
 ORACLES = {"op6_url_filter": OP6_SQL}
