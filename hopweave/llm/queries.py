@@ -1,5 +1,6 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
+from hopweave.llm.bpe import op10_bpe
 from hopweave.llm.langid import op7_language
 from hopweave.llm.ngram_join import op2_ngram_join
 from hopweave.llm.packing import op3_packing
@@ -7,5 +8,5 @@ from hopweave.llm.quality import op5_quality
 from hopweave.llm.sharding import op8_sharding
 from hopweave.llm.urlfilter import OP6_SQL, op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_packing, op5_quality, op6_url_filter, op7_language, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_packing, op5_quality, op6_url_filter, op7_language, op8_sharding, op10_bpe)}
 ORACLES = {"op6_url_filter": OP6_SQL}
