@@ -51,24 +51,24 @@ final as (select word, pos, tok from last union all select word, 0, tok from kno
 select f.word, string_agg(f.tok::varchar, ' ' order by f.pos) as ids, string_agg(v.hex, '' order by f.pos) as hex
 from final f join vocab v using (tok) group by f.word
 """
-#: at is word << 16 | position; a round contracts the least (rank, position) of each word.
+#: wp is word << 16 | position; a round contracts the least (rank, position) of each word.
 _ENCODE_SHORT = (
     _KNOWN
     + """
-t(at, tok, round) as (
+t(wp, tok, round) as (
   select word::bigint << 16 | i, tok, 0 from bytes
   union all
   (
     with best as (
-      select x.at >> 16 as word, min(m.merged::bigint << 16 | (x.at & 65535)) as b
-      from t x join t y on y.at = x.at + 1 join merges m on m.pair = (x.tok::bigint << 20 | y.tok)
+      select x.wp >> 16 as word, min(m.merged::bigint << 16 | (x.wp & 65535)) as b
+      from t x join t y on y.wp = x.wp + 1 join merges m on m.pair = (x.tok::bigint << 20 | y.tok)
       group by 1
     )
-    select t.at - ((t.at & 65535) > (b & 65535))::int, case when (t.at & 65535) = (b & 65535) then (b >> 16)::int else t.tok end, t.round + 1
-    from t join best on best.word = t.at >> 16 where (t.at & 65535) <> (b & 65535) + 1
+    select t.wp - ((t.wp & 65535) > (b & 65535))::int, case when (t.wp & 65535) = (b & 65535) then (b >> 16)::int else t.tok end, t.round + 1
+    from t join best on best.word = t.wp >> 16 where (t.wp & 65535) <> (b & 65535) + 1
   )
 ),
-rounds as (select at >> 16 as word, at & 65535 as pos, tok, round from t),
+rounds as (select wp >> 16 as word, wp & 65535 as pos, tok, round from t),
 """
     + _FINISH
 )
