@@ -1,6 +1,7 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
 from hopweave.llm.bpe import op10_bpe
+from hopweave.llm.embed_dedup import op4_embed_dedup
 from hopweave.llm.html import op1_html
 from hopweave.llm.langid import op7_language
 from hopweave.llm.ngram_join import op2_ngram_join
@@ -8,6 +9,21 @@ from hopweave.llm.packing import op3_packing
 from hopweave.llm.quality import op5_quality
 from hopweave.llm.sharding import op8_sharding
 from hopweave.llm.urlfilter import OP6_SQL, op6_url_filter
+from hopweave.llm.vptree import op9_vptree
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_ngram_join, op3_packing, op5_quality, op6_url_filter, op7_language, op8_sharding, op10_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html,
+        op2_ngram_join,
+        op3_packing,
+        op4_embed_dedup,
+        op5_quality,
+        op6_url_filter,
+        op7_language,
+        op8_sharding,
+        op9_vptree,
+        op10_bpe,
+    )
+}
 ORACLES = {"op6_url_filter": OP6_SQL}
