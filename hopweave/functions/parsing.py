@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from hopweave.functions.text import SPACE, strip
 
@@ -165,7 +166,7 @@ def repaired(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_json(replies: pd.Series) -> pd.Series:
     """Arrow-batched form of repaired(), for the replies that try_parse_json can't read."""
     return replies.map(repaired, na_action="ignore")

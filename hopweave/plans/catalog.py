@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopweave.plans import text_queries
+from hopweave.plans import text_queries, vector_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-ORACLES: dict[str, str] = {**text_queries.ORACLES}
+QUERIES: dict = {**vector_queries.QUERIES, **text_queries.QUERIES}
+ORACLES: dict[str, str] = {**vector_queries.ORACLES, **text_queries.ORACLES}
