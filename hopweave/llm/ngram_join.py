@@ -217,27 +217,36 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sets = stored(docs.mapInPandas(describe, "doc_id long, n long, f1 long, f2 long, ell int, mean double, pre array<long>"), "sets")
     same = ["f1", "f2", "n"]
     groups = stored(sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")), "groups")
-    reps = stored(
-        sets.where("n > 0").join(groups, same).where("doc_id = rep").select("rep", "n", "ell", "mean", "pre"), "reps"
-    )
-    posts = reps.select("rep", "n", "ell", "mean", F.posexplode("pre").alias("pos", "tok"))
+    copies = sets.select("doc_id", *same).join(groups, same).where("doc_id <> rep").select("doc_id").distinct()
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    reps = sets.where("n > 0 and doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    reps = reps.select(F.col("doc_id").alias("rep"), "n", "ell", "mean", "pre")
+    posts = reps.select("rep", F.posexplode("pre").alias("pos", "tok"))
     shared = stored(posts.groupBy("tok").count().where("count > 1").select("tok"), "shared")
-    live = stored(posts.join(shared, "tok"), "live")
+    common = stored(posts.join(shared, "tok"), "common")
+    live = stored(common.join(reps.select("rep", "n", "ell", "mean"), "rep").distinct(), "live")
 
     hubs = stored(
-        live.groupBy("tok").agg(F.max_by(F.struct("rep", "n", "pos"), F.struct(F.col("mean"), -F.col("rep"))).alias("h")), "hubs"
+        live.groupBy("tok").agg(F.max_by(F.struct("rep", "n", "pos", "ell"), F.struct(F.col("mean"), -F.col("rep"))).alias("h")), "hubs"
     )
     near = live.join(hubs, "tok").where(F.col("rep") != F.col("h.rep")).where(_room(percent, F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
-    first = stored(near.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct(), "pairs")
+    asked = near.groupBy(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("ell", "h.ell")).alias("m"))
+    first = stored(asked.where("k >= m").select("a", "b"), "pairs")
     links = _verified(first, docs, n, percent)
     found = stored(components(links), "components")
 
+    # What is still open: postings with a partner of another component whose size leaves room at this position.
+    t = percent / 100
+    kind = lambda c: F.floor(F.log(c + 1e-9) / float(np.log(1 / t))).cast("int")
     placed = stored(
         live.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", "n", "ell", "pos", F.coalesce("label", "rep").alias("comp")),
         "placed",
     )
-    mixed = stored(placed.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok"), "mixed")
-    open_ = stored(placed.join(mixed, "tok"), "open")
+    kinds = stored(placed.groupBy("tok", kind(F.col("n")).alias("kind")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")), "kinds")
+    most = F.least(F.col("n") / t, (F.col("n") - F.col("pos")) * (1 + t) / t - F.col("n"))
+    reach = placed.withColumn("lo", kind(F.ceil(F.col("n") * t - 1e-6))).withColumn("hi", kind(F.floor(most + 1e-6))).where("hi >= lo")
+    partners = reach.withColumn("kind", F.explode(F.sequence("lo", "hi"))).join(kinds, ["tok", "kind"]).where("x <> comp or y <> comp")
+    open_ = stored(partners.select(*placed.columns).distinct(), "open")
     inner = open_.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("o")).select("rep", F.col("o.tok").alias("open"))
     rows = stored(open_.join(inner, "rep"), "rows")
     x, y = rows.alias("x"), rows.alias("y")
@@ -255,7 +264,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         found2 = stored(components(links.unionByName(more)), "components")
         dropped(found, more)
         found = found2
-    dropped(reps, shared, live, hubs, first, links, placed, mixed, open_, rows, second)
+    dropped(shared, common, live, hubs, first, links, placed, kinds, open_, rows, second)
     member = sets.select("doc_id", *same).join(groups, same, "left")
     labelled = member.join(found, member["rep"] == found["node"], "left")
     return labelled.select(
