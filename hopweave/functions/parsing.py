@@ -25,7 +25,8 @@ def confidence(c: Column) -> Column:
     """The last ``Score: x`` outside thinking blocks, clamped to [0, 1]; null without one."""
     text = F.replace(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""), F.lit("**"), F.lit(""))
     found = F.regexp_extract_all(text, F.lit(rf"(?i)Score:[{SPACE}]*(\d+(?:\.\d+)?)"), 1)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_element_at(found, F.lit(-1)).cast("double")))
+    score = F.try_element_at(found, F.lit(-1)).cast("double")
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
 def needs_retrieval(score: Column, threshold: float = 0.9) -> Column:

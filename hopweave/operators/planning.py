@@ -95,52 +95,39 @@ def aliases(id_: Column) -> Column:
     return F.array_distinct(F.array(id_, F.regexp_replace(id_, r"^sub_(\d+)\z", "Q$1"), F.regexp_replace(id_, r"^Q(\d+)\z", "sub_$1")))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest-path level of each node: nodes (graph, id), edges (graph, id, depends_on); level -1 for nodes on or behind a cycle.
 
-    One recursive query over all graphs at once. Dependencies on unknown ids are ignored. A graph is a
-    question's chain, so its depth is small; deeper than ``most`` counts as a cycle.
+    Nodes without open dependencies are peeled off, round by round, inside one row per graph: a graph is one
+    question's handful of sub-questions, and all graphs are dealt over the cluster by one shuffle. Dependencies
+    on unknown ids are ignored.
     """
-    spark = nodes.sparkSession
-    known = edges.join(nodes.select("graph", F.col("id").alias("depends_on")), ["graph", "depends_on"], "left_semi").join(nodes, ["graph", "id"], "left_semi")
-    roots = nodes.join(known, ["graph", "id"], "left_anti")
-    spark_roots, spark_edges = f"hw_roots_{id(nodes)}", f"hw_edges_{id(edges)}"
-    roots.createOrReplaceTempView(spark_roots)
-    known.createOrReplaceTempView(spark_edges)
-    walk = spark.sql(
-        f"with recursive walk(graph, id, level) max recursion level {most + 2} as ("
-        f" select graph, id, 0 from {spark_roots} union all"
-        f" select e.graph, e.id, w.level + 1 from walk w join {spark_edges} e on e.graph = w.graph and e.depends_on = w.id where w.level < {most})"
-        " select graph, id, max(level) as level from walk group by graph, id"
-    )
-    stuck = cyclic(nodes, known, most)
-    found = nodes.join(walk, ["graph", "id"], "left").join(stuck.withColumn("stuck", F.lit(True)), ["graph", "id"], "left")
-    return found.select("graph", "id", F.when(F.col("stuck") | F.col("level").isNull(), -1).otherwise(F.col("level")).alias("level"))
+    deps = edges.groupBy("graph", "id").agg(F.collect_set("depends_on").alias("deps"))
+    full = nodes.distinct().join(deps, ["graph", "id"], "left")
+    row = full.groupBy("graph").agg(F.collect_list(F.struct("id", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))).alias("nodes"))
+    ids = F.transform("nodes", lambda x: x["id"])
+    start = F.array().cast("array<struct<id:string,level:int>>")
 
+    def peel(done, i):
+        have = F.transform(done, lambda d: d["id"])
+        free = F.filter("nodes", lambda x: ~F.array_contains(have, x["id"]) & F.forall(F.array_intersect(x["deps"], ids), lambda d: F.array_contains(have, d)))
+        return F.concat(done, F.transform(free, lambda x: F.struct(x["id"].alias("id"), i.alias("level"))))
 
-def cyclic(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes (graph, id) that depend on a cycle: what peeling off nodes without open dependencies leaves."""
-    reach = _reach(edges, most)
-    on_cycle = reach.where("id = target").select("graph", F.col("id").alias("target"))
-    behind = reach.join(on_cycle, ["graph", "target"], "left_semi").select("graph", "id").distinct()
-    return behind
+    placed = row.select("graph", ids.alias("ids"), F.aggregate(F.sequence(F.lit(0), F.size("nodes") - 1), start, peel).alias("placed"))
+    level = lambda i: F.coalesce(F.try_element_at(F.filter("placed", lambda d: d["id"] == i), F.lit(1))["level"], F.lit(-1))
+    return placed.select("graph", F.explode(F.transform("ids", lambda i: F.struct(i.alias("id"), level(i).alias("level")))).alias("n")).select("graph", "n.id", "n.level")
 
 
-def _reach(edges: DataFrame, most: int) -> DataFrame:
-    """Transitive closure within each graph by doubling; graphs are chains of a few sub-questions."""
-    paths = edges.select("graph", "id", F.col("depends_on").alias("target")).distinct()
-    span = 1
-    while span < most:
-        longer = paths.alias("x").join(paths.alias("y"), (F.col("x.graph") == F.col("y.graph")) & (F.col("x.target") == F.col("y.id"))).select("x.graph", "x.id", "y.target")
-        paths, span = paths.unionByName(longer).distinct(), span * 2
-    return paths
+def cyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (graph, id) on a cycle or behind one."""
+    return levels(nodes, edges).where("level < 0").select("graph", "id")
 
 
-def review(subs: DataFrame, most: int = 64) -> DataFrame:
+def review(subs: DataFrame) -> DataFrame:
     """Approve or reject each question's sub-questions: rows (question_id, id, depends_on) -> (question_id, status, reason, n)."""
     nodes = subs.select(F.col("question_id").alias("graph"), "id")
     edges = subs.select(F.col("question_id").alias("graph"), "id", F.explode("depends_on").alias("depends_on"))
-    loops = cyclic(nodes, edges, most).select(F.col("graph").alias("question_id")).distinct().withColumn("loop", F.lit(True))
+    loops = cyclic(nodes, edges).select(F.col("graph").alias("question_id")).distinct().withColumn("loop", F.lit(True))
     n = subs.groupBy("question_id").agg(F.count_if(F.col("id").isNotNull()).alias("n"))
     reason = F.when(F.col("n") == 0, "subquery_count").when(F.col("loop"), "circular_dependency")
     return n.join(loops, "question_id", "left").select("question_id", F.when(reason.isNull(), "approved").otherwise("rejected").alias("status"), reason.alias("reason"), "n")
