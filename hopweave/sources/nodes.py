@@ -54,7 +54,8 @@ def scan_nodes(spark: SparkSession, folder: str, data_root: str | None = None) -
     node = raw.where("v is not null").select("path", F.explode(items).alias("n")).where(F.startswith(F.schema_of_variant("n"), F.lit("OBJECT")))
     get = lambda p, t="string": F.try_variant_get("n", p, t)
     path = lambda p: rewrite_path(first_of(get(f"$.{p}"), get(f"$.metadata.{p}")), data_root) if data_root else first_of(get(f"$.{p}"), get(f"$.metadata.{p}"))
-    vector = lambda p: F.coalesce(get(f"$.{p}", "array<float>"), F.flatten(get(f"$.{p}", "array<array<float>>")))
+    nested = lambda p: F.startswith(F.schema_of_variant(get(f"$.{p}", "variant")), F.lit("ARRAY<ARRAY"))
+    vector = lambda p: F.when(nested(p), F.flatten(get(f"$.{p}", "array<array<float>>"))).otherwise(get(f"$.{p}", "array<float>"))
     image = first_of(path("image_path"), get("$.image_resource.path"))
     rows = node.select(
         first_of(get("$.id"), get("$.metadata.id"), stem(F.col("path"))).alias("id"), F.coalesce(first_of(get("$.text"), get("$.content")), F.lit("")).alias("text"),
