@@ -18,6 +18,8 @@ other; rows that repeat are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -30,33 +32,87 @@ from hopweave.llm._common import cumulated, ranked, stored
 CAPACITY = 4096
 CLASSES = 256
 RESERVE = 32
-_ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Characters of text encoded at once, and words remembered by a worker.
+SLICE = 2_000_000
+REMEMBERED = 400_000
+_ODD_SPACES = re.compile("[\x1c-\x1f]")
+#: Beyond these, lower case and composition depend on more than the single character.
+_BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 
-class WordEncoder(dict):
-    """Ids of each word as little-endian bytes; white space never joins two words in this vocabulary."""
+class WordEncoder:
+    """Ids of whole texts as little-endian bytes, by words: in this vocabulary no token spans white space.
+
+    New words of a slice that are only letters go to the tokenizer as one text, as each ends in exactly one
+    token that closes a word; other new words go one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 300_000:
-            self.clear()
-        ids = self[word] = self.whole(word)
-        return ids
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in _ODD_SPACES):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words made of letters only."""
+        out: list[bytes] = []
+        for s in range(0, len(words), 20_000):
+            part = words[s : s + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                out += map(self.whole, part)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    def learned(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of new words; a mark at the end of a word of letters is a token of its own."""
+        ends = {w: (w[:-1], w[-1]) for w in new if w[-1] in ".,;:!?" and w[:-1].isalpha()}
+        cores = sorted({c for c, _ in ends.values() if c not in self.known} | {w for w in new if w.isalpha()})
+        got = dict(zip(cores, self._letters(cores)))
+        marks = {m: self.whole(m) for m in {m for _, m in ends.values()}}
+        for w in new:
+            if w in ends:
+                core, mark = ends[w]
+                got[w] = (got.get(core) or self.known[core]) + marks[mark]
+            elif w not in got:
+                got[w] = self.whole(w)
+        return got
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, in slices of bounded size."""
+        out: list[bytes] = []
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= SLICE:
+                out += self._slice(held)
+                held, size = [], 0
+        return out + self._slice(held)
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        split = [None if _ODD_SPACES.search(t) else (t if _BEYOND.search(t) else t.lower()).split() for t in texts]
+        new = set().union(*(w for w in split if w)) - self.known.keys()
+        fresh = self.learned(new)
+        self.known.update(fresh)
+        get = self.known.__getitem__
+        out = [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+        if len(self.known) > REMEMBERED:  # what came first is the most frequent; the newest go again
+            for w in fresh:
+                self.known.pop(w, None)
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -76,8 +132,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
         enc = encoder(tokenizer)
         for pdf in batches:
             rows = []
-            for doc_id, text, stock in zip(pdf["doc_id"], pdf["text"], pdf["stock"]):
-                ids = enc.ids(text) + end
+            for doc_id, ids, stock in zip(pdf["doc_id"], enc.ids([t or "" for t in pdf["text"]]), pdf["stock"]):
+                ids += end
                 n = len(ids) // 4
                 if stock:
                     rows.append((doc_id, 0, n, 0, n, ids))
