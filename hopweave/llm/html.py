@@ -3,7 +3,8 @@
 Each page becomes a tree of elements. Pages of the same host and shape class (the sequence of elements
 below the body) are folded into one wrapper: the wrapper's tree is aligned with the page's by simple
 tree matching (the largest matching of equally labelled nodes that keeps order), matched nodes stay, and
-a node whose own text was the same on every page so far is constant, else a varying slot. A wrapper also
+a block whose own text (inline elements included) was the same on every page so far is constant, else a
+varying slot. A wrapper also
 keeps the hashes of a few distinct main texts. Wrappers fold page by page inside a partition and then
 wrapper by wrapper (in two levels) across partitions, so a host of any size is never gathered, and all
 pages take part.
@@ -73,8 +74,18 @@ class Node:
         self.children: list[Node] = []
         self.parts: list[tuple[int, str]] = []
 
+    def nodes(self) -> list[Node]:
+        """The children that wrappers know: blocks, and inline elements around blocks."""
+        return [c for c in self.children if c.tag in _BLOCK or c.nodes()]
+
     def own(self) -> str:
-        return " ".join(" ".join(p for _, p in self.parts).split())
+        """The text outside those, inline elements included."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            out += [p for _, p in node.parts]
+            todo += [c for c in node.children if c.tag not in _RAW and c.tag not in _BLOCK and not c.nodes()]
+        return " ".join(" ".join(out).split())
 
 
 def parsed(page: str) -> Node:
@@ -217,7 +228,7 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
             blocks.append(line)
         run.clear()
 
-    def visit(node: Node, top: bool) -> None:
+    def visit(node: Node, top: bool, muted: bool) -> None:
         if not top and noisy(node, True):
             run.append(" ")
             return
@@ -227,13 +238,13 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
         if node.tag == "br":
             run.append(" ")
         parts, k = node.parts, 0
-        own = id(node) not in template
+        own = not (id(node) in template or muted and not block)
         for i, child in enumerate(node.children):
             while k < len(parts) and parts[k][0] <= i:
                 if own:
                     run.append(parts[k][1])
                 k += 1
-            visit(child, False)
+            visit(child, False, not own)
         for _, t in parts[k:]:
             if own:
                 run.append(t)
@@ -241,7 +252,7 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
             close()
 
     for r in regions(root):
-        visit(r, True)
+        visit(r, True, False)
         close()
     return "\n".join(blocks)
 
@@ -251,7 +262,7 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
 
 def as_wrapper(node: Node) -> list:
     own = node.own()
-    return [node.label, zlib.crc32(own.encode("utf-8", "surrogatepass")) | 1 << 33 if own else 0, [as_wrapper(c) for c in node.children if c.tag not in ("script", "style", "br")]]
+    return [node.label, zlib.crc32(own.encode("utf-8", "surrogatepass")) | 1 << 33 if own else 0, [as_wrapper(c) for c in node.nodes()]]
 
 
 class Matcher:
@@ -319,7 +330,7 @@ class Matcher:
         """Collect the page's nodes that match constant nodes of the wrapper with the same text."""
         if a[1] and a[1] == b[1]:
             out.add(id(node))
-        kids = [c for c in node.children if c.tag not in ("script", "style", "br")]
+        kids = node.nodes()
         for i, j in self.pairs(a, sa, b, sb):
             self.constants(a[2][i], sa[1][i], kids[j], b[2][j], sb[1][j], out)
 
