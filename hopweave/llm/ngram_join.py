@@ -243,7 +243,8 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         "placed",
     )
     kinds = stored(placed.groupBy("tok", kind(F.col("n")).alias("kind")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")), "kinds")
-    most = F.least(F.col("n") / t, (F.col("n") - F.col("pos")) * (1 + t) / t - F.col("n"))
+    # Up to ell - 1 shared shingles may lie before this one and count in the overlap.
+    most = F.least(F.col("n") / t, (F.col("n") - F.greatest(F.col("pos") - F.col("ell") + 1, F.lit(0))) * (1 + t) / t - F.col("n"))
     reach = placed.withColumn("lo", kind(F.ceil(F.col("n") * t - 1e-6))).withColumn("hi", kind(F.floor(most + 1e-6))).where("hi >= lo")
     partners = reach.withColumn("kind", F.explode(F.sequence("lo", "hi"))).join(kinds, ["tok", "kind"]).where("x <> comp or y <> comp")
     open_ = stored(partners.select(*placed.columns).distinct(), "open")
