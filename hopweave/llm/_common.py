@@ -15,14 +15,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+#: The folder made for a local session that names none, by application.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The shared folder: the session's ``spark.checkpoint.dir``, or a temporary one where a local session has none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="hopweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="hopweave-")
+        _local[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
