@@ -165,3 +165,21 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: str, columns
     """Left join with the first matching row of the right side, by ``order``."""
     firsts = right.groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in columns))
     return left.join(firsts, key, "left")
+
+
+def add_one(store: DataFrame, node: DataFrame, column: str, d: int) -> DataFrame:
+    """Append single nodes: those of another dimension are dropped, those off the unit length are normalised."""
+    right = of_dimension(node, column, d)
+    kind = store.schema[column].dataType
+    fixed = F.when(F.abs(norm(F.col(column)) - 1) > 1e-4, normalize_query(F.col(column)).cast(kind)).otherwise(F.col(column))
+    return store.unionByName(right.withColumn(column, fixed))
+
+
+def cleared(store: DataFrame) -> DataFrame:
+    """An empty store of the same shape."""
+    return store.limit(0)
+
+
+def store_size(store: DataFrame, column: str) -> int:
+    """The number of searchable nodes: those that have a vector."""
+    return store.where(F.col(column).isNotNull()).count()

@@ -382,3 +382,56 @@ def x_region_rollup(spark, sf_dir):
     c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return j.rollup("r_name", "n_name").agg(F.count("*").alias("customers"), F.round(F.avg("c_acctbal"), 4).alias("balance")).select("n_name", "r_name", "customers", "balance")
+
+
+def _json(*parts):
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+@query(
+    f"""select conv_id, turn, case when turn % 3 = 2 then least(turn, 2)::int + 1 else 2 end as modality, case when turn % 3 = 2 then hops else 3 end as hops, (turn % 2 = 0)::int as need, case when turn % 2 = 0 then 'Multi_Agent' else 'Direct_Gen' end as routing from ({_HOPS})"""
+)
+def plan_replies(spark, sf_dir):
+    """Planner replies that are JSON, fenced with single quotes, or unreadable (then the rules decide)."""
+    from hopweave.operators import replies
+
+    k = F.col("turn") % 3
+    good = F.lit('{"score": {"modality_complexity": 2, "multi_hop_complexity": "3"}}')
+    reply = F.when(k == 0, good).when(k == 1, F.lit("```json\n{'modality_complexity': 2, 'multi_hop_complexity': 3,}\n```")).otherwise(F.lit("no plan"))
+    images = F.when(F.col("turn") > 0, F.array_repeat(F.lit("x.png"), F.col("turn").cast("int")))
+    s = replies.planned(reply, F.col("q"), images, F.when(F.col("turn") % 2 == 0, 0.2).otherwise(0.95))
+    return _questions(spark, sf_dir).select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", F.col("s.modality_complexity").cast("int").alias("modality"), F.col("s.multi_hop_complexity").alias("hops"), F.col("s.retrieval_necessity").alias("need"), F.col("s.routing_decision").alias("routing"))
+
+
+@query("select conv_id as question_id, 1::bigint as pos, 'first ' || conv_id as question from conversations group by conv_id union all select conv_id, 2, 'second based on [Answer from Q1]' from conversations group by conv_id")
+def decompose_replies(spark, sf_dir):
+    """Decomposer replies under different keys, as objects or strings."""
+    from hopweave.operators import replies
+
+    c = _turns(spark, sf_dir).select(F.col("conv_id").alias("question_id")).distinct()
+    id_ = F.col("question_id").cast("string")
+    reply = F.when(F.col("question_id") % 2 == 0, _json('{"sub_questions": [], "questions": ["first ', id_, '", "", "second"]}')).otherwise(_json('note {"subqueries": [{"text": "first ', id_, '"}, {"question": "second"}]} end'))
+    return planning.normalise_subquestions(replies.decomposed(c.select("question_id", reply.alias("reply"), F.lit("bridge_processing").alias("routing")))).select("question_id", "pos", "question")
+
+
+@query("select conv_id as question_id, 1::bigint as pos, case when conv_id % 2 = 0 then 'new' else 'old 1' end as question from conversations group by conv_id union all select conv_id, 2, case when conv_id % 2 = 0 then 'Based on [Answer from Q1], newer' else 'old 2' end from conversations group by conv_id")
+def review_replies(spark, sf_dir):
+    """Reviews that refine a chain and lose its reference, or can't be read."""
+    from hopweave.operators import replies
+
+    c = _turns(spark, sf_dir).select(F.col("conv_id").alias("question_id")).distinct()
+    raw = c.select("question_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("pos")).select("question_id", F.col("pos").cast("long").alias("pos"), F.concat(F.lit("old "), "pos").alias("question"), F.when(F.col("pos") == 2, "Bridging").otherwise("Independent").alias("type"), F.when(F.col("pos") == 2, F.array(F.lit("sub_1"))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    reply = F.when(F.col("question_id") % 2 == 0, '{"refined_subqueries": [{"question": "new"}, {"question": "newer"}]}').otherwise("looks fine")
+    return replies.refined(raw, c.select("question_id", reply.alias("reply"))).select("question_id", "pos", "question")
+
+
+@query("select doc_id, case doc_id % 3 when 0 then 'f' || doc_id when 1 then 'i' || doc_id else source end as source, case doc_id % 3 when 0 then text when 1 then 'd' else 'Source: ' || source end as shown, case doc_id % 3 when 2 then '' else 'a' end as kept from documents")
+def hit_projection(spark, sf_dir):
+    """Source and text of hits by their chains of fallbacks, and metadata without vectors."""
+    from hopweave.operators import replies
+
+    k, d = F.col("doc_id") % 3, read(spark, sf_dir, "documents")
+    raw = F.when(k == 0, _json('{"file_name": "f', F.col("doc_id").cast("string"), '", "a": 1, "vector": [1]}')).when(k == 1, _json('{"id": "i', F.col("doc_id").cast("string"), '", "description": "d", "a": 2}')).otherwise("{}")
+    m = d.withColumn("m", F.try_parse_json(raw)).withColumn("t", F.when(k == 0, F.col("text")).otherwise(""))
+    keys = F.array_join(F.filter(F.map_keys(replies.without_vectors(F.col("m"))), lambda x: x.isin("a", "vector")), ",")
+    return m.select("doc_id", replies.hit_source(F.col("m"), F.col("source")).alias("source"), replies.hit_text(F.col("t"), F.col("m"), F.col("source")).alias("shown"), keys.alias("kept"))

@@ -198,3 +198,8 @@ def rejects(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     missing = F.array_compact(F.array(*(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in required)))
     tagged = df.withColumn("missing", missing)
     return tagged.where("size(missing) = 0").drop("missing"), tagged.where("size(missing) > 0")
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Similarity records as JSON, replacing what was there."""
+    records.write.mode("overwrite").json(path)

@@ -47,7 +47,7 @@ CASES = [
     ("clean3", text.clean, None, ""),
     ("tok", text.tokens, "The cat, the Hat", ["The", "cat", "Hat"]),
     ("html", text.strip_html, "<p>a</p>", "a"),
-    ("wide", text.normalize, "Ａ１， ｂ…", "A1，b..." if False else None),
+    ("wide", text.normalize, "Ａ１  “ｂ”… 《c》", 'A1 "b"... <c>'),
     ("json1", parsing.json_text, '{"text": "a"}', "a"),
     ("json2", parsing.json_text, '[{"text": "a"}, 3, {"text": "b"}]', "a b"),
     ("json3", parsing.json_text, "{broken", "{broken"),
@@ -56,7 +56,7 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("name, f, value, want", [c for c in CASES if c[0] != "wide"], ids=lambda x: x if isinstance(x, str) else "")
+@pytest.mark.parametrize("name, f, value, want", CASES, ids=lambda x: x if isinstance(x, str) else "")
 def test_golden(spark, name, f, value, want):
     assert one(spark, f(F.col("c")), value) == want
 
@@ -112,6 +112,16 @@ def test_vectors(spark):
     assert empty.count() == 0
 
 
+def test_store(spark):
+    store = spark.createDataFrame([(1, [1.0, 0.0])], "node_id long, v array<double>")
+    more = spark.createDataFrame([(2, [3.0, 4.0]), (3, [1.0])], "node_id long, v array<double>")
+    got = {r["node_id"]: r["v"] for r in vector.add_one(store, more, "v", 2).collect()}
+    assert got == {1: [1.0, 0.0], 2: [0.6, 0.8]}
+    assert vector.store_size(vector.add_batch(store, more, "v", 2), "v") == 1  # one wrong dimension rejects the batch
+    assert vector.store_size(vector.add_batch(store, more.where("node_id = 2"), "v", 2), "v") == 2
+    assert vector.store_size(vector.cleared(store), "v") == 0
+
+
 def test_average_and_hybrid(spark):
     hits = spark.createDataFrame([(1, 1, 1, "a", 0.8, 7), (1, 2, 1, "a", 0.4, 8), (1, 2, 2, "b", 0.7, 9)], "question_id long, image_seq int, rank int, text string, score double, node_id long")
     got = [(r["text"], r["score"], r["node_id"]) for r in vector.multi_vector_average(hits, 5).orderBy("rank").collect()]
