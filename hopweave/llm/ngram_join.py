@@ -37,6 +37,8 @@ SKETCH_BITS = 22
 #: Largest number of ids that is broadcast (8 MB); larger sets are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 MAX_MATCH = 3
+#: Shingles of so many documents always ask their hub, as among them listing pairs would cost most.
+LARGE = 16
 _CHUNK = 1 << 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -227,11 +229,11 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     live = stored(common.join(reps.select("rep", "n", "ell", "mean"), "rep").distinct(), "live")
 
     hubs = stored(
-        live.groupBy("tok").agg(F.max_by(F.struct("rep", "n", "pos", "ell"), F.struct(F.col("mean"), -F.col("rep"))).alias("h")), "hubs"
+        live.groupBy("tok").agg(F.max_by(F.struct("rep", "n", "pos", "ell"), F.struct(F.col("mean"), -F.col("rep"))).alias("h"), F.count("*").alias("size")), "hubs"
     )
     near = live.join(hubs, "tok").where(F.col("rep") != F.col("h.rep")).where(_room(percent, F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
-    asked = near.groupBy(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("ell", "h.ell")).alias("m"))
-    first = stored(asked.where("k >= m").select("a", "b"), "pairs")
+    asked = near.groupBy(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("ell", "h.ell")).alias("m"), F.max("size").alias("size"))
+    first = stored(asked.where((F.col("k") >= F.col("m")) | (F.col("size") >= LARGE)).select("a", "b"), "pairs")
     links = _verified(first, docs, n, percent)
     found = stored(components(links), "components")
 
