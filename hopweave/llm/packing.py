@@ -260,7 +260,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
     gaps = stored(gaps.unionByName(whole).unionByName(tail), "gaps")
     bucket = 16 * capacity
     holes = cumulated(gaps, "gap", ["sequence_id"], "g0").withColumn("g1", F.col("g0") + F.col("gap"))
-    line = cumulated(stock, "doc_tokens", ["doc_id"], "d0").withColumn("d1", F.col("d0") + F.col("doc_tokens"))
+    line = cumulated(stock, "doc_tokens", ["doc_id"], "d0", per_block=1_000).withColumn("d1", F.col("d0") + F.col("doc_tokens"))
     spread = lambda df, a, b: df.withColumn("b", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor((F.col(b) - 1) / bucket))))
     at = F.greatest("g0", "d0")
     cut = (
