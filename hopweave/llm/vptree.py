@@ -30,7 +30,7 @@ from hopweave.llm.vectors import usable
 #: Rows of a shard, queries of a block, rows of a leaf.
 SHARD_ROWS = 6_000
 BLOCK_ROWS = 3_000
-LEAF = 48
+LEAF = 256
 #: Kept beyond k while searching: the query itself, and rows whose distances differ by less than the rounding.
 SPARE = 9
 
@@ -54,21 +54,30 @@ class Tree:
         return ("node", point, float(d[order[half - 1]]), float(d[order[half]]), self._grow(inner, rng), self._grow(outer, rng))
 
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances and rows of each query's k nearest (inf, -1 where there are fewer); ties to the lower row."""
-        best = np.full((len(queries), k), np.inf)
-        rows = np.full((len(queries), k), -1)
+        """Squared distances and rows of each query's k nearest (inf, -1 where there are fewer); ties to the lower row.
+
+        A candidate is one integer: its squared distance, as a share of the largest possible one and rounded (so
+        that equal vectors are equally far whatever block they are computed in), above its row number.
+        """
         squares, lengths = (self.x**2).sum(1), (queries**2).sum(1)
+        bits = max(1, int(len(self.x)).bit_length())
+        unit = (np.sqrt(squares.max(initial=0)) + np.sqrt(lengths.max(initial=0))) ** 2 / 2.0**38 or 1.0
+        none = np.iinfo(np.int64).max
+        best = np.full((len(queries), k), none)
+
+        def radius(who: np.ndarray) -> np.ndarray:
+            edge = best[who, -1]
+            return np.where(edge == none, np.inf, ((edge >> bits) + 2) * unit)
 
         def offer(who: np.ndarray, at: np.ndarray) -> None:
-            # rounded, so that equal vectors are equally far whatever block they are computed in
-            d = np.round(np.maximum(lengths[who, None] - 2 * queries[who] @ self.x[at].T + squares[at], 0), 10)
-            better = (d <= best[who, -1][:, None]).any(1)
-            who, d = who[better], d[better]
+            d = lengths[who, None] - 2 * queries[who] @ self.x[at].T + squares[at]
+            keys = (np.rint(np.maximum(d, 0) / unit).astype(np.int64) << bits) | at
+            better = keys.min(1) < best[who, -1]
+            who, keys = who[better], keys[better]
             if len(who):
-                every = np.concatenate([best[who], d], 1)
-                names = np.concatenate([rows[who], np.broadcast_to(at, d.shape)], 1)
-                order = np.lexsort((names, every), axis=1)[:, :k]
-                best[who], rows[who] = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+                if keys.shape[1] > k:
+                    keys = np.partition(keys, k - 1, 1)[:, :k]
+                best[who] = np.sort(np.concatenate([best[who], keys], 1), 1)[:, :k]
 
         def visit(node: tuple, who: np.ndarray) -> None:
             if node[0] == "leaf":
@@ -80,7 +89,7 @@ class Tree:
             near = d <= (low + high) / 2
 
             def pruned(mask: np.ndarray, bound: np.ndarray) -> np.ndarray:
-                return who[mask & ((factor * np.maximum(bound, 0)) ** 2 <= best[who, -1] + 1e-9)]
+                return who[mask & ((factor * np.maximum(bound, 0)) ** 2 <= radius(who))]
 
             for first in (True, False):
                 for side, bound, mine in ((inner, d - low, near), (outer, high - d, ~near)):
@@ -90,7 +99,8 @@ class Tree:
 
         if len(queries) and len(self.x):
             visit(self.root, np.arange(len(queries)))
-        return best, rows
+        found = best != none
+        return np.where(found, (best >> bits) * unit, np.inf), np.where(found, best & ((1 << bits) - 1), -1)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
