@@ -34,6 +34,8 @@ SUBSPACES = 8
 CODES = 64
 #: Rows of a tile's side.
 TILE = 2_000
+#: Vectors dealt to their lists at once.
+DEALT = 250
 
 
 class Quantiser:
@@ -111,29 +113,27 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE, lis
     model = spark.sparkContext.broadcast(fitted)
 
     def deal(batches):
+        columns = ["dim", "label", "cell", "is_query", "vec_id", "v"]
         for pdf in batches:
-            out = []
-            for dim, g in pdf.groupby("dim"):
+            for dim, every in pdf.groupby("dim"):
                 q = model.value.get(int(dim))
-                if q is None:
-                    for own in (True, False):
-                        out.append(g.assign(cell=0, is_query=own))
-                    continue
-                near, d = q.nearest(np.stack(g["x"].to_numpy()))
-                out.append(g.assign(cell=near, is_query=False))
-                i, cell = np.nonzero(q.probes(d, near, radius))
-                out.append(g.iloc[i].assign(cell=cell, is_query=True))
-            if out:
-                yield pd.concat(out)[["dim", "label", "cell", "is_query", "vec_id", "x", "v"]]
-
-    dealt = stored(units.mapInPandas(deal, "dim int, label string, cell int, is_query boolean, vec_id long, x array<double>, v array<double>"), "dealt")
+                for s in range(0, len(every), DEALT):  # a vector may go to many lists
+                    g = every.iloc[s : s + DEALT]
+                    if q is None:
+                        yield pd.concat([g.assign(cell=0, is_query=own) for own in (True, False)])[columns]
+                        continue
+                    near, d = q.nearest(np.stack(g["x"].to_numpy()))
+                    i, cell = np.nonzero(q.probes(d, near, radius))
+                    yield pd.concat([g.assign(cell=near, is_query=False), g.iloc[i].assign(cell=cell, is_query=True)])[columns]
+
+    dealt = stored(units.mapInPandas(deal, "dim int, label string, cell int, is_query boolean, vec_id long, v array<double>"), "dealt")
     key = ["dim", "label", "cell"]
     sizes = dealt.groupBy(*key).agg(F.ceil(F.count_if(F.col("is_query")) / tile).cast("int").alias("nq"), F.ceil(F.count_if(~F.col("is_query")) / tile).cast("int").alias("ni"))
     sizes = stored(sizes.where("nq > 0 and ni > 0"), "sizes")
     salted = dealt.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.when(F.col("is_query"), F.col("nq")).otherwise(F.col("ni"))).cast("int"))
     other = F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("ni")).otherwise(F.col("nq")) - 1)
-    tiled = salted.select(*key, "is_query", "vec_id", "x", "v", "own", F.explode(other).alias("far")).select(
-        *key, F.when(F.col("is_query"), F.col("own")).otherwise(F.col("far")).alias("tq"), F.when(F.col("is_query"), F.col("far")).otherwise(F.col("own")).alias("ti"), "is_query", "vec_id", "x", "v"
+    tiled = salted.select(*key, "is_query", "vec_id", "v", "own", F.explode(other).alias("far")).select(
+        *key, F.when(F.col("is_query"), F.col("own")).otherwise(F.col("far")).alias("tq"), F.when(F.col("is_query"), F.col("far")).otherwise(F.col("own")).alias("ti"), "is_query", "vec_id", "v"
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,19 +141,21 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE, lis
         if not len(queries) or not len(index):
             return pd.DataFrame({"a": [], "b": [], "n": []})
         cell, quantiser = int(pdf["cell"].iloc[0]), model.value.get(int(pdf["dim"].iloc[0]))
-        x, v = np.stack(index["x"].to_numpy()), np.stack(index["v"].to_numpy())
+        v = np.stack(index["v"].to_numpy())
         ids, qids = index["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
         norms = np.sqrt((v**2).sum(1))
+        x = v / norms[:, None]
         codes, error = quantiser.coded(x, cell) if quantiser else (None, None)
         left, right, counts = [], [], np.zeros(len(qids), np.int64)
         for s in range(0, len(qids), 256):
-            q = np.stack(queries["x"].iloc[s : s + 256].to_numpy())
             w = np.stack(queries["v"].iloc[s : s + 256].to_numpy())
+            own = np.sqrt((w**2).sum(1))
+            q = w / own[:, None]
             close = quantiser.distances(q, codes, cell) <= radius + error + 1e-7 if quantiser else np.ones((len(q), len(x)), bool)
             i, j = np.nonzero(close)
-            for k in range(0, len(i), 200_000):
-                a, b = i[k : k + 200_000], j[k : k + 200_000]
-                cosine = np.einsum("ij,ij->i", w[a], v[b]) / (np.sqrt((w**2).sum(1))[a] * norms[b])
+            for k in range(0, len(i), 20_000):
+                a, b = i[k : k + 20_000], j[k : k + 20_000]
+                cosine = np.einsum("ij,ij->i", w[a], v[b]) / (own[a] * norms[b])
                 good = (cosine >= threshold) & (qids[s + a] != ids[b])
                 counts += np.bincount(s + a[good], minlength=len(qids))
                 left.append(qids[s + a[good]])
