@@ -47,7 +47,7 @@ class _Words(dict):
     """Hash of each word; forgets everything when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
