@@ -1,12 +1,14 @@
 """Nearest neighbours by vantage-point trees, one per shard, exact at a factor of one.
 
 The largest inner product becomes the least Euclidean distance once every vector is given one more
-coordinate that lifts its length to the largest length M of the table (queries get 0 there). Shards of a
+coordinate that lifts its length to the largest length M of its shard (queries get 0 there). Shards of a
 bounded number of rows each grow one tree: a vantage point, the median distance to it, an inner and an
 outer half. All queries of a block descend together; at a node those whose ball may cross the median
 follow both ways, nearer side first. The triangle inequality prunes a side whose least possible distance,
 times the relaxation factor, exceeds the query's current radius: a factor above one prunes more and may
-miss; one is exact. Scores are computed anew from the original vectors in double precision.
+miss; one is exact. Distances only prune, with room for their rounding; rows are ranked by inner products
+of the original vectors in double precision, and every row within rounding of the k-th is scored anew,
+however many there are, so long vectors take no precision from short ones.
 
 Shards meet query blocks as tiles, so nothing is broadcast that grows, and each tile returns only its best
 k. Every row is indexed.
@@ -31,15 +33,22 @@ from hopweave.llm.vectors import usable
 SHARD_ROWS = 6_000
 BLOCK_ROWS = 3_000
 LEAF = 256
-#: Kept beyond k while searching: the query itself, and rows whose distances differ by less than the rounding.
-SPARE = 9
+#: Numbers gathered at once when candidates are scored anew; twice the spacing of doubles at one.
+GATHER = 4_000_000
+EPS = 2.0**-51
 
 
 class Tree:
-    """A vantage-point tree over the rows of x."""
-
-    def __init__(self, x: np.ndarray, leaf: int = LEAF):
-        self.x, self.leaf = x, leaf
+    """A vantage-point tree over the rows of x, by Euclidean distance or, if lifted, by inner product."""
+
+    def __init__(self, x: np.ndarray, leaf: int = LEAF, lifted: bool = False):
+        self.x, self.leaf, self.lifted = x, leaf, lifted
+        squares = (x**2).sum(1)
+        self.longest = squares.max(initial=0)
+        self.points = np.concatenate([x, np.sqrt(np.maximum(self.longest - squares, 0))[:, None]], 1) if lifted else x
+        # A squared distance is the query's square plus base minus twice the value (product less shift) of the row.
+        self.base, self.shift = (self.longest, np.zeros(len(x))) if lifted else (0.0, squares / 2)
+        self.lengths = np.sqrt(squares)
         self.root = self._grow(np.arange(len(x)), np.random.default_rng(7))
 
     def _grow(self, at: np.ndarray, rng) -> tuple:
@@ -47,37 +56,39 @@ class Tree:
             return ("leaf", at)
         k = rng.integers(len(at))
         point, rest = at[k], np.delete(at, k)
-        d = np.sqrt(((self.x[rest] - self.x[point]) ** 2).sum(1))
+        d = np.sqrt(((self.points[rest] - self.points[point]) ** 2).sum(1))
         order = np.argsort(d, kind="stable")
         half = len(rest) // 2
         inner, outer = rest[order[:half]], rest[order[half:]]
         return ("node", point, float(d[order[half - 1]]), float(d[order[half]]), self._grow(inner, rng), self._grow(outer, rng))
 
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances and rows of each query's k nearest (inf, -1 where there are fewer); ties to the lower row.
+        """Squared distances (lifted: negative inner products) and rows of each query's k nearest; ties to the lower row.
 
-        A candidate is one integer: its squared distance, as a share of the largest possible one and rounded (so
-        that equal vectors are equally far whatever block they are computed in), above its row number.
+        (inf, -1) where there are fewer. Values of blocks are bracketed by their rounding: the k-th largest lower
+        end is the floor, and all rows whose upper end reaches it are candidates, scored row by row at the end.
         """
-        squares, lengths = (self.x**2).sum(1), (queries**2).sum(1)
-        bits = max(1, int(len(self.x)).bit_length())
-        unit = (np.sqrt(squares.max(initial=0)) + np.sqrt(lengths.max(initial=0))) ** 2 / 2.0**38 or 1.0
-        none = np.iinfo(np.int64).max
-        best = np.full((len(queries), k), none)
-
-        def radius(who: np.ndarray) -> np.ndarray:
-            edge = best[who, -1]
-            return np.where(edge == none, np.inf, ((edge >> bits) + 2) * unit)
+        squares = (queries**2).sum(1)
+        lengths, unit = np.sqrt(squares), (queries.shape[1] + 8) * EPS
+        asks = np.concatenate([queries, np.zeros((len(queries), 1))], 1) if self.lifted else queries
+        room = 8 * unit * (squares + self.longest)
+        best = np.full((len(queries), k), -np.inf)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def offer(who: np.ndarray, at: np.ndarray) -> None:
-            d = lengths[who, None] - 2 * queries[who] @ self.x[at].T + squares[at]
-            keys = (np.rint(np.maximum(d, 0) / unit).astype(np.int64) << bits) | at
-            better = keys.min(1) < best[who, -1]
-            who, keys = who[better], keys[better]
-            if len(who):
-                if keys.shape[1] > k:
-                    keys = np.partition(keys, k - 1, 1)[:, :k]
-                best[who] = np.sort(np.concatenate([best[who], keys], 1), 1)[:, :k]
+            values = queries[who] @ self.x[at].T - self.shift[at]
+            wide = 2 * unit * (lengths[who, None] * self.lengths[at] + self.shift[at])
+            lows = values - wide
+            more = np.nonzero(lows.max(1) > best[who, -1])[0]
+            if len(more):
+                got = lows[more]
+                if got.shape[1] > k:
+                    got = np.partition(got, got.shape[1] - k, 1)[:, -k:]
+                best[who[more]] = -np.sort(-np.concatenate([best[who[more]], got], 1), 1)[:, :k]
+            highs = values + wide
+            i, j = np.nonzero(highs >= best[who, -1:])
+            if len(i):
+                kept.append((who[i], at[j], highs[i, j]))
 
         def visit(node: tuple, who: np.ndarray) -> None:
             if node[0] == "leaf":
@@ -85,11 +96,12 @@ class Tree:
                 return
             _, point, low, high, inner, outer = node
             offer(who, np.array([point]))
-            d = np.sqrt(((queries[who] - self.x[point]) ** 2).sum(1))
-            near = d <= (low + high) / 2
+            d = np.sqrt(((asks[who] - self.points[point]) ** 2).sum(1))
+            near, blur = d <= (low + high) / 2, unit * (d + high)
 
             def pruned(mask: np.ndarray, bound: np.ndarray) -> np.ndarray:
-                return who[mask & ((factor * np.maximum(bound, 0)) ** 2 <= radius(who))]
+                radius = squares[who] + self.base - 2 * best[who, -1] + room[who]
+                return who[mask & ((factor * np.maximum(bound - blur, 0)) ** 2 <= radius)]
 
             for first in (True, False):
                 for side, bound, mine in ((inner, d - low, near), (outer, high - d, ~near)):
@@ -97,10 +109,23 @@ class Tree:
                     if len(go):
                         visit(side, go)
 
-        if len(queries) and len(self.x):
-            visit(self.root, np.arange(len(queries)))
-        found = best != none
-        return np.where(found, (best >> bits) * unit, np.inf), np.where(found, best & ((1 << bits) - 1), -1)
+        far, rows = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1)
+        if not len(queries) or not len(self.x):
+            return far, rows
+        visit(self.root, np.arange(len(queries)))
+        who, at, highs = (np.concatenate(c) for c in zip(*kept))
+        still = highs >= best[who, -1]
+        who, at = who[still], at[still]
+        score, step = np.empty(len(who)), max(1, GATHER // self.x.shape[1])
+        for s in range(0, len(who), step):
+            q, x = queries[who[s : s + step]], self.x[at[s : s + step]]
+            score[s : s + step] = -np.einsum("ij,ij->i", q, x) if self.lifted else ((q - x) ** 2).sum(1)
+        order = np.lexsort((at, score, who))
+        who, at, score = who[order], at[order], score[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        top = place < k
+        far[who[top], place[top]], rows[who[top], place[top]] = score[top], at[top]
+        return far, rows
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -112,17 +137,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.0
             for _, g in pdf.groupby(pdf["embedding"].map(len)):
                 at, x = usable(g["embedding"])
                 if len(at):
-                    yield pd.DataFrame({"vec_id": g["vec_id"].iloc[at], "dim": x.shape[1], "x": [*x], "norm": np.sqrt((x**2).sum(1))})
+                    yield pd.DataFrame({"vec_id": g["vec_id"].iloc[at], "dim": x.shape[1], "x": [*x]})
 
     good = rows.where("vec_id is not null and embedding is not null").dropDuplicates(["vec_id"])
-    units = stored(good.mapInPandas(clean, "vec_id long, dim int, x array<double>, norm double"), "units")
+    units = stored(good.mapInPandas(clean, "vec_id long, dim int, x array<double>"), "units")
     is_query = F.pmod("vec_id", F.lit(every)) == 0
-    size = units.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max("norm").alias("m")).first()
-    shards, blocks, longest = -(-size["n"] // shard_rows) or 1, -(-(size["q"] or 0) // block_rows) or 1, size["m"] or 1.0
+    size = units.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
+    shards, blocks = -(-size["n"] // shard_rows) or 1, -(-(size["q"] or 0) // block_rows) or 1
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = units.select("dim", own(shards).alias("shard"), across(blocks).alias("block"), F.lit(False).alias("is_query"), "vec_id", "x", "norm")
-    asked = units.where(is_query).select("dim", across(shards).alias("shard"), own(blocks).alias("block"), F.lit(True).alias("is_query"), "vec_id", "x", "norm")
+    index = units.select("dim", own(shards).alias("shard"), across(blocks).alias("block"), F.lit(False).alias("is_query"), "vec_id", "x")
+    asked = units.where(is_query).select("dim", across(shards).alias("shard"), own(blocks).alias("block"), F.lit(True).alias("is_query"), "vec_id", "x")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         q, c = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
@@ -130,16 +155,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.0
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         c = c.sort_values("vec_id")
         x, ids = np.stack(c["x"].to_numpy()), c["vec_id"].to_numpy()
-        lifted = np.concatenate([x, np.sqrt(np.maximum(longest**2 - c["norm"].to_numpy() ** 2, 0))[:, None]], 1)
-        tree, out = Tree(lifted), []
+        tree, out = Tree(x, lifted=True), []
         asks, qids = np.stack(q["x"].to_numpy()), q["vec_id"].to_numpy()
         for s in range(0, len(qids), 512):
             a, me = asks[s : s + 512], qids[s : s + 512]
-            _, at = tree.search(np.concatenate([a, np.zeros((len(a), 1))], 1), k + SPARE, factor)
+            far, at = tree.search(a, k + 1, factor)  # one more: the query itself may be of the shard
             i, j = np.nonzero(at >= 0)
-            j = at[i, j]
-            score = np.einsum("ij,ij->i", a[i], x[j])
-            got = pd.DataFrame({"query_id": me[i], "vec_id": ids[j], "score": score})
+            got = pd.DataFrame({"query_id": me[i], "vec_id": ids[at[i, j]], "score": -far[i, j]})
             got = got[got["query_id"] != got["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
             out.append(got.groupby("query_id").head(k))
         return pd.concat(out)

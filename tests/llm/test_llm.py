@@ -187,6 +187,24 @@ def test_vptree(spark):
     assert np.allclose(exact, brute, atol=1e-9) and (rough >= exact - 1e-9).all()
 
 
+def test_vptree_of_long_and_short_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    for norm in (1.0, 1e3, 1e6):  # one long row takes nothing from the others
+        y = x.copy()
+        y[17] *= norm
+        _, at = vptree.Tree(y, lifted=True).search(y[:50], 20)
+        assert (at == np.argsort(-(y[:50] @ y.T), 1, kind="stable")[:, :20]).all(), norm
+    y = x[:800] * 10 ** rng.uniform(-3, 6, (800, 1))
+    y[:100] = y[100:200]  # ties
+    got = table(vptree.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>"), k=20, shard_rows=300, block_rows=20))
+    for q in range(0, 800, 20):
+        scores = np.einsum("ij,ij->i", np.repeat(y[q : q + 1], 800, 0), y)
+        want = [i for i in np.lexsort((np.arange(800), -scores)) if i != q][:20]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want, q
+
+
 def test_quality(spark, docs, none):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
