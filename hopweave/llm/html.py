@@ -9,7 +9,8 @@ keeps the hashes of a few distinct main texts. Wrappers fold page by page inside
 wrapper by wrapper (in two levels) across partitions, so a host of any size is never gathered, and all
 pages take part.
 
-On extraction, a page is cut to its content region and its slots give the text: constant nodes of a
+On extraction, a page is cut to its outermost articles and main elements, if it has any, and their slots (or
+those of the whole body) give the text: constant nodes of a
 wrapper that has seen at least MIN_DISTINCT different main texts are template and go, as do elements that
 by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments. A host
 seen with fewer different texts has no constants: what is equal on copies of one article is no template.
@@ -186,35 +187,36 @@ def _walk(node: Node):
         yield from _walk(c)
 
 
-def regions(root: Node) -> list[Node]:
-    """The content region: outermost articles, else main elements, else one marked as content, else the body."""
-    found: dict[str, list[Node]] = {"article": [], "main": [], "marked": []}
+def regions(root: Node) -> tuple[list[Node], bool]:
+    """The content regions in page order, and whether they are articles or main elements.
+
+    The outermost articles and main elements, or else the whole body: a box whose class or id sounds like
+    content is too weak a mark to shut out the text around it.
+    """
+    found: list[Node] = []
     body = None
 
-    todo = [(root, False)]
+    todo = [root]
     while todo:
-        node, within = todo.pop()
+        node = todo.pop()
         if node.tag == "body" and body is None:
             body = node
-        if node is not root and noisy(node, within):
+        if node is not root and noisy(node, False):
             continue
-        if node.tag == "article" or "role=article" in node.marks:
-            found["article"].append(node)
+        if node.tag in ("article", "main") or node.marks & {"role=article", "role=main"}:
+            found.append(node)
             continue
-        if node.tag == "main" or "role=main" in node.marks:
-            found["main"].append(node)
-            within = True
-        elif node.tag in ("div", "section", "td") and node.marks & _CONTENT_WORDS:
-            found["marked"].append(node)
-            within = True
-        todo += [(c, within) for c in reversed(node.children)]
-    if found["article"]:
-        return found["article"]
-    if found["main"]:
-        return found["main"][:1]
-    if found["marked"]:
-        return found["marked"][:1]
-    return [body or root]
+        todo += reversed(node.children)
+    return (found, True) if found else ([body or root], False)
+
+
+def marked(node: Node) -> bool:
+    return node.tag in ("div", "section", "td") and bool(node.marks & _CONTENT_WORDS)
+
+
+def clean_marked(node: Node) -> bool:
+    """Whether a box marked as content is below an element, outside noise."""
+    return any(not noisy(c, False) and (marked(c) or clean_marked(c)) for c in node.children)
 
 
 def text_of(root: Node, template: set[int] = frozenset()) -> str:
@@ -228,10 +230,11 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
             blocks.append(line)
         run.clear()
 
-    def visit(node: Node, top: bool, muted: bool) -> None:
-        if not top and noisy(node, True):
+    def visit(node: Node, top: bool, muted: bool, inside: bool) -> None:
+        if not top and noisy(node, inside):
             run.append(" ")
             return
+        inside = inside or marked(node)
         block = node.tag in _BLOCK
         if block:
             close()
@@ -244,15 +247,17 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
                 if own:
                     run.append(parts[k][1])
                 k += 1
-            visit(child, False, not own)
+            visit(child, False, not own, inside)
         for _, t in parts[k:]:
             if own:
                 run.append(t)
         if block:
             close()
 
-    for r in regions(root):
-        visit(r, True, False)
+    found, named = regions(root)
+    for r in found:
+        # Where boxes are marked as content, a header outside them is the site's.
+        visit(r, True, False, named or not clean_marked(r))
         close()
     return "\n".join(blocks)
 

@@ -306,6 +306,24 @@ def test_html(spark):
     assert html.text_of(html.parsed(f"<body><div id=menu>m</div><main>{blocks}</main></body>")) == "x\ny"
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<div class=post>A</div><div class=post>B</div>", "A\nB"),
+        ("<div class=story-title>T</div><div class=story-body>B</div>", "T\nB"),
+        ("<div class=text-center>Logo</div><p>whole article</p>", "Logo\nwhole article"),
+        ("<main><h1>T</h1><article>A</article></main><p>out", "T\nA"),
+        ("<main>A</main><main>B</main>", "A\nB"),
+        ("<article>A</article><main>B<article>C</article></main>", "A\nB\nC"),
+        ("<header><h1>Site</h1></header><nav>n</nav><div id=content><header><h2>T</h2></header>A</div><p>B", "T\nA\nB"),
+        ("<header><h1>T</h1></header><p>B", "T\nB"),
+        ("<table><tr><td class=text>A</td><td>B</td></tr></table>", "A\nB"),
+    ],
+)
+def test_html_regions(body, want):
+    assert html.text_of(html.parsed(f"<html><body>{body}</body></html>")) == want
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
