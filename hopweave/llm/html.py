@@ -2,18 +2,21 @@
 
 Each page becomes a tree of elements. Pages of the same host and shape class (the sequence of elements
 below the body) are folded into one wrapper: the wrapper's tree is aligned with the page's by simple
-tree matching (the largest matching of equally labelled nodes that keeps order), matched nodes stay, and
-a block whose own text (inline elements included) was the same on every page so far is constant, else a
-varying slot. A wrapper also
-keeps the hashes of a few distinct main texts. Wrappers fold page by page inside a partition and then
-wrapper by wrapper (in two levels) across partitions, so a host of any size is never gathered, and all
-pages take part.
+tree matching (the largest matching of equally labelled nodes that keeps order, where blocks whose usual
+text is equal weigh more), and holds the nodes of either. A node counts its pages, those on which it has
+text of its own (inline elements included), and its most frequent texts, each with a few hashes of
+different main texts that it came with. Wrappers fold page by page inside a partition and then wrapper by
+wrapper (in two levels) across partitions, so a host of any size is never gathered, and all pages take part.
+
+A text is template, and its block constant, where it is the block's text on at least SHARE of the pages on
+which the block has any, is on at least LEAST of the wrapper's pages, and came with at least MIN_DISTINCT
+different main texts: what is equal on copies of one article is no template. Counts are Misra-Gries ones
+of TEXTS texts, never too large and short by little for a text that frequent. A wrapper over NODES nodes
+forgets those on fewer than half of LEAST of its pages.
 
 On extraction, a page is cut to its outermost articles and main elements, if it has any, and their slots (or
-those of the whole body) give the text: constant nodes of a
-wrapper that has seen at least MIN_DISTINCT different main texts are template and go, as do elements that
-by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments. A host
-seen with fewer different texts has no constants: what is equal on copies of one article is no template.
+those of the whole body) give the text: blocks with the text of a constant node go, as do elements that
+by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
 Wrappers are small; they are broadcast while their total size is under BROADCAST_BYTES, else joined by host.
 
@@ -35,6 +38,14 @@ from pyspark.sql import functions as F
 from hopweave.llm._common import stored
 
 MIN_DISTINCT = 8
+SHARE = 0.9
+LEAST = 0.1
+TEXTS = 8
+NODES = 2_000
+#: Nodes of the wrappers that a worker holds at once.
+HELD = 200_000
+#: What an equal usual text is worth in an alignment, in matched nodes.
+SAME_TEXT = 2
 BROADCAST_BYTES = 32_000_000
 #: Elements nested deeper are taken as their ancestor's; no text is lost.
 MAX_DEPTH = 150
@@ -262,12 +273,53 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-# Wrappers are nested lists [label, text, children]: text is a hash of the constant own text, None once it varies, 0 if empty.
+# Wrappers are nested lists [label, texts, children, pages, pages with own text]; texts: hash to [pages, hashes of main texts].
+# Those used in extraction are nested lists [label, hash of the constant own text or None, children].
 
 
-def as_wrapper(node: Node) -> list:
+def as_wrapper(node: Node, digest: int) -> list:
     own = node.own()
-    return [node.label, zlib.crc32(own.encode("utf-8", "surrogatepass")) | 1 << 33 if own else 0, [as_wrapper(c) for c in node.nodes()]]
+    texts = {f"{zlib.crc32(own.encode('utf-8', 'surrogatepass')):x}": [1, [digest]]} if own else {}
+    return [node.label, texts, [as_wrapper(c, digest) for c in node.nodes()], 1, len(texts)]
+
+
+def usual(tree: list) -> str | None:
+    """The text that a node has on most of its pages with any."""
+    texts = tree[1]
+    if not isinstance(texts, dict):
+        return texts
+    for h, (n, _) in texts.items():
+        if 2 * n > tree[4]:
+            return h
+    return None
+
+
+def counted(a: dict, b: dict) -> dict:
+    """Counts of two wrappers together; beyond TEXTS texts, the next largest count is taken from all (Misra and Gries)."""
+    for h, (n, came) in b.items():
+        if h in a:
+            old = a[h]
+            old[0] += n
+            if len(came) > 1 or came[0] not in old[1]:
+                old[1] = sorted({*old[1], *came})[:MIN_DISTINCT]
+        else:
+            a[h] = [n, came]
+    if len(a) > TEXTS:
+        less = sorted((n for n, _ in a.values()), reverse=True)[TEXTS]
+        a = {h: [n - less, came] for h, (n, came) in a.items() if n > less}
+    return a
+
+
+def forget(tree: list, least: float) -> list:
+    """Without the nodes of fewer pages."""
+    tree[2] = [forget(c, least) for c in tree[2] if c[3] >= least]
+    return tree
+
+
+def final(tree: list, pages: int) -> list:
+    """A wrapper for extraction: constant texts, and the nodes that place them."""
+    text = next((h for h, (n, came) in tree[1].items() if n >= SHARE * tree[4] and n >= LEAST * pages and len(came) >= MIN_DISTINCT), None)
+    return [tree[0], text, [final(c, pages) for c in tree[2] if c[3] >= LEAST * pages]]
 
 
 class Matcher:
@@ -313,9 +365,22 @@ class Matcher:
 
     def pairs(self, a: list, sa: tuple, b: list, sb: tuple) -> list[tuple[int, int]]:
         """Which children match, in order."""
-        if sa[0] == sb[0]:
+        left, right = [usual(x) for x in a[2]], [usual(y) for y in b[2]]
+        if sa[0] == sb[0] and all(x is None or x == y for x, y in zip(left, right)):
             return [(i, i) for i in range(len(a[2]))]
-        rows, i, j, out = self.table(a, sa, b, sb), len(a[2]), len(b[2]), []
+        last = [0] * (len(b[2]) + 1)
+        rows = [last]
+        for x, sx, tx in zip(a[2], sa[1], left):
+            row = [0]
+            for j, (y, sy) in enumerate(zip(b[2], sb[1])):
+                best = last[j + 1] if last[j + 1] > row[j] else row[j]
+                if x[0] == y[0]:
+                    got = last[j] + self.score(x, sx, y, sy) + (SAME_TEXT if tx is not None and tx == right[j] else 0)
+                    best = got if got > best else best
+                row.append(best)
+            rows.append(row)
+            last = row
+        i, j, out = len(a[2]), len(b[2]), []
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
                 i -= 1
@@ -327,13 +392,18 @@ class Matcher:
         return out[::-1]
 
     def folded(self, a: list, sa: tuple, b: list, sb: tuple) -> list:
-        """What two wrappers have in common."""
-        text = a[1] if a[1] == b[1] else None
-        return [a[0], text, [self.folded(a[2][i], sa[1][i], b[2][j], sb[1][j]) for i, j in self.pairs(a, sa, b, sb)]]
+        """Two wrappers as one, with the nodes of either (a and b are used up)."""
+        kids, i, j = [], 0, 0
+        for k, n in [*self.pairs(a, sa, b, sb), (len(a[2]), len(b[2]))]:
+            kids += a[2][i:k] + b[2][j:n]
+            i, j = k + 1, n + 1
+            if k < len(a[2]):
+                kids.append(self.folded(a[2][k], sa[1][k], b[2][n], sb[1][n]))
+        return [a[0], counted(a[1], b[1]), kids, a[3] + b[3], a[4] + b[4]]
 
     def constants(self, a: list, sa: tuple, node: Node, b: list, sb: tuple, out: set[int]) -> None:
         """Collect the page's nodes that match constant nodes of the wrapper with the same text."""
-        if a[1] and a[1] == b[1]:
+        if a[1] and a[1] in b[1]:
             out.add(id(node))
         kids = node.nodes()
         for i, j in self.pairs(a, sa, b, sb):
@@ -358,15 +428,13 @@ def has_constant(tree: list) -> bool:
     return bool(tree[1]) or any(map(has_constant, tree[2]))
 
 
-def merged(rows: list[tuple[str, list]]) -> tuple[str, list]:
-    """Fold wrappers (tree as JSON, hashes) into one; hashes: the least MIN_DISTINCT of distinct main texts."""
-    m, tree, seen = Matcher(), None, set()
-    for raw, hashes in rows:
-        t = json.loads(raw)
-        tree = t if tree is None else m.folded(tree, m.shape(tree), t, m.shape(t))
-        seen.update(hashes)
-        m.trimmed()
-    return json.dumps(tree), sorted(seen)[:MIN_DISTINCT]
+def joined(m: Matcher, a: list, b: list) -> tuple[list, int]:
+    """Two wrappers folded and kept small, and the number of nodes of the larger."""
+    sa, sb = m.shape(a), m.shape(b)
+    n = max(m.sizes[sa[0]], m.sizes[sb[0]])
+    tree = m.folded(a, sa, b, sb)
+    m.trimmed()
+    return forget(tree, LEAST / 2 * tree[3]) if n > NODES else tree, n
 
 
 def _host():
@@ -375,48 +443,47 @@ def _host():
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """Wrappers of all pages: host, kind (shape class), tree (JSON), hashes."""
+    """Wrappers of all pages that have constant nodes: host, kind (shape class), tree (JSON)."""
 
     def fold(batches):
-        held: dict[tuple[str, str], tuple[list, set]] = {}
-        m = Matcher()
+        held: dict[tuple[str, str], tuple[list, int]] = {}
+        m, nodes = Matcher(), 0
 
         def rows():
-            return pd.DataFrame([(h, k, zlib.crc32(json.dumps(t).encode()) % 16, json.dumps(t), sorted(s)[:MIN_DISTINCT]) for (h, k), (t, s) in held.items()], columns=["host", "kind", "salt", "tree", "hashes"])
+            return pd.DataFrame([(h, k, zlib.crc32(t.encode()) % 16, t) for (h, k), t in ((key, json.dumps(t)) for key, (t, _) in held.items())], columns=["host", "kind", "salt", "tree"])
 
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"]):
                 root = parsed(page)
-                tree, key = as_wrapper(root), (host, shape_class(root))
-                digest = zlib.crc32(text_of(root).encode("utf-8", "surrogatepass"))
-                if key in held:
-                    old, seen = held[key]
-                    seen.add(digest)
-                    held[key] = (m.folded(old, m.shape(old), tree, m.shape(tree)), seen if len(seen) < 64 else set(sorted(seen)[:MIN_DISTINCT]))
-                    m.trimmed()
-                else:
-                    held[key] = (tree, {digest})
-            if len(held) > 5_000:
-                yield rows()
-                held.clear()
+                tree, key = as_wrapper(root, zlib.crc32(text_of(root).encode("utf-8", "surrogatepass"))), (host, shape_class(root))
+                old, n = held.get(key, (None, 0))
+                held[key] = joined(m, old, tree) if old else (tree, m.sizes[m.shape(tree)[0]])
+                nodes += held[key][1] - n
+                if nodes > HELD:
+                    yield rows()
+                    held.clear()
+                    nodes = 0
         if held:
             yield rows()
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, hashes = merged(list(zip(pdf["tree"], pdf["hashes"])))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "kind": [pdf["kind"].iloc[0]], "tree": [tree], "hashes": [hashes]})
+    def gather(pdf: pd.DataFrame, last: bool = False) -> pd.DataFrame:
+        m, tree = Matcher(), None
+        for raw in pdf["tree"]:
+            tree = joined(m, tree, json.loads(raw))[0] if tree else json.loads(raw)
+        if last:
+            tree = final(tree, tree[3])
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "kind": [pdf["kind"].iloc[0]], "tree": [json.dumps(tree) if not last or has_constant(tree) else None]})
 
-    schema = "host string, kind string, tree string, hashes array<long>"
+    schema = "host string, kind string, tree string"
     rows = pages.where("html is not null and html <> ''").select(_host().alias("host"), "html")
-    parts = rows.mapInPandas(fold, "host string, kind string, salt int, tree string, hashes array<long>")
-    return parts.groupBy("host", "kind", "salt").applyInPandas(gather, schema).groupBy("host", "kind").applyInPandas(gather, schema)
+    parts = rows.mapInPandas(fold, "host string, kind string, salt int, tree string").groupBy("host", "kind", "salt").applyInPandas(lambda pdf: gather(pdf), schema)
+    return parts.groupBy("host", "kind").applyInPandas(lambda pdf: gather(pdf, True), schema).where("tree is not null")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     known = stored(induce(pages), "wrappers")
-    useful = known.where(F.size("hashes") >= MIN_DISTINCT).select("host", F.struct("kind", "tree").alias("w"))
-    by_host = useful.groupBy("host").agg(F.collect_list("w").alias("wrappers"))
+    by_host = known.groupBy("host").agg(F.collect_list(F.struct("kind", "tree")).alias("wrappers"))
     bytes_ = known.agg(F.sum(F.length("tree"))).first()[0] or 0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("host"))
     rows = rows.join(F.broadcast(by_host) if bytes_ <= BROADCAST_BYTES else by_host, "host", "left")
@@ -434,9 +501,9 @@ def extract(pages: DataFrame) -> DataFrame:
                     if host not in trees:
                         if len(trees) > 1_000:
                             trees.clear()
-                        trees[host] = {w["kind"]: t for w in wrappers if has_constant(t := json.loads(w["tree"]))}
-                    if trees[host] and (tree := trees[host].get(shape_class(root))):
-                        own = as_wrapper(root)
+                        trees[host] = {w["kind"]: json.loads(w["tree"]) for w in wrappers}
+                    if (tree := trees[host].get(shape_class(root))):
+                        own = as_wrapper(root, 0)
                         m.constants(tree, m.shape(tree), root, own, m.shape(own), template)
                         m.trimmed()
                 texts.append(text_of(root, template))

@@ -324,6 +324,23 @@ def test_html_regions(body, want):
     assert html.text_of(html.parsed(f"<html><body>{body}</body></html>")) == want
 
 
+def site(i, paragraphs=2, note="<p>Read our terms</p>", host="h.org", before=""):
+    text = "".join(f"<p>text {i} {j}</p>" for j in range(paragraphs))
+    return i, f"http://{host}/{i}", f"<html><body>{before}<article><h1>Title {i}</h1>{text}{note if paragraphs else ''}</article></body></html>"
+
+
+def test_html_template_that_some_pages_lack(spark):
+    """An empty article, pages without the notice and other wordings leave the notice a template of the others."""
+    odd = {3: dict(paragraphs=0), 5: dict(note=""), 7: dict(note="<p>Other terms</p>"), 8: dict(note="")}
+    rows = [site(i, **{"paragraphs": 1 + i % 4} | odd.get(i, {})) for i in range(40)]
+    rows += [(i, f"http://h.org/{i}", rows[9][2].replace("<h1>", "<h2>Copied</h2><h1>")) for i in range(50, 56)]  # copies of one article
+    got = table(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))).set_index("page_id")
+    for i in range(40):
+        text = [f"Title {i}", *(f"text {i} {j}" for j in range(0 if i == 3 else 1 + i % 4))]
+        assert got.text[i] == "\n".join(text + ["Other terms"] * (i == 7)), i
+    assert all(got.text[i] == "Copied\nTitle 9\ntext 9 0\ntext 9 1" for i in range(50, 56))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
