@@ -1,8 +1,7 @@
 """HTML extraction by wrapper induction: pages of one host are aligned by simple tree matching.
 
-Each page becomes a tree of elements. Pages of the same host and shape class (the sequence of elements
-below the body) are folded into one wrapper: the wrapper's tree is aligned with the page's by simple
-tree matching (the largest matching of equally labelled nodes that keeps order, where blocks whose usual
+Each page becomes a tree of elements. All pages of a host, whatever their outlines, are folded into one
+wrapper: the wrapper's tree is aligned with the page's by simple tree matching (the largest matching of equally labelled nodes that keeps order, where blocks whose usual
 text is equal weigh more), and holds the nodes of either. A node counts its pages, those on which it has
 text of its own (inline elements included), and its most frequent texts, each with a few hashes of
 different main texts that it came with. Wrappers fold page by page inside a partition and then wrapper by
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 
 from hopweave.llm._common import stored
 
-MIN_DISTINCT = 8
+MIN_DISTINCT = 3
 SHARE = 0.9
 LEAST = 0.1
 TEXTS = 8
@@ -82,7 +81,9 @@ class Node:
 
     def __init__(self, tag: str, marks: frozenset, hidden: bool):
         self.tag, self.marks, self.hidden = tag, marks, hidden
-        self.label = f"{tag}.{'.'.join(sorted(marks))}" if marks else tag
+        # Words with digits tell pages apart, and so do the classes of the body.
+        words = [] if tag in ("html", "body") else sorted(m for m in marks if not any(map(str.isdigit, m)))
+        self.label = ".".join([tag, *words])
         self.children: list[Node] = []
         self.parts: list[tuple[int, str]] = []
 
@@ -368,19 +369,27 @@ class Matcher:
         left, right = [usual(x) for x in a[2]], [usual(y) for y in b[2]]
         if sa[0] == sb[0] and all(x is None or x == y for x, y in zip(left, right)):
             return [(i, i) for i in range(len(a[2]))]
-        last = [0] * (len(b[2]) + 1)
+        # Equal structures at the ends belong together unless an equal text lies elsewhere.
+        both, n, start, end = {*left} & {*right} - {None}, min(len(left), len(right)), 0, 0
+        same = lambda i, j: sa[1][i][0] == sb[1][j][0] and (left[i] == right[j] or left[i] not in both and right[j] not in both)
+        while start < n and same(start, start):
+            start += 1
+        while end < n - start and same(-1 - end, -1 - end):
+            end += 1
+        m, n = len(left) - end, len(right) - end
+        last = [0] * (n - start + 1)
         rows = [last]
-        for x, sx, tx in zip(a[2], sa[1], left):
+        for x, sx, tx in zip(a[2][start:m], sa[1][start:m], left[start:m]):
             row = [0]
-            for j, (y, sy) in enumerate(zip(b[2], sb[1])):
+            for j, (y, sy, ty) in enumerate(zip(b[2][start:n], sb[1][start:n], right[start:n])):
                 best = last[j + 1] if last[j + 1] > row[j] else row[j]
                 if x[0] == y[0]:
-                    got = last[j] + self.score(x, sx, y, sy) + (SAME_TEXT if tx is not None and tx == right[j] else 0)
+                    got = last[j] + self.score(x, sx, y, sy) + (SAME_TEXT if tx is not None and tx == ty else 0)
                     best = got if got > best else best
                 row.append(best)
             rows.append(row)
             last = row
-        i, j, out = len(a[2]), len(b[2]), []
+        i, j, out = m - start, n - start, [(m + k, n + k) for k in reversed(range(end))]
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
                 i -= 1
@@ -388,8 +397,8 @@ class Matcher:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                out.append((i, j))
-        return out[::-1]
+                out.append((start + i, start + j))
+        return [*((k, k) for k in range(start)), *out[::-1]]
 
     def folded(self, a: list, sa: tuple, b: list, sb: tuple) -> list:
         """Two wrappers as one, with the nodes of either (a and b are used up)."""
@@ -414,16 +423,6 @@ class Matcher:
             self.__init__()
 
 
-def shape_class(root: Node) -> str:
-    """The outline of a page: labels of the elements below the body (runs of equal ones once)."""
-    body = next((n for n in _walk(root) if n.tag == "body"), root)
-    out: list[str] = []
-    for c in body.children:
-        if c.tag not in ("script", "style", "br") and (not out or out[-1] != c.label):
-            out.append(c.label)
-    return f"{zlib.crc32(' '.join(out).encode()):08x}"
-
-
 def has_constant(tree: list) -> bool:
     return bool(tree[1]) or any(map(has_constant, tree[2]))
 
@@ -443,22 +442,22 @@ def _host():
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """Wrappers of all pages that have constant nodes: host, kind (shape class), tree (JSON)."""
+    """Wrappers of all pages that have constant nodes: host, tree (JSON)."""
 
     def fold(batches):
-        held: dict[tuple[str, str], tuple[list, int]] = {}
+        held: dict[str, tuple[list, int]] = {}
         m, nodes = Matcher(), 0
 
         def rows():
-            return pd.DataFrame([(h, k, zlib.crc32(t.encode()) % 16, t) for (h, k), t in ((key, json.dumps(t)) for key, (t, _) in held.items())], columns=["host", "kind", "salt", "tree"])
+            return pd.DataFrame([(h, zlib.crc32(t.encode()) % 16, t) for h, t in ((h, json.dumps(t)) for h, (t, _) in held.items())], columns=["host", "salt", "tree"])
 
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"]):
                 root = parsed(page)
-                tree, key = as_wrapper(root, zlib.crc32(text_of(root).encode("utf-8", "surrogatepass"))), (host, shape_class(root))
-                old, n = held.get(key, (None, 0))
-                held[key] = joined(m, old, tree) if old else (tree, m.sizes[m.shape(tree)[0]])
-                nodes += held[key][1] - n
+                tree = as_wrapper(root, zlib.crc32(text_of(root).encode("utf-8", "surrogatepass")))
+                old, n = held.get(host, (None, 0))
+                held[host] = joined(m, old, tree) if old else (tree, m.sizes[m.shape(tree)[0]])
+                nodes += held[host][1] - n
                 if nodes > HELD:
                     yield rows()
                     held.clear()
@@ -472,40 +471,38 @@ def induce(pages: DataFrame) -> DataFrame:
             tree = joined(m, tree, json.loads(raw))[0] if tree else json.loads(raw)
         if last:
             tree = final(tree, tree[3])
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "kind": [pdf["kind"].iloc[0]], "tree": [json.dumps(tree) if not last or has_constant(tree) else None]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tree": [json.dumps(tree) if not last or has_constant(tree) else None]})
 
-    schema = "host string, kind string, tree string"
+    schema = "host string, tree string"
     rows = pages.where("html is not null and html <> ''").select(_host().alias("host"), "html")
-    parts = rows.mapInPandas(fold, "host string, kind string, salt int, tree string").groupBy("host", "kind", "salt").applyInPandas(lambda pdf: gather(pdf), schema)
-    return parts.groupBy("host", "kind").applyInPandas(lambda pdf: gather(pdf, True), schema).where("tree is not null")
+    parts = rows.mapInPandas(fold, "host string, salt int, tree string").groupBy("host", "salt").applyInPandas(lambda pdf: gather(pdf), schema)
+    return parts.groupBy("host").applyInPandas(lambda pdf: gather(pdf, True), schema).where("tree is not null")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     known = stored(induce(pages), "wrappers")
-    by_host = known.groupBy("host").agg(F.collect_list(F.struct("kind", "tree")).alias("wrappers"))
     bytes_ = known.agg(F.sum(F.length("tree"))).first()[0] or 0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("host"))
-    rows = rows.join(F.broadcast(by_host) if bytes_ <= BROADCAST_BYTES else by_host, "host", "left")
+    rows = rows.join(F.broadcast(known) if bytes_ <= BROADCAST_BYTES else known, "host", "left")
 
     def work(batches):
         m, trees = Matcher(), {}
         for pdf in batches:
             texts = []
-            for page, host, wrappers in zip(pdf["html"], pdf["host"], pdf["wrappers"]):
+            for page, host, wrapper in zip(pdf["html"], pdf["host"], pdf["tree"]):
                 if not page:
                     texts.append("")
                     continue
                 root, template = parsed(page), set()
-                if wrappers is not None:
+                if wrapper is not None:
                     if host not in trees:
                         if len(trees) > 1_000:
                             trees.clear()
-                        trees[host] = {w["kind"]: json.loads(w["tree"]) for w in wrappers}
-                    if (tree := trees[host].get(shape_class(root))):
-                        own = as_wrapper(root, 0)
-                        m.constants(tree, m.shape(tree), root, own, m.shape(own), template)
-                        m.trimmed()
+                        trees[host] = json.loads(wrapper)
+                    tree, own = trees[host], as_wrapper(root, 0)
+                    m.constants(tree, m.shape(tree), root, own, m.shape(own), template)
+                    m.trimmed()
                 texts.append(text_of(root, template))
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 

@@ -341,6 +341,31 @@ def test_html_template_that_some_pages_lack(spark):
     assert all(got.text[i] == "Copied\nTitle 9\ntext 9 0\ntext 9 1" for i in range(50, 56))
 
 
+def test_html_template_of_few_pages(spark):
+    """Three different texts of a host are enough, whatever the outlines of their pages; two aren't."""
+    rows = [site(i, host="many.org", before=f"<div class=box{'abcdef'[i % 6]}>b</div>") for i in range(12)]
+    rows += [site(i, host="three.org", paragraphs=i - 19) for i in range(20, 23)] + [site(i, host="two.org") for i in (30, 31, 31)]
+    got = table(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    for i, text in zip(got.page_id, got.text):
+        assert text.endswith("terms") == (i >= 30) and text.startswith(f"Title {i}\ntext {i} 0"), i
+
+
+def test_html_alignment_by_ends():
+    """Matches from both ends are as good as those of the whole table."""
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a, b = ([["#", {}, [[str(x), {str(t): [1, [1]]}, [], 1, 1] for x, t in rng.integers(0, [[3, 9]], (rng.integers(0, 8), 2))], 1, 0] for _ in "ab"])
+        m = html.Matcher()
+        pairs = m.pairs(a, m.shape(a), b, m.shape(b))
+        worth = lambda x, y: 1 + html.SAME_TEXT * (x[1].keys() == y[1].keys()) if x[0] == y[0] else 0
+        best = np.zeros((len(a[2]) + 1, len(b[2]) + 1))
+        for i, x in enumerate(a[2]):
+            for j, y in enumerate(b[2]):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + worth(x, y))
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:])) and all(a[2][i][0] == b[2][j][0] for i, j in pairs)
+        assert sum(worth(a[2][i], b[2][j]) for i, j in pairs) == best[-1, -1]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
