@@ -68,6 +68,21 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NUMBER), 0)
 
 
+def surroundings(text: Column, word: Column, around: int = 100) -> Column:
+    """Every occurrence of a word, whatever its case, with the characters on both sides; windows may overlap."""
+    pieces = F.split(text, F.concat(F.lit("(?i)\\Q"), word, F.lit("\\E")), -1)
+    ends = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array().cast("array<int>"),
+        lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p) + F.length(word))),
+    )
+
+    def window(end: Column) -> Column:
+        start = F.greatest(end - F.length(word) - around, F.lit(0))
+        return F.substring(text, start + 1, end + around - start)
+
+    return F.transform(ends, window)
+
+
 def precision_extract(query: Column, text: Column, most_words: int = 2000, around: int = 100) -> Column:
     """Numbers, table and page contexts and the surroundings of the query's entities, one per line.
 
@@ -76,8 +91,7 @@ def precision_extract(query: Column, text: Column, most_words: int = 2000, aroun
     """
     tables = F.regexp_extract_all(text, F.lit(r"(?s)(?:Table|Figure)\s*\d+[^\n]*\n.{0,500}"), 0)
     pages = F.regexp_extract_all(text, F.lit(r"Page\s+\d+[^\n]*\n[^\n]{0,300}"), 0)
-    around_entity = lambda e: F.regexp_extract_all(text, F.concat(F.lit(f"(?is).{{0,{around}}}\\Q"), e, F.lit(f"\\E.{{0,{around}}}")), F.lit(0))
-    found = F.array_join(F.concat(numbers(text), tables, pages, F.flatten(F.transform(entities(query), around_entity))), "\n")
+    found = F.array_join(F.concat(numbers(text), tables, pages, F.flatten(F.transform(entities(query), lambda e: surroundings(text, e, around)))), "\n")
     return F.when(F.size(words(found)) > most_words, drop_descriptive(found)).otherwise(found)
 
 

@@ -1,5 +1,7 @@
 """Golden cases of the column functions."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,3 +163,12 @@ def test_sql_functions(spark):
 def test_repair_never_fails(s):
     parsing.repaired(s)
     parsing.repaired("{" + s + "}")
+
+
+def test_ocr_precision_windows(spark):
+    """Windows of occurrences under 100 characters apart overlap, as in a brute-force scan."""
+    texts = ["Foo" + "x" * 95 + "Foo" + "y" * 80 + "END", "foo" * 50, "\n".join(["FOO"] * 30) + "z" * 99 + "fOo", "Foo", "é😀" * 60 + "Foo\n" + "é😀" * 60, "none", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "c string").select("c", ocr.precision_extract(F.lit("Foo"), F.col("c")).alias("r")).collect()
+    for r in got:
+        windows = [r["c"][max(0, m.start() - 100) : m.end() + 100] for m in re.finditer("foo", r["c"], re.I)]
+        assert r["r"] == "\n".join(windows), r["c"]
