@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from hopweave.config import Settings
 from hopweave.functions import parsing
 from hopweave.functions.text import valid_query
-from hopweave.operators import fusion, planning, vector
+from hopweave.operators import fusion, planning, replies, vector
 from hopweave.plans.providers import ModelSpec, embed, generate
 
+#: What the models are asked; the question comes last.
+PLAN = 'Rate the question. Reply with JSON only: {"score": {"modality_complexity": 1 to 3, "multi_hop_complexity": 1 to 5}}.\nQuestion: '
+DECOMPOSE = 'Split the question into two to five sub-questions; in a chain, write [Answer from Qn] for an earlier answer. Reply with JSON only: {"sub_questions": [{"text": "..."}]}.\nRouting: '
+REVIEW = 'Improve the sub-questions. Reply with JSON only: {"refined_subqueries": [{"question": "...", "type": "Independent or Bridging", "dependencies": ["Q1"]}]}.\nSub-questions:\n'
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that all executors share; a local session without one keeps its plan."""
@@ -71,31 +76,67 @@ class Engine:
             return vector.truncate(hits, rk)
         return vector.rerank(hits.join(asked.select("query_id", "question"), "query_id"), vector.lexical_score(F.col("question"), F.col("text")), rk).drop("question")
 
-    def plan(self, questions: DataFrame) -> DataFrame:
-        """Complexities and routing by rule: modality from images, hops from the question's structure."""
-        hops = parsing.parallel_hops(F.col("question"))
-        return questions.withColumns({
-            "modality_complexity": parsing.modality_complexity(F.col("information.images")), "multi_hop_complexity": hops, "routing": parsing.route(hops.cast("string")),
-        })
+    def _told(self, prompts: DataFrame) -> DataFrame:
+        """Replies to prompts, asked once however often they are read."""
+        return checkpointed(generate(prompts, self.llm))
 
-    def decompose(self, planned: DataFrame) -> DataFrame:
-        """Sub-questions: the question itself where one hop does, else the parts its structure names, else the fixed chain."""
-        single = planning.direct_subquestion(planned.where("routing = 'no_decomposition'"))
+    def plan(self, questions: DataFrame) -> DataFrame:
+        """Complexities and routing by the planner's reply; where it can't be read, modality from images and hops from the question's structure."""
+        told = self._told(questions.select("question_id", F.concat(F.lit(PLAN), "question").alias("prompt"))).select("question_id", F.col("reply").alias("plan_reply"))
+        scored = questions.join(told, "question_id", "left")
+        plan = replies.planned(F.col("plan_reply"), F.col("question"), F.col("information.images"), F.lit(None).cast("double"), self.settings.confidence_threshold)
+        hops = F.col("plan.multi_hop_complexity")
+        return scored.withColumn("plan", plan).withColumns({
+            "modality_complexity": F.col("plan.modality_complexity"), "multi_hop_complexity": hops, "routing": parsing.route(hops.cast("string")),
+        }).drop("plan", "plan_reply")
+
+    def _split(self, planned: DataFrame) -> DataFrame:
+        """Sub-questions of the decomposer's reply; where none can be read, the parts that the structure names, else the fixed chain."""
+        told = self._told(planned.select("question_id", "routing", F.concat(F.lit(DECOMPOSE), "routing", F.lit("\nQuestion: "), "question").alias("prompt")))
+        read = checkpointed(planning.normalise_subquestions(replies.decomposed(told)))
+        rest = planned.join(read.select("question_id").distinct(), "question_id", "left_anti")
         parts = F.filter(F.split("question", r"、|,| and "), lambda s: F.trim(s) != "")
-        many = planned.where("routing = 'parallel_processing'").select("question_id", F.posexplode(parts).alias("ord", "text"), F.lit(None).cast("string").alias("question"), "routing")
-        chain = planning.fallback_subquestions(planned.where("routing = 'bridge_processing'"))
-        return single.unionByName(planning.normalise_subquestions(many)).unionByName(chain)
+        many = rest.where("routing = 'parallel_processing'").select("question_id", F.posexplode(parts).alias("ord", "text"), F.lit(None).cast("string").alias("question"), "routing")
+        chain = planning.fallback_subquestions(rest.where("routing = 'bridge_processing'"))
+        return read.unionByName(planning.normalise_subquestions(many)).unionByName(chain)
+
+    def _reviewed(self, subs: DataFrame) -> DataFrame:
+        """Sub-questions as the reviewer's reply refines them."""
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "question"))), lambda s: F.concat(s["id"], F.lit(": "), s["question"])), "\n")
+        told = self._told(subs.groupBy("question_id").agg(F.concat(F.lit(REVIEW), lines).alias("prompt")))
+        new = replies.refined(subs.select("question_id", "pos", "question", "type", "depends_on"), told.select("question_id", "reply"))
+        name = lambda d: F.regexp_replace(d, r"^sub_(\d+)\z", "Q$1")
+        new = new.withColumns({"id": F.concat(F.lit("Q"), "pos"), "sub_id": F.concat(F.lit("sub_"), "pos"), "depends_on": F.transform("depends_on", name)})
+        return new.where(F.trim("question") != "").join(subs.select("question_id", "routing").distinct(), "question_id").select(subs.columns)
 
-    def answer(self, questions: DataFrame, strategy: str = "local_text", max_levels: int = 8) -> DataFrame:
-        """question_id, question, answer, sources, n_hits. Rows whose question is blank get an error instead."""
+    def decompose(self, planned: DataFrame) -> DataFrame:
+        """Sub-questions: the question itself where one hop does, else decomposed and reviewed, again where the review rejects them.
+
+        After the last attempt, rejected ones stay if they are two to five; questions with none get the fixed chain.
+        """
+        planned = checkpointed(planned)
+        done = planning.direct_subquestion(planned.where("routing = 'no_decomposition'"))
+        left = planned.where("routing <> 'no_decomposition'")
+        for attempt in range(max(self.settings.decomposition_attempts, 1)):
+            if left.isEmpty():
+                return done
+            subs = checkpointed(self._reviewed(checkpointed(self._split(left))))
+            judged = planning.accept_after_retries(planning.review(subs)) if attempt + 1 >= self.settings.decomposition_attempts else planning.review(subs).withColumn("accepted", F.col("status") == "approved")
+            good = checkpointed(judged.where("accepted").select("question_id"))
+            done = done.unionByName(subs.join(good, "question_id", "left_semi"))
+            left = checkpointed(left.join(good, "question_id", "left_anti"))
+        return done.unionByName(planning.fallback_subquestions(left))
+
+    def answer(self, questions: DataFrame, strategy: str = "local_text", max_levels: int | None = None) -> DataFrame:
+        """question_id, question, answer, sources, n_hits; all levels unless given fewer, sub-questions on a cycle last. Rows whose question is blank get an error instead."""
         good = questions.where(valid_query(F.col("question")))
         subs = checkpointed(self.decompose(self.plan(good)))
         nodes = subs.select(F.col("question_id").alias("graph"), "id")
         edges = subs.select(F.col("question_id").alias("graph"), "id", F.explode("depends_on").alias("depends_on"))
         placed = checkpointed(subs.join(planning.levels(nodes, edges).withColumnsRenamed({"graph": "question_id"}), ["question_id", "id"]))
-        deepest = min(placed.agg(F.max("level")).first()[0] or 0, max_levels)
+        depths = sorted((r["level"] for r in placed.select("level").distinct().collect()), key=lambda n: (n < 0, n)) or [0]
         answers, hits = None, None
-        for level in range(deepest + 1):
+        for level in depths if max_levels is None else depths[: max_levels + 1]:
             now = placed.where(F.col("level") == level)
             if answers is None:
                 ready = now.withColumn("known", F.create_map().cast("map<string,string>"))
@@ -108,8 +149,8 @@ class Engine:
             got = got.join(asked.select("query_id", "question_id", F.col("pos").alias("sub_ord")), "query_id").withColumn("rank", F.col("position")).drop("position")
             got = checkpointed(got)
             prompts = asked.join(fusion.context(got.withColumn("question_id", F.col("query_id"))).withColumnRenamed("question_id", "query_id"), "query_id", "left")
-            replies = generate(prompts.select("question_id", "id", F.col("pos").alias("sub_ord"), fusion.prompt(F.col("enhanced"), F.col("context")).alias("prompt")), self.llm)
-            here = checkpointed(replies.select("question_id", "id", "sub_ord", F.nullif("reply_error", F.lit("")).alias("error"), parsing.clean_answer(F.col("reply")).alias("answer")))
+            told = generate(prompts.select("question_id", "id", F.col("pos").alias("sub_ord"), fusion.prompt(F.col("enhanced"), F.col("context")).alias("prompt")), self.llm)
+            here = checkpointed(told.select("question_id", "id", "sub_ord", F.nullif("reply_error", F.lit("")).alias("error"), parsing.clean_answer(F.col("reply")).alias("answer")))
             answers = here if answers is None else answers.unionByName(here)
             hits = got if hits is None else hits.unionByName(got)
         final = fusion.context(hits.withColumn("sub_ord", F.col("sub_ord").cast("long")))

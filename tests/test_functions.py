@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hopweave.functions import parsing, text
 from hopweave.functions.register import register_all
 from hopweave.operators import evaluate, ocr, planning, vector
+from hopweave.plans import providers, retrieval
 
 
 def one(spark, column, value="x"):
@@ -172,3 +173,40 @@ def test_ocr_precision_windows(spark):
     for r in got:
         windows = [r["c"][max(0, m.start() - 100) : m.end() + 100] for m in re.finditer("foo", r["c"], re.I)]
         assert r["r"] == "\n".join(windows), r["c"]
+
+
+def test_bridge_question_end_to_end(spark, monkeypatch):
+    """A model plans, decomposes, is reviewed twice (first into a cycle) and answers level by level; the other question stays whole."""
+    asked_of = {"plan": 0, "split": 0, "review": 0}
+    prompts = []
+
+    def reply(prompt):
+        prompts.append(prompt)
+        if prompt.startswith(retrieval.PLAN):
+            asked_of["plan"] += 1
+            return '{"score": {"modality_complexity": 1, "multi_hop_complexity": 3}}' if "capital" in prompt else "no JSON"
+        if prompt.startswith(retrieval.DECOMPOSE):
+            asked_of["split"] += 1
+            return '{"sub_questions": [{"text": "Which country won?"}, {"text": "What is the capital of [Answer from Q1]?"}]}'
+        if prompt.startswith(retrieval.REVIEW):
+            asked_of["review"] += 1
+            loop = '"Q2"' if asked_of["review"] == 1 else ""
+            return '{"refined_subqueries": [{"question": "Which country has won?", "type": "Independent", "dependencies": [%s]}, {"question": "What is the capital of [Answer from Q1]?", "type": "Bridging", "dependencies": ["sub_1"]}]}' % loop
+        return "Paris" if 'capital of "France"' in prompt else "France" if "Which country has won?" in prompt else "Someone"
+
+    def generate(df, spec):
+        rows = [(*r, reply(r["prompt"]), None) for r in df.collect()]
+        return spark.createDataFrame(rows, df.schema.add("reply", "string").add("reply_error", "string"))
+
+    monkeypatch.setattr(retrieval, "generate", generate)
+    nodes = spark.createDataFrame([(1, "which country has won", "s", "text"), (2, "what is a capital", "s", "text")], "node_id long, text string, source string, modality string")
+    engine = retrieval.Engine(spark, nodes.withColumn("vector", providers.embed(F.col("text"), providers.ModelSpec())))
+    schema = "question_id long, question string, information struct<text:string,images:array<string>>"
+    asked = spark.createDataFrame([(1, "What is the capital of the winner?", ("", [])), (2, "Who is it?", ("", []))], schema)
+    subs = engine.decompose(engine.plan(asked)).orderBy("question_id", "pos").collect()
+    assert [(r["question_id"], r["id"], r["question"], list(r["depends_on"])) for r in subs] == [
+        (1, "Q1", "Which country has won?", []), (1, "Q2", "What is the capital of [Answer from Q1]?", ["Q1"]), (2, "Q1", "Who is it?", [])
+    ]
+    assert asked_of == {"plan": 2, "split": 2, "review": 2}
+    got = {r["question_id"]: r["answer"] for r in engine.answer(asked).collect()}
+    assert set(got) == {1, 2} and got[2] == "Someone" and any('capital of "France"' in p for p in prompts)
