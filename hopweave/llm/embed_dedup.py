@@ -1,20 +1,27 @@
-"""Embedding near-dedup by product quantisation, complete for its threshold.
+"""Embedding near-dedup by product quantisation: inverted lists, residual codes, exact cosine rerank.
 
-Vectors are scaled to length one, so cosine >= t means a distance of at most r = sqrt(2 - 2t). A coarse
-quantiser deals them to inverted lists, and the residuals are coded by one small codebook per subspace;
-both are fitted on a bounded, documented sample, every vector is indexed. A vector probes every list whose
-border is within r of it (the exact bound for a Voronoi cell), so no partner can lie in a list it misses.
-Within a list, table look-ups give the distance from the query to each code; as each code's own error is
-stored, the triangle inequality keeps every true partner, and the few that pass are judged by exact cosine
-in double precision.
+Equal vectors of a label are one node with a weight. Vectors are scaled to length one, so cosine >= t means
+a distance of at most r = sqrt(2 - 2t). A coarse quantiser deals them to inverted lists, and the residuals
+are coded by one small codebook per subspace; both are fitted on a bounded, documented sample, every vector
+is indexed. The number of lists grows with the square root of the number of nodes.
+
+A vector probes every list whose border is within ``spread * r / sqrt(d)`` of it, and never beyond r, which
+is the exact bound of a Voronoi cell. Two copies that differ by noise lie on both sides of a border so far
+off only if the noise is ``spread`` standard deviations along that one direction; a pair is found if either
+of its vectors probes the other's list. ``spread=inf`` (or at least sqrt(d)) probes by the exact bound, and
+then no link can be missed. Within a list, table look-ups give the distance from the query to each code; as
+each code's own error is stored, the triangle inequality keeps every true partner there, and the few that
+pass are judged by exact cosine in double precision.
 
 Lists are cut into tiles of (query block x index block) of bounded size, so a hot label or list is worked on
-by many tasks. A tile returns each query's number of links and a spanning forest of the links it found,
-never the pairs; counts are summed and forests joined into components by contraction.
+by many tasks. A tile returns each node's number of links and a spanning forest of the links it found,
+never the pairs; counts are summed and forests joined into components by contraction. A pair that both
+its vectors find counts once for each, one that only one finds counts for both there and then.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null label, link with nothing: n_links 0 and their own component. Vectors of different length never link.
-Null vec_ids keep a null component. vec_id is the key: repeated rows with one vec_id are one vector.
+Null vec_ids keep a null component. vec_id is the key: repeated rows with one vec_id are one vector, the
+least of its (label, embedding). Each row of the input has a row in the result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +31,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._common import components, stored
+from hopweave.llm._common import components, dropped, stored
 from hopweave.llm.vectors import kmeans, usable
 
-#: Rows of the sample on which the quantisers are fitted, lists, subspaces and codes in each.
+#: Rows of the sample on which the quantisers are fitted; least and most lists, subspaces and codes in each.
 SAMPLE = 20_000
-LISTS = 64
+LISTS = (16, 2048)
 SUBSPACES = 8
 CODES = 64
+#: Standard deviations of an isotropic displacement that a probe allows for.
+SPREAD = 4.0
+#: Groups of equal vectors that are broadcast (some 50 bytes each); more are joined by shuffle.
+BROADCAST_GROUPS = 200_000
 #: Rows of a tile's side.
 TILE = 2_000
 #: Vectors dealt to their lists at once.
@@ -52,11 +63,17 @@ class Quantiser:
         d = (x**2).sum(1)[:, None] - 2 * x @ self.coarse.T + (self.coarse**2).sum(1)
         return d.argmin(1), d
 
-    def probes(self, d: np.ndarray, near: np.ndarray, radius: float) -> np.ndarray:
-        """True where a list can hold a vector within the radius: the query is that close to the border."""
-        between = np.sqrt(np.maximum(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2), 1e-12))
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "between"}
+
+    def probes(self, d: np.ndarray, near: np.ndarray, margin: float) -> np.ndarray:
+        """True for the lists to whose border (the bisector) the query is within the margin, its own among them."""
+        if "between" not in self.__dict__:  # made by each worker, not sent
+            squares = (self.coarse**2).sum(1)
+            apart = squares[:, None] - 2 * self.coarse @ self.coarse.T + squares
+            self.between = np.sqrt(np.maximum(apart, 1e-12)).astype(np.float32)
         own = d[np.arange(len(d)), near]
-        return (d - own[:, None]) / (2 * between[near]) <= radius + 1e-7
+        return (d - own[:, None]) / (2 * self.between[near]) <= margin + 1e-6
 
     def coded(self, x: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals and the error of each."""
@@ -92,12 +109,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def links(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE, lists: int = LISTS, subspaces: int = SUBSPACES, codes: int = CODES, tile: int = TILE) -> DataFrame:
+def links(
+    vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE, lists: int | None = None, subspaces: int = SUBSPACES, codes: int = CODES, tile: int = TILE, spread: float = SPREAD
+) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     rows = stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label")), "vectors")
-    part = rows.where("vec_id is not null and label is not null and embedding is not null").dropDuplicates(["vec_id"])
+    part = rows.where("vec_id is not null and label is not null and embedding is not null")
+    part = part.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("s")).select("vec_id", "s.*")
 
     def unit(batches):
         for pdf in batches:
@@ -105,36 +125,49 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE, lis
                 at, x = usable(g["embedding"])
                 if len(at):
                     g = g.iloc[at]
-                    yield pd.DataFrame({"vec_id": g["vec_id"], "label": g["label"], "dim": x.shape[1], "x": [*(x / np.sqrt((x**2).sum(1))[:, None])], "v": [*x]})
-
-    units = stored(part.mapInPandas(unit, "vec_id long, label string, dim int, x array<double>, v array<double>"), "units")
-    first = units.orderBy(F.xxhash64("vec_id")).limit(sample).select("dim", "x").toPandas()  # bounded by sample
-    fitted = {int(d): Quantiser(np.stack(g["x"].to_numpy()), lists, subspaces, codes) for d, g in first.groupby("dim") if len(g) > 1}
+                    yield pd.DataFrame({"vec_id": g["vec_id"], "label": g["label"], "dim": x.shape[1], "v": [*x]})
+
+    same = ["dim", "label", "h", "h2"]
+    hashes = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(7), "v").alias("h2")]
+    units = stored(part.mapInPandas(unit, "vec_id long, label string, dim int, v array<double>").select("*", *hashes), "units")
+    nodes = stored(units.groupBy(*same).agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("v").alias("v")), "nodes")
+    count = nodes.count()
+    lists = lists or int(np.clip(np.sqrt(count), *LISTS))
+    first = nodes.orderBy(F.xxhash64("node")).limit(sample).select("dim", "v").toPandas()  # bounded by sample
+    fitted = {}
+    for d, g in first.groupby("dim"):
+        if len(g) > 1:
+            x = np.stack(g["v"].to_numpy())
+            fitted[int(d)] = Quantiser(x / np.sqrt((x**2).sum(1))[:, None], lists, subspaces, codes)
     model = spark.sparkContext.broadcast(fitted)
 
     def deal(batches):
-        columns = ["dim", "label", "cell", "is_query", "vec_id", "v"]
+        columns = ["dim", "label", "cell", "is_query", "node", "weight", "v", "home", "asked"]
         for pdf in batches:
             for dim, every in pdf.groupby("dim"):
                 q = model.value.get(int(dim))
                 for s in range(0, len(every), DEALT):  # a vector may go to many lists
                     g = every.iloc[s : s + DEALT]
                     if q is None:
-                        yield pd.concat([g.assign(cell=0, is_query=own) for own in (True, False)])[columns]
+                        yield pd.concat([g.assign(cell=0, home=0, is_query=own, asked=[[0]] * len(g)) for own in (True, False)])[columns]
                         continue
-                    near, d = q.nearest(np.stack(g["x"].to_numpy()))
-                    i, cell = np.nonzero(q.probes(d, near, radius))
-                    yield pd.concat([g.assign(cell=near, is_query=False), g.iloc[i].assign(cell=cell, is_query=True)])[columns]
-
-    dealt = stored(units.mapInPandas(deal, "dim int, label string, cell int, is_query boolean, vec_id long, v array<double>"), "dealt")
+                    v = np.stack(g["v"].to_numpy())
+                    near, d = q.nearest(v / np.sqrt((v**2).sum(1))[:, None])
+                    i, cell = np.nonzero(q.probes(d, near, min(radius, spread * radius / np.sqrt(dim))))
+                    asked = np.split(cell.astype("int32"), np.searchsorted(i, np.arange(1, len(g))))
+                    g = g.assign(home=near)
+                    yield pd.concat([g.assign(cell=near, is_query=False, asked=asked), g.iloc[i].assign(cell=cell, is_query=True, asked=None)])[columns]
+
+    dealt = stored(nodes.select("dim", "label", "node", "weight", "v").mapInPandas(deal, "dim int, label string, cell int, is_query boolean, node long, weight long, v array<double>, home int, asked array<int>"), "dealt")
     key = ["dim", "label", "cell"]
     sizes = dealt.groupBy(*key).agg(F.ceil(F.count_if(F.col("is_query")) / tile).cast("int").alias("nq"), F.ceil(F.count_if(~F.col("is_query")) / tile).cast("int").alias("ni"))
     sizes = stored(sizes.where("nq > 0 and ni > 0"), "sizes")
-    salted = dealt.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.when(F.col("is_query"), F.col("nq")).otherwise(F.col("ni"))).cast("int"))
+    salted = dealt.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_query"), F.col("nq")).otherwise(F.col("ni"))).cast("int"))
     other = F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("ni")).otherwise(F.col("nq")) - 1)
-    tiled = salted.select(*key, "is_query", "vec_id", "v", "own", F.explode(other).alias("far")).select(
-        *key, F.when(F.col("is_query"), F.col("own")).otherwise(F.col("far")).alias("tq"), F.when(F.col("is_query"), F.col("far")).otherwise(F.col("own")).alias("ti"), "is_query", "vec_id", "v"
-    )
+    carried = ["is_query", "node", "weight", "v", "home", "asked"]
+    tiled = salted.select(*key, *carried, "own", F.explode(other).alias("far")).select(
+        *key, F.when(F.col("is_query"), F.col("own")).otherwise(F.col("far")).alias("tq"), F.when(F.col("is_query"), F.col("far")).otherwise(F.col("own")).alias("ti"), *carried
+    )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         queries, index = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
@@ -142,11 +175,12 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE, lis
             return pd.DataFrame({"a": [], "b": [], "n": []})
         cell, quantiser = int(pdf["cell"].iloc[0]), model.value.get(int(pdf["dim"].iloc[0]))
         v = np.stack(index["v"].to_numpy())
-        ids, qids = index["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+        ids, qids = index["node"].to_numpy(), queries["node"].to_numpy()
+        asked, home, weight, own_weight = index["asked"].tolist(), queries["home"].to_numpy(), index["weight"].to_numpy(), queries["weight"].to_numpy()
         norms = np.sqrt((v**2).sum(1))
         x = v / norms[:, None]
         codes, error = quantiser.coded(x, cell) if quantiser else (None, None)
-        left, right, counts = [], [], np.zeros(len(qids), np.int64)
+        left, right, counts, back = [], [], np.zeros(len(qids), np.int64), np.zeros(len(ids), np.int64)
         for s in range(0, len(qids), 256):
             w = np.stack(queries["v"].iloc[s : s + 256].to_numpy())
             own = np.sqrt((w**2).sum(1))
@@ -157,19 +191,30 @@ def links(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE, lis
                 a, b = i[k : k + 20_000], j[k : k + 20_000]
                 cosine = np.einsum("ij,ij->i", w[a], v[b]) / (own[a] * norms[b])
                 good = (cosine >= threshold) & (qids[s + a] != ids[b])
-                counts += np.bincount(s + a[good], minlength=len(qids))
-                left.append(qids[s + a[good]])
-                right.append(ids[b[good]])
+                a, b = s + a[good], b[good]
+                np.add.at(counts, a, weight[b])
+                left.append(qids[a])
+                right.append(ids[b])
+                # What the other vector doesn't find by its own probes counts for it here.
+                alone = np.array([h != cell and h not in asked[t] for h, t in zip(home[a], b)], bool)
+                np.add.at(back, b[alone], own_weight[a[alone]])
         a, b = _forest(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
-        linked = counts > 0
-        return pd.DataFrame({"a": [*qids[linked], *a], "b": [*[None] * int(linked.sum()), *b], "n": [*counts[linked], *[0] * len(a)]}).astype({"a": "int64", "b": "Int64", "n": "int64"})
+        counted = pd.DataFrame({"a": [*qids[counts > 0], *ids[back > 0]], "n": [*counts[counts > 0], *back[back > 0]]})
+        return pd.concat([counted, pd.DataFrame({"a": a, "b": b, "n": 0})]).reindex(columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})
 
     found = stored(tiled.groupBy(*key, "tq", "ti").applyInPandas(compare, "a long, b long, n long"), "found")
-    counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "vec_id")
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(labels, "vec_id", "left")
-    component = F.coalesce("label", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    labels = components(found.where("b is not null").select("a", "b"))
+    groups = nodes.where("weight > 1").select(*same, F.col("node").alias("rep"), "weight")
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    members = units.join(F.broadcast(groups) if few else groups, same, "left").select("vec_id", F.coalesce("rep", "vec_id").alias("node"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    known = members.join(counts, "node", "left").join(labels, "node", "left").select(
+        "vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "node").alias("component_id")
+    )
+    out = rows.select("vec_id").join(known, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = stored(out.withColumn("kept", F.col("vec_id") == F.col("component_id")), "classes")
+    dropped(rows, units, nodes, dealt, sizes, found)
+    return out
 
 
 def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

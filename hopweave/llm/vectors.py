@@ -31,7 +31,8 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = (-2 * x @ c.T + (c**2).sum(1)).argmin(1)
+        squares = (c**2).sum(1)
+        near = np.concatenate([(-2 * x[s : s + 4096] @ c.T + squares).argmin(1) for s in range(0, len(x), 4096)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)

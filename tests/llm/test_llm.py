@@ -149,25 +149,44 @@ def good(v):
     return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-def test_embed_dedup(spark):
-    df, rows = vectors(spark)
-    got = table(embed_dedup.links(df, lists=8, tile=60).dropDuplicates().dropna()).set_index("vec_id")
+def cosine_links(rows, threshold=0.98):
+    """Brute force: partners and component of every id."""
     use = [r for r in rows if r[0] is not None]
     label, links = {r[0]: r[0] for r in use}, defaultdict(set)
     for a in use:
         for b in use:
             if a[0] != b[0] and good(a[1]) and good(b[1]) and a[2] is not None and a[2] == b[2] and len(a[1]) == len(b[1]):
                 x, y = np.array(a[1]), np.array(b[1])
-                if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
+                if x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
                     links[a[0]].add(b[0])
     for _ in range(20):
         for a, bs in links.items():
             label[a] = min([label[a], *(label[b] for b in bs)])
+    return links, label
+
+
+@pytest.mark.parametrize("lists, spread", [(8, 4.0), (30, 2.0), (None, float("inf"))])
+def test_embed_dedup(spark, lists, spread):
+    df, rows = vectors(spark)
+    rows += [(7000 + i, rows[0][1], 0) for i in range(30)]  # one common vector
+    df = df.select("vec_id", "embedding", "label").unionByName(spark.createDataFrame(rows[-30:] + [(None, None, None)], "vec_id long, embedding array<double>, label int")).withColumn("weight", F.lit("z"))
+    every = table(embed_dedup.links(df, lists=lists, tile=60, spread=spread))
+    assert len(every) == df.count() and every.vec_id.isna().sum() == 2 and every[every.vec_id.isna()].component_id.isna().all()
+    assert (every[every.vec_id.isin([r[0] for r in rows[:2]])].groupby("vec_id").size() == 2).all()  # repeated rows stay repeated
+    got = every.dropna().drop_duplicates().set_index("vec_id")
+    assert got.index.is_unique
+    links, label = cosine_links(rows)
     assert got.component_id.to_dict() == label and got.n_links.to_dict() == {i: len(links[i]) for i in label}
     assert (got.kept == (got.index == got.component_id)).all()
     assert embed_dedup.links(df.limit(0)).count() == 0
 
 
+def test_embed_dedup_repeated_id_of_another_vector(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [0.0, 1.0], "a"), (3, [0.0, 2.0], "a")], "vec_id long, embedding array<double>, label string")
+    got = table(embed_dedup.links(df)).drop_duplicates().set_index("vec_id")  # the least of (label, embedding) counts
+    assert got.n_links.to_dict() == {1: 2, 2: 2, 3: 2}
+
+
 def test_vptree(spark):
     df, rows = vectors(spark)
     got = table(vptree.search(df, k=7, shard_rows=100, block_rows=10))
