@@ -12,7 +12,6 @@ language that sorts first.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +24,15 @@ from hopweave.llm._common import crc_fold
 BUCKETS = 1 << 15
 #: The matrix has at most this many languages; beyond it fit() raises.
 MAX_LANGUAGES = 512
-_LETTER = re.compile(r"[^\W\d_]")
 #: What a character below U+0080 counts as: itself for a letter, else a space.
 _PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """Bucket of every n-gram (n = 1, 2, 3) of a text; buckets is a power of two."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -50,7 +52,7 @@ class Bayes:
     def predict(self, texts) -> tuple[list, np.ndarray]:
         names, scores = [], np.zeros(len(texts))
         for k, t in enumerate(texts):
-            if not self.languages or not isinstance(t, str) or not _LETTER.search(t):
+            if not self.languages or not isinstance(t, str) or not has_letter(t):
                 names.append("und")
                 continue
             at, n = np.unique(grams(t, self.logs.shape[0]), return_counts=True)
@@ -77,7 +79,7 @@ def fit(docs: DataFrame, train_fold=None, buckets: int = BUCKETS, smoothing: flo
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 total.setdefault(lang, np.zeros(buckets, np.int64))
-                if _LETTER.search(text):
+                if has_letter(text):
                     held = waiting.setdefault(lang, [])
                     held.append(grams(text, buckets))
                     if len(held) == 200:
