@@ -8,12 +8,20 @@ rounded down, the few rests left over are packed first-fit, and each pattern's s
 their rank within a class, so the driver only ever sees the histogram.
 
 One document in ``reserve`` (by a hash of its id) is kept out as stock that may be cut anywhere. Laid end
-to end, the stock is cut at the gaps that rounding leaves in the sequences; what remains of it makes
-whole sequences and at last ones whose length is a power of two. While the stock lasts there is no
-padding at all.
+to end in slices of STOCK ids, the stock is cut at the gaps that rounding leaves in the sequences; what
+remains of it makes whole sequences and at last ones whose length is a power of two. While the stock lasts
+there is no padding at all.
+
+Column generation stops when no pattern prices out, when the bound it gives shows that less than one
+sequence is left to gain, or when the total hasn't changed for STALLED steps (a degenerate basis); whatever
+it stops at, rounding covers every rest, so only padding could differ.
+
+Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: a special string in a text is its
+special id. A text is encoded whole by one worker, which holds its ids (four bytes each) at once.
 
 Defined cases: a null text is an empty one and gives only the end id; a null doc_id is packed like any
-other; rows that repeat are packed each; an empty table gives no rows.
+other; rows that repeat are packed each; a very long text is many pieces, in a plan of its own only by its
+last one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm._common import cumulated, ranked, stored
+from hopweave.llm._common import cumulated, dropped, ranked, stored
 
 CAPACITY = 4096
 CLASSES = 256
 RESERVE = 32
+#: Ids of a slice of the stock (64 KB), and steps without a gain after which column generation ends.
+STOCK = 16_384
+STALLED = 500
 #: Characters of text encoded at once, and words remembered by a worker.
 SLICE = 2_000_000
 REMEMBERED = 400_000
@@ -52,7 +63,8 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)", re.I).search
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -103,7 +115,7 @@ class WordEncoder:
         return out + self._slice(held)
 
     def _slice(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_SPACES.search(t) else (t if _BEYOND.search(t) else t.lower()).split() for t in texts]
+        split = [None if _ODD_SPACES.search(t) or self.special(t) else (t if _BEYOND.search(t) else t.lower()).split() for t in texts]
         new = set().union(*(w for w in split if w)) - self.known.keys()
         fresh = self.learned(new)
         self.known.update(fresh)
@@ -125,7 +137,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, reserve: int = RESERVE) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of the fixed pieces; stock documents keep their ids."""
+    """doc_id, start, length, ids_crc32, doc_tokens of the fixed pieces; slices of stock documents keep their ids."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
@@ -135,12 +147,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
             for doc_id, ids, stock in zip(pdf["doc_id"], enc.ids([t or "" for t in pdf["text"]]), pdf["stock"]):
                 ids += end
                 n = len(ids) // 4
-                if stock:
-                    rows.append((doc_id, 0, n, 0, n, ids))
-                    continue
-                for s in range(0, n, capacity):
-                    part = ids[4 * s : 4 * (s + capacity)]
-                    rows.append((doc_id, s, len(part) // 4, zlib.crc32(part), n, None))
+                step = STOCK if stock else capacity
+                for s in range(0, n, step):
+                    part = ids[4 * s : 4 * (s + step)]
+                    rows.append((doc_id, s, len(part) // 4, zlib.crc32(part), n, part if stock else None))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
@@ -171,16 +181,17 @@ def _priced(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np
     return float(best[room]), pattern
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = 4000) -> list[tuple[np.ndarray, int]]:
+def patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
     """Patterns with how often each is used: they cover the demand exactly. sizes in units, room in the same."""
     if not len(sizes):
         return []
     basis = np.diag(room // sizes).astype(float)
     inverse, amounts = np.diag(1 / np.diag(basis)), demand / np.diag(basis)
-    for _ in range(steps):
+    total, stalled = float(amounts.sum()), 0
+    while stalled < STALLED:
         duals = inverse.sum(0)
         value, column = _priced(duals, sizes, room)
-        if value <= 1 + 1e-7:
+        if value <= 1 + 1e-7 or total - total / value < 0.5:
             break
         direction = inverse @ column
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -194,6 +205,8 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = 4000
         inverse = inverse - np.outer(direction, pivot)
         inverse[out] = pivot
         basis[:, out] = column
+        stalled = stalled + 1 if amounts.sum() > total - 1e-9 * total else 0
+        total = min(total, float(amounts.sum()))
     times = np.floor(np.maximum(amounts, 0) + 1e-9).astype(np.int64)
     found = [(basis[:, k].astype(np.int64), int(t)) for k, t in enumerate(times) if t > 0]
     left = demand.astype(np.int64).copy()
@@ -249,28 +262,31 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
     along = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
     fixed = placed.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0)))
 
-    stock = stored(made.where("ids is not null").select("doc_id", "doc_tokens", "ids"), "stock")
+    stock = stored(made.where("ids is not null").select("doc_id", F.col("start").alias("first"), "length", "doc_tokens", "ids"), "stock")
     gaps = placed.groupBy("sequence_id").agg(F.sum("length").alias("used")).select("sequence_id", "used", (F.lit(capacity) - F.col("used")).alias("gap")).where("gap > 0")
-    totals = gaps.agg(F.sum("gap")).first()[0] or 0, stock.agg(F.sum("doc_tokens")).first()[0] or 0
+    totals = gaps.agg(F.sum("gap")).first()[0] or 0, stock.agg(F.sum("length")).first()[0] or 0
     rest = max(0, totals[1] - totals[0])
     spark = docs.sparkSession
     whole = spark.range(rest // capacity).select((F.col("id") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("used"), F.lit(capacity).cast("long").alias("gap"))
     powers = [1 << b for b in reversed(range(capacity.bit_length() - 1)) if rest % capacity >> b & 1]
     tail = spark.createDataFrame([(sequences + rest // capacity + k, 0, p) for k, p in enumerate(powers)], "sequence_id long, used long, gap long")
     gaps = stored(gaps.unionByName(whole).unionByName(tail), "gaps")
-    bucket = 16 * capacity
+    bucket = 4 * max(capacity, STOCK)  # so a slice meets at most two
     holes = cumulated(gaps, "gap", ["sequence_id"], "g0").withColumn("g1", F.col("g0") + F.col("gap"))
-    line = cumulated(stock, "doc_tokens", ["doc_id"], "d0", per_block=1_000).withColumn("d1", F.col("d0") + F.col("doc_tokens"))
+    line = cumulated(stock, "length", ["doc_id", "first"], "d0", per_block=1_000).withColumn("d1", F.col("d0") + F.col("length")).drop("length")
     spread = lambda df, a, b: df.withColumn("b", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor((F.col(b) - 1) / bucket))))
     at = F.greatest("g0", "d0")
     cut = (
         spread(holes, "g0", "g1").join(spread(line, "d0", "d1"), "b")
         .where((F.col("g0") < F.col("d1")) & (F.col("d0") < F.col("g1")) & (F.floor(at / bucket) == F.col("b")))
-        .select("doc_id", "doc_tokens", "ids", "sequence_id", (at - F.col("d0")).alias("start"), (F.least("g1", "d1") - at).alias("length"), (F.col("used") + at - F.col("g0")).alias("offset"))
-        .withColumn("ids_crc32", F.crc32(F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))")))
+        .select("doc_id", "doc_tokens", "ids", "sequence_id", "first", (at - F.col("d0")).alias("from"), (F.least("g1", "d1") - at).alias("length"), (F.col("used") + at - F.col("g0")).alias("offset"))
+        .withColumn("ids_crc32", F.crc32(F.expr("substring(ids, cast(4 * from + 1 as int), cast(4 * length as int))")))
+        .withColumn("start", F.col("first") + F.col("from"))
     )
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return fixed.select(*out).unionByName(cut.select(*out))
+    packed = stored(fixed.select(*out).unionByName(cut.select(*out)), "packed")
+    dropped(made, placed, stock, gaps)
+    return packed
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
