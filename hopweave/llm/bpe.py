@@ -3,16 +3,24 @@
 The pattern splits a text into words; each distinct word not met before goes to DuckDB as rows (word,
 position, token), one per byte. The merge table has a row for every split of every vocabulary entry
 into two entries. A recursive query joins neighbouring rows with it, picks each word's least rank,
-leftmost first, and contracts it, until a word has no pair left. For long words all non-overlapping
-occurrences of that pair are contracted at once where the merged token can never be part of an entry of
-lower rank (then one by one gives the same). Words that are entries themselves keep their rank.
-Decoding is an ordered aggregation of the tokens' bytes in the same query.
+leftmost first, and contracts it, until a word has no pair left. Words that are entries themselves keep
+their rank. Decoding is an ordered aggregation of the tokens' bytes in the same query.
+
+Long words are contracted at many places in a round. A pair may go before all else where no vocabulary
+entry that occurs there, begins and ends at borders of tokens now, and reaches over one of the pair's ends
+has a lower rank: nothing that comes first could take one of its tokens, and what its merging allows ranks
+higher. Of a run of overlapping equal pairs every other one goes, up to the first that must wait; the pair
+of the least rank always goes. So the rounds follow how deep such waits nest, not the length of the word.
+Before, a long word is cut where no occurring entry reaches across, as no merge can.
 
 Words repeat, so a worker keeps what it has encoded (a bounded number of words). Texts are worked on in
-slices of bounded size, and nothing is shuffled.
+slices of bounded size, and nothing is shuffled. DuckDB may not spill; a query holds at most ROWS rows of
+rounds and HELD bytes of long words, so its memory follows only a single unbroken piece longer than that
+(some 600 bytes for each of its bytes; its limit is raised accordingly).
 
 Defined cases: a null or empty text has no tokens; ids_sha256 and decoded_sha256 are those of no bytes.
-Null doc_ids and repeated rows pass through; extra columns are ignored.
+Null doc_ids and repeated rows pass through; very long texts and words are encoded whole; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ import re
 from collections import ChainMap
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +41,18 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Characters of text worked on at once, and words remembered.
 SLICE = 2_000_000
 REMEMBERED = 300_000
+#: What DuckDB may hold.
+MEMORY = "350MB"
 
-#: Words of up to so many bytes take the query that contracts one pair a round; longer ones contract all alike.
+#: Words of up to so many bytes take the query that contracts one pair a round; longer ones contract at many places.
 SHORT = 48
+#: Bytes of long words in one query, and rows that its rounds may add up to.
+HELD = 200_000
+ROWS = 2_000_000
 
 _KNOWN = """
 with recursive
-known as (select w.word, v.tok from waiting w join vocab v on v.hex = w.hex),
+known as (select w.word, v.tok from waiting w join vocab v on v.hex = w.hex where w.whole),
 bytes as (
   select w.word, w.i, v.tok
   from (select word, hex, unnest(range(length(hex) // 2)) as i from waiting anti join known using (word)) w
@@ -72,33 +86,50 @@ rounds as (select wp >> 16 as word, wp & 65535 as pos, tok, round from t),
 """
     + _FINISH
 )
-_ENCODE_LONG = (
-    _KNOWN
-    + """
-rounds(word, pos, tok, round) as (
-  select word, i, tok, 0 from bytes
+#: Up to ROUNDS rounds over the table state (word, s, e, tok: bytes s to e); occ has the entries that occur (word, s, e, rank, area).
+_CONTRACT = """
+create or replace temp table after as
+with recursive t(word, s, e, tok, round) as (
+  select word, s, e, tok, 0 from state
   union all
   (
-    with neighbours as (
-      select word, pos, tok, round, lead(tok) over (partition by word order by pos) as next, row_number() over (partition by word order by pos) as k from rounds
-    ), pairs as (
-      select n.*, m.merged, m.single, min(m.merged) over (partition by word) as least
-      from neighbours n left join merges m on m.pair = (n.tok::bigint << 20 | n.next)
-    ), hits as (
-      select *, merged is not null and merged = least as hit from pairs where least is not null
+    with live as materialized (
+      select word, s, e, tok, round, row_number() over w as k, lead(tok) over w as after, lead(e) over w as until
+      from t where round < ROUNDS window w as (partition by word order by s)
+    ), pairs as materialized (
+      select word, s, k, merged as r from live join merges m on m.pair = (tok::bigint << 20 | after)
+    ), highest as (
+      select word, area + away as area, max(r) as r from (select word, s // AREA as area, max(r) as r from pairs group by all), (select unnest([-1, 0, 1]) as away) group by all
+    ), aligned as (
+      select o.word, o.rank, a.k as first, b.k as last
+      from occ o join highest h on h.word = o.word and h.area = o.area and o.rank <= h.r
+      join live a on a.word = o.word and a.s = o.s join live b on b.word = o.word and b.e = o.e
+      where b.k > a.k
+    ), reach as materialized (
+      select *, unnest(range(first, last)) as border from aligned
+    ), waits as (
+      select p.word, p.k from pairs p join reach x on x.word = p.word and x.border = p.k - 1
+      where x.rank < p.r or x.rank = p.r and (x.first <> p.k - 1 or x.last <> p.k)
+      union
+      select p.word, p.k from pairs p join reach x on x.word = p.word and x.border = p.k + 1 where x.rank < p.r
     ), runs as (
-      select *, row_number() over (partition by word, hit order by k) as nth from hits
-    ), picked as (
-      select *, hit and row_number() over (partition by word, hit, k - nth order by k) % 2 = 1 and (not single or nth = 1) as pick from runs
-    ), seen as (
-      select *, coalesce(lag(pick) over (partition by word order by k), false) as gone from picked
+      select p.*, w.k is not null as waiting, p.k - row_number() over (partition by p.word, p.r order by p.k) as run,
+             row_number() over (partition by p.word order by p.r, p.k) as nth
+      from pairs p left join waits w on w.word = p.word and w.k = p.k
+    ), ordered as (
+      select *, row_number() over u as place, sum(waiting::int) over u as stopped from runs window u as (partition by word, r, run order by k)
+    ), picked as materialized (
+      select word, k, r from ordered where nth = 1 or stopped = 0 and place % 2 = 1
     )
-    select word, pos, case when pick then merged else tok end, round + 1 from seen where not gone
+    select l.word, l.s, case when p.k is null then l.e else l.until end, coalesce(p.r, l.tok), l.round + 1
+    from live l left join picked p on p.word = l.word and p.k = l.k
+    where l.word in (select word from picked)
+      and not exists (select 1 from picked q where q.word = l.word and q.k = l.k - 1)
   )
-),
-"""
-    + _FINISH
 )
+select word, s, e, tok, round from t join (select word, max(round) as round from t group by word) using (word, round)
+"""
+_GATHER = "select s.word, string_agg(s.tok::varchar, ' ' order by s.s) as ids, string_agg(v.hex, '' order by s.s) as hex from state s join vocab v using (tok) group by s.word"
 
 
 class Codec:
@@ -114,24 +145,24 @@ class Codec:
                 if line.strip():
                     token, rank = line.split()
                     ranks[base64.b64decode(token)] = int(rank)
-        rows, lower = [], set()
+        rows = []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     rows.append((a, b, rank))
-                    lower.update(x for x in (a, b) if x > rank)
+        self.ranks, self.finder, self.area = ranks, None, 2 * max(map(len, ranks), default=1)
         self.split = regex.compile(pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")).findall
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         vocab = pd.DataFrame({"tok": list(ranks.values()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         merges = pd.DataFrame(rows, columns=["a", "b", "merged"])
-        merges["single"] = merges["merged"].isin(lower)
         self.db.register("v", vocab)
         self.db.register("m", merges)
         self.db.execute("create table vocab as select tok::int as tok, hex from v")
-        self.db.execute("create table merges as select a::bigint << 20 | b as pair, merged::int as merged, single from m")
+        self.db.execute("create table merges as select a::bigint << 20 | b as pair, merged::int as merged from m")
         self.db.unregister("v")
         self.db.unregister("m")
+        self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
         self.apart = regex.compile(rf"(?<=[^{_SPACE}]) (?=[^{_SPACE}])").split
         self.wide = re.compile(rf"[{_SPACE}] | [{_SPACE}]").search
         self.encoded: dict[str, tuple[str, bytes]] = {}
@@ -140,16 +171,91 @@ class Codec:
 
     def learned(self, words: list[str]) -> dict[str, tuple[str, bytes]]:
         """Encode words by the recursive queries, some thousands in each."""
-        out = {}
         raw = [(w, w.encode("utf-8", "surrogatepass")) for w in words]
-        for query, mine in ((_ENCODE_SHORT, [x for x in raw if len(x[1]) <= SHORT]), (_ENCODE_LONG, [x for x in raw if len(x[1]) > SHORT])):
-            for s in range(0, len(mine), 30_000):
-                part = mine[s : s + 30_000]
-                waiting = pd.DataFrame({"word": range(len(part)), "hex": [b.hex() for _, b in part]})
-                self.db.register("waiting", waiting)
-                for word, ids, text in self.db.execute(query).fetchall():
-                    out[part[word][0]] = (ids, bytes.fromhex(text))
-                self.db.unregister("waiting")
+        whole = [x for x in raw if len(x[1]) <= SHORT or x[1] in self.ranks]
+        out = {w: got for (w, _), got in zip(whole, self._short([b for _, b in whole], True))}
+        cut = {w: self.segments(b) for w, b in raw if w not in out}
+        parts = sorted({p for ps in cut.values() for p in ps})
+        small, large = [p for p in parts if len(p) <= SHORT], [p for p in parts if len(p) > SHORT]
+        got = dict(zip(small, self._short(small, False))) | dict(zip(large, self._long(large)))
+        for w, ps in cut.items():
+            out[w] = " ".join([got[p][0] for p in ps]), b"".join([got[p][1] for p in ps])
+        return out
+
+    def _short(self, words: list[bytes], whole: bool) -> list[tuple[str, bytes]]:
+        """whole: words that are entries keep their rank."""
+        out: list = [None] * len(words)
+        for s in range(0, len(words), 30_000):
+            part = words[s : s + 30_000]
+            self.db.register("waiting", pd.DataFrame({"word": range(len(part)), "hex": [b.hex() for b in part], "whole": whole}))
+            for word, ids, text in self.db.execute(_ENCODE_SHORT).fetchall():
+                out[s + word] = (ids, bytes.fromhex(text))
+            self.db.unregister("waiting")
+        return out
+
+    def occurring(self, word: bytes) -> np.ndarray:
+        """Rows (start, end, rank) of the entries of two bytes and more that occur in a word."""
+        if self.finder is None:
+            import ahocorasick
+
+            self.finder = ahocorasick.Automaton()
+            for token, rank in self.ranks.items():
+                if len(token) > 1:
+                    self.finder.add_word(token.decode("latin-1"), (len(token), rank))
+            self.finder.make_automaton()
+        found = [(end + 1 - n, end + 1, rank) for end, (n, rank) in self.finder.iter(word.decode("latin-1"))] if len(self.finder) else []
+        return np.array(found, np.int64).reshape(-1, 3)
+
+    def segments(self, word: bytes) -> list[bytes]:
+        """The word cut at the borders that no occurring entry reaches across."""
+        found = self.occurring(word)
+        over = np.zeros(len(word) + 1, np.int64)
+        np.add.at(over, found[:, 0] + 1, 1)
+        np.add.at(over, found[:, 1], -1)
+        cuts = [0, *(np.flatnonzero(over.cumsum()[1 : len(word)] == 0) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _long(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        out: list = []
+        held: list[bytes] = []
+        for w in words:
+            if held and sum(map(len, held)) + len(w) > HELD:
+                out += self._contracted(held)
+                held = []
+            held.append(w)
+        return out + (self._contracted(held) if held else [])
+
+    def _contracted(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        sizes = [len(w) for w in words]
+        total = sum(sizes)
+        if total > HELD:
+            self.db.execute(f"set memory_limit = '{350 + 600 * total // 1_000_000}MB'")
+        at = np.concatenate([np.arange(n) for n in sizes])
+        byte = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        state = pd.DataFrame({"word": np.repeat(np.arange(len(words)), sizes), "s": at, "e": at + 1, "tok": byte})  # noqa: F841
+        found = [self.occurring(w) for w in words]
+        occ = pd.DataFrame(np.concatenate(found), columns=["s", "e", "rank"])
+        occ["word"] = np.repeat(np.arange(len(words)), [len(f) for f in found])
+        for name, rows in (("waiting", state), ("found", occ)):
+            self.db.register(name, rows)
+        self.db.execute("create or replace temp table state as select word::int as word, s::int as s, e::int as e, tok::int as tok from waiting")
+        self.db.execute(f"create or replace temp table occ as select word::int as word, s::int as s, e::int as e, rank::int as rank, (s // {self.area})::int as area from found")
+        self.db.unregister("waiting")
+        self.db.unregister("found")
+        while True:
+            rows = self.db.execute("select count(*) from state").fetchone()[0]
+            rounds = max(1, min(64, ROWS // max(rows, 1)))
+            self.db.execute(_CONTRACT.replace("ROUNDS", str(rounds)).replace("AREA", str(self.area)))
+            more = self.db.execute(f"select count(*) from after where round = {rounds}").fetchone()[0]
+            self.db.execute("create or replace temp table state as select word, s, e, tok from after")
+            if not more:
+                break
+        out: list = [None] * len(words)
+        for word, ids, text in self.db.execute(_GATHER).fetchall():
+            out[word] = (ids, bytes.fromhex(text))
+        self.db.execute("drop table state; drop table after; drop table occ")
+        if total > HELD:
+            self.db.execute(f"set memory_limit = '{MEMORY}'")
         return out
 
     def chunks(self, text: str) -> list[str]:

@@ -105,13 +105,17 @@ def test_ngram_join_brute(spark, n, percent):
 def test_packing(spark, docs, none):
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    odd = ["see <|endoftext|> here", "a<|StartOfText|>b <|startoftext|><|endoftext|>", "<|endoftext|", "w " * 50_000 + "end"]
+    docs = docs.select("doc_id", "text", "rank", F.lit(1).alias("length")).unionByName(spark.createDataFrame([(100 + i, x, 1, 1) for i, x in enumerate(odd)], "doc_id long, text string, rank int, length int"))
+    assert t.encode(odd[0], add_special_tokens=False).ids == [862, 49407, 763]
     whole = defaultdict(list)
     for r in docs.collect():
         ids = (t.encode(r["text"] or "", add_special_tokens=False).ids) + [2]
         whole[r["doc_id"]].append(ids)
     for reserve in (32, 2, 1):
         got = table(packing.pack(docs, path, reserve=reserve))
+        for _, g in got[got.doc_id >= 100].groupby("doc_id"):
+            assert sorted(g.start)[0] == 0 and g.length.sum() == g.doc_tokens.iloc[0]
         assert got.length.sum() == sum(len(i) for v in whole.values() for i in v)
         for _, g in got.groupby("sequence_id"):
             g = g.sort_values("offset")
@@ -284,9 +288,46 @@ def test_sharding(spark, docs, none):
     assert size.max() / size.mean() < 1.01 and size.min() / size.mean() > 0.99
     text = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").toPandas()
     assert (text.merge(full).groupby("text").shard.nunique() == 1).all()
+    words = text.assign(n=text.text.map(lambda t: len((t or "").encode().split()))).merge(full).groupby("shard").n.sum()
+    rows = full.groupby("shard").size()
+    assert abs(words / words.mean() - 1).max() < 0.005 and abs(rows / rows.mean() - 1).max() < 0.005  # the bound of the README
     assert sharding.shard(none).count() == 0
 
 
+def placed_singly(classes, shards):
+    """Brute force: one group after the other to the highest dot product."""
+    total = np.maximum(np.array([c[1:] for c in classes], float).sum(0), 1)
+    residual, out = np.ones((shards, 3)) / shards, [None] * len(classes)
+    vectors = [np.array(c[1:], float) / c[0] / total for c in classes]
+    for k in sorted(range(len(classes)), key=lambda k: (-vectors[k].max(), classes[k])):
+        out[k] = np.zeros(shards, int)
+        for _ in range(classes[k][0]):
+            s = int((residual @ (sharding.WEIGHTS * vectors[k])).argmax())
+            out[k][s] += 1
+            residual[s] = residual[s] - vectors[k]
+    return out
+
+
+def test_sharding_places_as_if_singly(spark):
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 900):  # few and many groups in a class
+        classes = [(int(k), *(int(x) for x in k * rng.integers(1, 500, 3))) for k in rng.integers(1, n, 12)]
+        for a, b in zip(sharding.place(classes, 7), placed_singly(classes, 7)):
+            assert a.sum() == b.sum() and abs(a - b).max() <= 1  # rounding may turn a tie
+    scores = rng.random(16)
+    counts = sharding.taken(scores, 0.01, 5000)
+    left = scores - counts * 0.01
+    assert counts.sum() == 5000 and left.max() - left.min() <= 0.01 + 1e-9
+
+
+def test_sharding_hot_group_and_clashing_columns(spark):
+    rows = [(i, "the same text", 1, 2, 3) for i in range(400)] + [(1000 + i, f"other text {i}", 1, 2, 3) for i in range(200)] + [(5, "the same text", 1, 2, 3), (None, None, 1, 2, 3)]
+    got = table(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, size int, shard int, h int"), shards=4))
+    size = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and size.max() / size.mean() < 1.1  # a text over nine tenths of a shard is split
+    assert got.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all()
+
+
 def test_bpe(spark, docs, none):
     path = P.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
@@ -303,6 +344,20 @@ def test_bpe(spark, docs, none):
     assert bpe.encode_documents(none, path, P.PATTERN).count() == 0
 
 
+def test_bpe_long_words():
+    """Hard words of up to 100,000 bytes, in seconds and without spilling."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    c = bpe.Codec(path, P.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    rng = np.random.default_rng(4)
+    some = lambda letters, n: "".join(rng.choice(list(letters), n))
+    words = [some(a, int(rng.integers(40, 300))) for a in ("ab", "the", "aeinrst", "-=", "àé日x", "😀a") for _ in range(15)]
+    words += [base64.b64encode(rng.bytes(6000)).decode(), some("abcdefghijklmnopqrstuvwxyz", 100_000), "a" * 100_000, "a" * 3000 + some("abcdefghij", 3000), "-" * 3000 + some("-=#*_+", 3000), "日本語" * 3000]
+    for w, (ids, raw) in zip(words, c.encode(words)):
+        assert ids == " ".join(map(str, e.encode_ordinary(w))) and raw == w.encode(), w[:50]
+    assert not c.db.execute("select current_setting('temp_directory')").fetchone()[0]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class="ad">Buy {n}</div>
 <article><header><h2>Title {n} &amp; more</h2></header><p>First <b>para</b>graph&nbsp;{n}.<br>Next<p>Second
