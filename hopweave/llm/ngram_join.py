@@ -11,12 +11,15 @@ the positions of the first shared one leave enough room; candidates are verified
 Nothing grows with the square of a group. Equal sets are collapsed first. Then every prefix shingle
 sends its documents to one hub (the member whose prefix is the most frequent, as the text from which
 the others were edited is), which is linear; the verified links give components, and only shingles
-that still hold several components are joined pairwise, under the position bound. So no pair within a
-component already found is ever listed, and none between components is missed.
+that still hold several components are joined pairwise, under the position bound, in tiles of bounded size.
+So no pair within a component already found is ever listed, and none between components is missed. For
+verification the text of a pair's better connected side travels once per block of its partners.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; texts shorter than
 n words are one shingle, their whole sequence; rows with a null doc_id get a null component. doc_id is
-the key: rows that repeat one count as the same document. Extra columns are ignored.
+the key: rows that repeat one are the same document; if their texts differ, each row is matched by its own
+text and has its own n_shingles, and what any of them is linked with is one component. A very long text is
+one set like any other; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm._common import components, dropped, stored
+from hopweave.llm._common import components, dropped, ranked, stored
 
 #: log2 of the sketch's counters; its size (16 MB) doesn't depend on the corpus.
 SKETCH_BITS = 22
@@ -39,6 +42,9 @@ BROADCAST_IDS = 1_000_000
 MAX_MATCH = 3
 #: Shingles of so many documents always ask their hub, as among them listing pairs would cost most.
 LARGE = 16
+#: Postings of a side of a tile where open shingles are joined, and partners that share one copy of a text.
+TILE = 1_000
+BLOCK = 256
 _CHUNK = 1 << 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -168,37 +174,88 @@ def _room(p: int, n1, pos1, n2, pos2):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole texts have the similarity; each text is fetched once per side."""
-    ids = stored(reduce(DataFrame.unionByName, [pairs.select(F.col(c).alias("id")) for c in ("a", "b")]).distinct(), "ids")
-    side = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(side, "id"), "texts")
+    """Those pairs (a, b) whose whole texts have the similarity.
+
+    The side with more pairs is the center: its text goes once to each block of at most BLOCK partners or so,
+    with theirs, and a task reads block by block.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
+    ids = stored(ends, "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    side = F.broadcast(ids) if few else ids
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(side.select("id"), "id").dropDuplicates(["id"]), "texts")
+    known = lambda c: side.select(F.col("id").alias(c), F.col("pairs").alias(f"{c}_pairs"))
+    swap = F.col("b_pairs") > F.col("a_pairs")
+    placed = (
+        pairs.join(known("a"), "a").join(known("b"), "b")
+        .select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("center"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("id"), F.greatest("a_pairs", "b_pairs").alias("most"))
+        .select("center", F.pmod(F.xxhash64("id"), F.ceil(F.col("most") / BLOCK)).cast("int").alias("block"), "id")
+    )
+    placed = stored(placed, "placed")
+    partners = placed.join(texts, "id").select("center", "block", "id", "text")
+    centers = placed.select("center", "block").distinct().join(texts.withColumnRenamed("id", "center"), "center")
+    both = partners.unionByName(centers.select("center", "block", F.lit(None).cast("long").alias("id"), "text"))
+    blocks = both.repartition("center", "block").sortWithinPartitions("center", "block", F.col("id").asc_nulls_first())
 
     def check(batches):
+        center, x = None, np.zeros(0, np.uint64)
         sets: dict[int, np.ndarray] = {}
         for pdf in batches:
-            keep = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
-                if len(sets) > 256:
+            found = []
+            for c, k, t in zip(pdf["center"], pdf["id"], pdf["text"]):
+                if k != k or k is None:  # the center's own row comes first
+                    center, x = c, shingles(t, n)
+                    continue
+                if len(sets) > 64:
                     sets.clear()
-                for k, t in ((a, ta), (b, tb)):
-                    if k not in sets:
-                        sets[k] = shingles(t, n)
-                x, y = sets[a], sets[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    full = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    out = stored(full.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long"), "links")
-    dropped(ids, texts)
+                k = int(k)
+                if k not in sets:
+                    sets[k] = shingles(t, n)
+                y = sets[k]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    found.append((min(center, k), max(center, k)))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    out = stored(blocks.mapInPandas(check, "a long, b long"), "links")
+    dropped(ids, texts, placed)
     return out
 
 
+def _apart(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """doc_id, text and key: the doc_id, but for rows of the bad ids a number below all ids for each (doc_id, text)."""
+    low = docs.agg(F.min("doc_id")).first()[0]
+    rest = docs.join(bad, "doc_id", "left_anti").withColumn("key", F.col("doc_id"))
+    mine = docs.join(bad, "doc_id")
+    texts = ranked(stored(mine.distinct(), "texts"), [], ["doc_id", "text"], "rank").select("doc_id", F.col("text").alias("own"), (F.lit(low - 1) - F.col("rank")).alias("key"))
+    return rest.unionByName(mine.join(texts, "doc_id").where(F.col("text").eqNullSafe(F.col("own"))).drop("own"))
+
+
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; linked when 100 * shared >= percent * united."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("x"), F.max(digest).alias("y")).where("x <> y").select("doc_id")
+    bad = stored(several, "several")
+    if not bad.limit(1).count():
+        return _joined(docs, n, percent)
+    keyed = stored(_apart(docs, bad), "keyed")
+    got = _joined(keyed.select(F.col("key").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("label"))
+    rows = stored(keyed.select("doc_id", "key").join(got.where("key is not null").distinct(), "key", "left"), "rows")
+    least = rows.join(bad, "doc_id").groupBy("doc_id").agg(F.min("label").alias("a"))
+    merged = components(rows.join(least, "doc_id").select("a", F.col("label").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    full = stored(rows.join(merged, "label", "left").withColumn("whole", F.coalesce("whole", "label")), "full")
+    first = full.where("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    out = stored(full.join(first, "whole", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), "component_id"), "classes")
+    nulls = got.where("key is null").select(F.col("key").alias("doc_id"), "n_shingles", F.col("label").alias("component_id"))
+    out = out.where("doc_id is not null").unionByName(nulls)
+    dropped(keyed, rows, full, bad)
+    return out
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """join_components() where all rows of a doc_id have one text."""
+    spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_sketch(docs, n))
 
     def describe(batches):
@@ -251,11 +308,16 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     partners = reach.withColumn("kind", F.explode(F.sequence("lo", "hi"))).join(kinds, ["tok", "kind"]).where("x <> comp or y <> comp")
     open_ = stored(partners.select(*placed.columns).distinct(), "open")
     inner = open_.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("o")).select("rep", F.col("o.tok").alias("open"))
-    rows = stored(open_.join(inner, "rep"), "rows")
-    x, y = rows.alias("x"), rows.alias("y")
+    blocks = open_.groupBy("tok").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    rows = stored(open_.join(inner, "rep").join(blocks, "tok").withColumn("own", own), "rows")
+    # Blocks meet in tiles: rows of one block in the tile (i, i), those of two in the tile (i, j).
+    tiles = rows.withColumn("far", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("t1", F.least("own", "far")).withColumn("t2", F.greatest("own", "far"))
+    x, y = tiles.alias("x"), tiles.alias("y")
     both = F.array_intersect("x.open", "y.open")
     cross = (
-        x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+        x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2")) & ((F.col("x.t1") == F.col("x.t2")) | (F.col("x.own") != F.col("y.own")))
+               & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
                & _room(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
                & (F.try_element_at(both, F.lit(1)) == F.col("x.tok")) & (F.size(both) >= F.least("x.ell", "y.ell")))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
@@ -267,26 +329,33 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         found2 = stored(components(links.unionByName(more)), "components")
         dropped(found, more)
         found = found2
-    dropped(shared, common, live, hubs, first, links, placed, kinds, open_, rows, second)
     member = sets.select("doc_id", *same).join(groups, same, "left")
     labelled = member.join(found, member["rep"] == found["node"], "left")
-    return labelled.select(
+    out = labelled.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"),
     )
+    out = stored(out, "classes")
+    dropped(sets, groups, shared, common, live, hubs, first, links, found, placed, kinds, open_, rows, second)
+    return out
 
 
 def keep_firsts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest of their component, with all their columns.
 
-    The ids that go are broadcast while they are few (BROADCAST_IDS), else joined by shuffle.
+    The ids that go are broadcast while they are few (BROADCAST_IDS), else joined by shuffle. Of rows that
+    repeat a doc_id the one with the least text stays; rows with a null doc_id all stay.
     """
     found = stored(join_components(docs, n, percent), "classes")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")) if repeated else kept
+    if not repeated:
+        return kept
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = kept.where("doc_id is not null").select("*", nth.alias("_nth")).where("_nth = 1").drop("_nth")
+    return one.unionByName(kept.where("doc_id is null"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,26 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.join_components(none).count() == 0 and ngram_join.keep_firsts(none).count() == 0
 
 
+def shingle_components(rows, n, percent):
+    """Brute force: shingle sets of (doc_id, text) rows, and the least doc_id reachable, rows of one id being one document."""
+
+    def shingled(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+    sets = [shingled(t) for _, t in rows]
+    label = {i: i for i, _ in rows}
+    linked = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * (k := len(sets[a] & sets[b])) >= percent * (len(sets[a]) + len(sets[b]) - k)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return sets, label
+
+
 @pytest.mark.parametrize("n, percent", [(3, 90), (2, 60)])
 def test_ngram_join_brute(spark, n, percent):
     rng = np.random.default_rng(n)
@@ -84,22 +104,38 @@ def test_ngram_join_brute(spark, n, percent):
             rows.append(" ".join(t))
     ids = rng.permutation(len(rows)).tolist()
     got = table(ngram_join.join_components(spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string"), n, percent)).set_index("doc_id")
-
-    def shingled(t):
-        w = t.lower().split()
-        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
-
-    sets = {i: shingled(t) for i, t in zip(ids, rows)}
-    label = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a in ids:
-            for b in ids:
-                both = len(sets[a] & sets[b])
-                if label[a] > label[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                    label[a], changed = label[b], True
-    assert got.component_id.to_dict() == label and all(got.n_shingles[i] == len(s) for i, s in sets.items())
+    sets, label = shingle_components(list(zip(ids, rows)), n, percent)
+    assert got.component_id.to_dict() == label and all(got.n_shingles[i] == len(s) for i, s in zip(ids, sets))
+
+
+def test_ngram_join_large_groups(spark, monkeypatch):
+    """Hubs with many partners, and many copies of a passage none of which is linked to another, over many tiles."""
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = [" ".join(base + [f"own{k}x{j}" for j in range(int(rng.integers(7, 12)))]) for k in range(50)]  # near copies just under the threshold
+    other = [f"c{i}" for i in range(100)]
+    for k in range(60):
+        t = list(other)
+        t[int(rng.integers(100))] = f"e{k}"
+        rows.append(" ".join(t))
+    rows += [" ".join(base)] * 3 + [rows[4] + " tail"]
+    ids = rng.permutation(len(rows)).tolist()
+    for n, percent in ((3, 90), (3, 80)):
+        got = table(ngram_join.join_components(spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string"), n, percent)).set_index("doc_id")
+        assert got.component_id.to_dict() == shingle_components(list(zip(ids, rows)), n, percent)[1], percent
+
+
+def test_ngram_join_repeated_ids_of_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (9, b + " more"), (11, "alone"), (12, ""), (12, a), (12, a), (20, "x y z"), (21, "alone")]
+    got = table(ngram_join.join_components(spark.createDataFrame([(*r, 1) for r in rows] + [(None, a, 1)], "doc_id long, text string, key int"), 3, 90))
+    assert len(got) == len(rows) + 1 and got.doc_id.isna().sum() == 1 and got[got.doc_id.isna()].component_id.isna().all()
+    assert got.dropna().groupby("doc_id").component_id.agg(set).to_dict() == {i: {c} for i, c in shingle_components(rows, 3, 90)[1].items()}
+    assert sorted(got[got.doc_id == 12].n_shingles) == [0, 58, 58]
+    kept = table(ngram_join.keep_firsts(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90))
+    assert sorted(kept.doc_id) == [3, 11, 20]
 
 
 def test_packing(spark, docs, none):
