@@ -250,7 +250,7 @@ def test_vptree_of_long_and_short_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(6000, 64))
     x /= np.sqrt((x**2).sum(1))[:, None]
-    for norm in (1.0, 1e3, 1e6):  # one long row takes nothing from the others
+    for norm in (1.0, 1e3, 1e7):  # one long row takes nothing from the others
         y = x.copy()
         y[17] *= norm
         _, at = vptree.Tree(y, lifted=True).search(y[:50], 20)
@@ -264,6 +264,54 @@ def test_vptree_of_long_and_short_vectors(spark):
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want, q
 
 
+def test_vptree_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 8))
+    x[:1000] = x[0]
+    x[1200] *= 1e7
+    got = table(vptree.search(spark.createDataFrame([(i, v.tolist(), "z") for i, v in enumerate(x)], "vec_id long, embedding array<double>, shard string"), every=50, shard_rows=100, block_rows=7))
+    for q in range(0, 1500, 50):
+        scores = np.einsum("ij,ij->i", np.repeat(x[q : q + 1], 1500, 0), x)
+        want = [i for i in np.lexsort((np.arange(1500), -scores)) if i != q][:20]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want, q
+
+
+def test_vptree_recall_of_factors(spark):
+    """Recall at 20 by factor, on clusters and on unrelated directions; the README has these figures."""
+    rng = np.random.default_rng(2)
+    clusters = rng.normal(size=(60, 32))[rng.integers(60, size=3000)] + 0.3 * rng.normal(size=(3000, 32))
+    for x in (clusters, rng.normal(size=(3000, 32))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        products = x[::20] @ x.T
+        products[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+        edge = -np.sort(-products, 1)[:, 19]
+        recall = {}
+        for factor in (1.0, 1.5, 2.0):
+            got = table(vptree.search(df, factor=factor, shard_rows=300))
+            recall[factor] = sum((g.score >= edge[q // 20] - 1e-9).sum() for q, g in got.groupby("query_id")) / (150 * 20)
+        assert recall[1.0] == 1 and recall[1.5] >= 0.95 and recall[2.0] >= 0.9, recall
+
+
+def test_vptree_prunes_balls():
+    """Among clusters a query is dealt to few shards."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20, 32))[rng.integers(20, size=4000)] + 0.1 * rng.normal(size=(4000, 32))
+    router = vptree.Router(x, 20)
+    home = router.home(x)
+    balls = []
+    for shard, h in enumerate(np.unique(home)):
+        tree = vptree.Tree(x[home == h], lifted=True)
+        center, radius = tree.ball()
+        balls.append({"shard": shard, "center": center, "radius": radius, "longest": tree.longest})
+    router.learn(balls)
+    floor = -np.sort(-(x[:200] @ x.T), 1)[:, 20]
+    open_ = router.open(x[:200], floor, 1.0)
+    assert open_.mean() < 0.3
+    for i, j in zip(*np.nonzero(~open_)):  # what is pruned holds nothing above the floor
+        if j != router.first(x[i : i + 1])[0]:
+            assert (x[home == np.unique(home)[j]] @ x[i]).max() <= floor[i] + 1e-9
+
+
 def test_quality(spark, docs, none):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
