@@ -515,7 +515,7 @@ def test_html_alignment_by_ends():
         a, b = ([["#", {}, [[str(x), {str(t): [1, [1]]}, [], 1, 1] for x, t in rng.integers(0, [[3, 9]], (rng.integers(0, 8), 2))], 1, 0] for _ in "ab"])
         m = html.Matcher()
         pairs = m.pairs(a, m.shape(a), b, m.shape(b))
-        worth = lambda x, y: 1 + html.SAME_TEXT * (x[1].keys() == y[1].keys()) if x[0] == y[0] else 0
+        worth = lambda x, y: 2 + html.SAME_TEXT * (x[1].keys() == y[1].keys()) if x[0] == y[0] else 0
         best = np.zeros((len(a[2]) + 1, len(b[2]) + 1))
         for i, x in enumerate(a[2]):
             for j, y in enumerate(b[2]):
@@ -524,6 +524,85 @@ def test_html_alignment_by_ends():
         assert sum(worth(a[2][i], b[2][j]) for i, j in pairs) == best[-1, -1]
 
 
+def test_html_matching_brute():
+    """Simple tree matching against the best of all order-keeping matchings."""
+    rng = np.random.default_rng(6)
+
+    def grown(depth):
+        kids = [grown(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []
+        return [str(rng.choice(["p", "div", "div.a", "div.b", "ul"])), {}, kids, 1, 0]
+
+    def best(a, b):
+        if a[0].partition(".")[0] != b[0].partition(".")[0]:
+            return 0
+
+        def run(i, j):
+            if i == len(a[2]) or j == len(b[2]):
+                return 0
+            return max(run(i + 1, j), run(i, j + 1), (s := best(a[2][i], b[2][j])) and s + run(i + 1, j + 1))
+
+        return 1 + (a[0] == b[0]) + run(0, 0)
+
+    m = html.Matcher()
+    for _ in range(300):
+        a, b = grown(3), grown(3)
+        assert m.score(a, m.shape(a), b, m.shape(b)) == best(a, b)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>One</p><p title="x>Two it\'s</p><p>Three', "One\nTwo it's\nThree"),
+        ("<p>One</p><p title='x>Two</p><p>Three", "One\nTwo\nThree"),
+        ('<p title="a>b">One</p><a href=\'x">\'>Two</a>', "One\nTwo"),
+        ("<p>One <b", "One"),
+        ("<p>1 < 2 <3 <p>x", "1 < 2 <3\nx"),
+    ],
+)
+def test_html_quotes(page, want):
+    assert html.text_of(html.parsed(page)) == want
+
+
+def neutral(host, i, rng):
+    """A page whose names say nothing: per-page ids and numbered classes, notices that come and go, constants between varying words."""
+    words = lambda n: " ".join(f"{host}w{i}x{k}" for k in range(n))
+    title, paragraphs = words(4), [words(int(rng.integers(5, 40))) for _ in range(int(rng.integers(1, 7)))]
+    notice = f'<div class="q{i}" id="t{i}">All about {host} and its rights</div>' if rng.random() < 0.6 else ""
+    extra = "<div>" * (i % 3) + "<div class=u>Only on some pages of this site</div>" * (rng.random() < 0.4) + "</div>" * (i % 3)
+    menu = "".join(f"<li><a href=/{k}>Part {k} of {host}</a></li>" for k in range(5))
+    body = "".join(f"<p id=p{i}_{k}>{p}</p>" for k, p in enumerate(paragraphs))
+    page = (
+        f"<html><body class=b{i}><div id=a{i}><ul>{menu}</ul></div>{notice}<div class=c><h1>{title}</h1><div>Printed on <i>day{i}</i> by the desk</div>{body}</div>{extra}"
+        f"<div id=z{i}>Made by {host} <a href=/t>with care</a></div></body></html>"
+    )
+    return page, "\n".join([title, f"day{i}", *paragraphs])
+
+
+def test_html_by_alignment_alone(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for h in range(4):
+        for i in range(30):
+            page, want[100 * h + i] = neutral(f"h{h}", i, rng)
+            rows.append((100 * h + i, f"http://h{h}.org/{i}", page))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = table(html.extract(pages, names=False)).set_index("page_id").text
+    assert got.to_dict() == want  # every block that goes here goes by alignment
+    assert table(html.extract(pages)).set_index("page_id").text.to_dict() == want
+
+
+def test_html_wrappers_joined_by_host(spark, monkeypatch):
+    """The same texts when wrappers are too large to broadcast and are folded in levels."""
+    rng = np.random.default_rng(12)
+    rows = [(i, "http://h.org/", neutral("h", i, rng)[0]) for i in range(40)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    want = table(html.extract(pages, names=False)).set_index("page_id").text.to_dict()
+    monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(html, "FOLDED", 2)
+    got = table(html.extract(pages, names=False)).set_index("page_id").text.to_dict()
+    assert {k: v for k, v in got.items() if k == k} == {k: v for k, v in want.items() if k == k} and len(got) == 41
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
