@@ -28,7 +28,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import ChainMap
 from itertools import islice
 
 import numpy as np
@@ -259,22 +258,36 @@ class Codec:
         return out
 
     def chunks(self, text: str) -> list[str]:
-        """The text cut before each single space between two other characters; the pattern never matches across."""
-        parts = self.apart(text) if self.wide(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
+        """The text cut at each single space between two other characters; the pattern never matches across. The space belongs to what follows."""
+        return self.apart(text) if self.wide(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For each text, its ids as decimal numbers joined by spaces, and the bytes they decode to."""
         chunked = [self.chunks(t) if t else [] for t in texts]
-        words = {c: self.split(c) for c in set().union(*chunked) - self.ids.keys()}
-        fresh = self.learned(sorted(set().union(*words.values()) - self.encoded.keys()))
+        firsts = {c[0]: self.split(c[0]) for c in chunked if c}
+        words = {c: self.split(" " + c) for c in set().union(*(c[1:] for c in chunked)) - self.ids.keys()}
+        fresh = self.learned(sorted(set().union(*words.values(), *firsts.values()) - self.encoded.keys()))
         for w in islice(fresh, max(0, REMEMBERED - len(self.encoded))):
             self.encoded[w] = fresh[w]
-        known = ChainMap(fresh, self.encoded)
+        old, new = self.encoded.get, fresh.get
+
+        def joined(ws: list[str]) -> tuple[str, bytes]:
+            if len(ws) == 1:
+                return old(ws[0]) or new(ws[0])
+            got = [old(w) or new(w) for w in ws]
+            return " ".join([g[0] for g in got]), b"".join([g[1] for g in got])
+
         for c, ws in words.items():
-            got = [known[w] for w in ws]
-            self.ids[c], self.raw[c] = " ".join([g[0] for g in got]), b"".join([g[1] for g in got])
-        out = [(" ".join(map(self.ids.__getitem__, c)), b"".join(map(self.raw.__getitem__, c))) for c in chunked]
+            self.ids[c], self.raw[c] = joined(ws)
+        begun = {c: joined(ws) for c, ws in firsts.items()}
+        out = []
+        for c in chunked:
+            ids, raw = begun[c[0]] if c else ("", b"")
+            if len(c) > 1:
+                tail = [*map(self.ids.__getitem__, c[1:])]
+                ids = " ".join([ids, *tail] if ids else tail)
+                raw += b"".join(map(self.raw.__getitem__, c[1:]))
+            out.append((ids, raw))
         if len(self.ids) > REMEMBERED:  # what came first is the most frequent; the newest go again
             for c in words:
                 del self.ids[c], self.raw[c]
