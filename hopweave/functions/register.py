@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from hopweave.functions.text import SPACE, token_pattern
+
 #: name -> (parameters, result type, body). Bodies stay in the JVM.
 SQL_FUNCTIONS = {
-    "hw_collapse": ("s string", "string", r"regexp_replace(s, '\\s+', ' ')"),
-    "hw_words": ("s string", "array<string>", r"filter(split(s, '\\s+'), w -> w <> '')"),
+    "hw_collapse": ("s string", "string", f"regexp_replace(s, r'[{SPACE}]+', ' ')"),
+    "hw_words": ("s string", "array<string>", f"filter(split(s, r'[{SPACE}]+'), w -> w <> '')"),
     "hw_tokens": ("s string", "array<string>", r"regexp_extract_all(s, '[a-zA-Z0-9]+', 0)"),
-    "hw_sentences": ("s string", "array<string>", r"filter(transform(split(s, '[.!?;]'), x -> trim(x)), x -> x <> '')"),
+    "hw_content_tokens": ("s string", "array<string>", f"regexp_extract_all(s, r'{token_pattern()}', 0)"),
+    "hw_strip": ("s string", "string", f"regexp_replace(s, r'^[{SPACE}]+|[{SPACE}]+\\z', '')"),
+    "hw_sentences": ("s string", "array<string>", f"filter(transform(split(s, '[.!?;]'), x -> regexp_replace(x, r'^[{SPACE}]+|[{SPACE}]+\\z', '')), x -> x <> '')"),
+    "hw_norm": ("a array<double>", "double", "sqrt(aggregate(a, 0D, (s, x) -> s + x * x))"),
+    "hw_valid_query": ("s string", "boolean", f"coalesce(length(regexp_replace(s, r'^[{SPACE}]+|[{SPACE}]+\\z', '')) >= 2, false)"),
+    "hw_sort_number": ("s string", "bigint", r"coalesce(try_cast(nullif(regexp_extract(s, '(\\\\d+)', 1), '') as bigint), 0)"),
     "hw_strip_html": ("s string", "string", r"regexp_replace(s, '<[^\\n]*?>', '')"),
     "hw_jaccard": (
         "a string, b string", "double",

@@ -5,11 +5,15 @@ White space follows Unicode, spelled out for Java's ASCII classes.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of the Unicode standard, for use inside a class.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+BLANKS = "".join(filter(re.compile(f"[{SPACE}]").match, map(chr, range(0x3001))))
 #: The ASCII punctuation, and the marks that evaluation also deletes (a space is among them).
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 EVAL_MARKS = ", .!？；:‘’“”[]()《》、—…"
@@ -28,7 +32,7 @@ ADVERBS = "very extremely highly really quite somewhat slightly greatly strongly
 
 def strip(c: Column) -> Column:
     """Trim all white space, not only spaces."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
@@ -44,7 +48,7 @@ def _class(chars: str) -> str:
     return "[" + "".join("\\" + c if c in PUNCTUATION else c for c in chars) + "]"
 
 
-def clean(c: Column, whitespace: bool = True, urls: bool = True, lower: bool = True, numbers: bool = False, punctuation: bool = True, stopwords: bool = False) -> Column:
+def clean(c: Column, whitespace: bool = True, urls: bool = True, lower: bool = True, numbers: bool = False, punctuation: bool = True, stopwords: bool = False, stopword_list: Sequence[str] = STOPWORDS) -> Column:
     """Clean-up in fixed order; a null gives an empty string. Removing a URL may leave two spaces."""
     out = F.coalesce(c, F.lit(""))
     if whitespace:
@@ -58,16 +62,24 @@ def clean(c: Column, whitespace: bool = True, urls: bool = True, lower: bool = T
     if punctuation:
         out = F.translate(out, PUNCTUATION, "")
     if stopwords:
-        out = F.array_join(tokens(out), " ")
+        out = F.array_join(tokens(out, stopwords=stopword_list), " ")
     return strip(out)
 
 
-def tokens(c: Column, remove_stopwords: bool = True, min_length: int = 1) -> Column:
-    """ASCII alphanumeric runs; stopwords are matched by case."""
-    found = F.regexp_extract_all(c, F.lit("[a-zA-Z0-9]+"), 0)
-    if remove_stopwords:
-        stop = F.array(*map(F.lit, STOPWORDS))
-        found = F.filter(found, lambda w: ~F.array_contains(stop, w))
+def token_pattern(stopwords: Sequence[str] = STOPWORDS, remove_stopwords: bool = True) -> str:
+    """Runs of ASCII letters and digits that are no stopword (matched by case): one pattern, its words grouped by their first letter."""
+    if not remove_stopwords or not stopwords:
+        return "[a-zA-Z0-9]+"
+    first: dict[str, list[str]] = {}
+    for w in sorted(set(stopwords)):
+        if re.fullmatch("[a-zA-Z0-9]+", w):  # others can be no token
+            first.setdefault(w[0], []).append(w[1:])
+    return r"(?<![a-zA-Z0-9])(?!(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in first.items()) + r")(?![a-zA-Z0-9]))[a-zA-Z0-9]+"
+
+
+def tokens(c: Column, remove_stopwords: bool = True, min_length: int = 1, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """ASCII alphanumeric runs; stopwords (the built-in ones, or a list of one's own) are matched by case."""
+    found = F.regexp_extract_all(c, F.lit(token_pattern(stopwords, remove_stopwords)), 0)
     return F.filter(found, lambda w: F.length(w) >= min_length) if min_length > 1 else found
 
 
@@ -82,11 +94,16 @@ def sentences(c: Column, marks: str = ".!?;") -> Column:
 
 
 def count_words(c: Column, use_tokens: bool = True) -> Column:
-    return F.size(tokens(c) if use_tokens else words(c))
+    return F.regexp_count(c, F.lit(token_pattern() if use_tokens else f"[^{SPACE}]+"))
 
 
 def count_sentences(c: Column) -> Column:
-    return F.size(sentences(c))
+    return F.regexp_count(c, F.lit(f"[.!?;{SPACE}]*+[^.!?;]++"))
+
+
+def count_letters(c: Column) -> Column:
+    """ASCII letters and digits: the length of all tokens together."""
+    return F.length(F.regexp_replace(c, "[^a-zA-Z0-9]+", ""))
 
 
 def normalize(c: Column) -> Column:
@@ -115,9 +132,18 @@ def eval_normalize_strict(c: Column) -> Column:
     return words(F.lower(F.translate(c, PUNCTUATION + EVAL_MARKS.replace(" ", ""), "")))
 
 
+def word_set(c: Column) -> Column:
+    """Distinct lower-cased words."""
+    return F.array_distinct(words(F.lower(c)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of the sets of lower-cased words; 0 when both are empty."""
-    x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))
+    return set_jaccard(word_set(a), word_set(b))
+
+
+def set_jaccard(x: Column, y: Column) -> Column:
+    """Similarity of two arrays without repeats."""
     both = F.size(F.array_intersect(x, y))
     return F.when(F.size(x) + F.size(y) > 0, both / (F.size(x) + F.size(y) - both)).otherwise(F.lit(0.0))
 
@@ -153,25 +179,22 @@ def sentence_chunks(c: Column, size: int = 500, overlap: int = 0) -> Column:
 
 def token_chunks(c: Column, size: int = 500, overlap: int = 0) -> Column:
     """Tokens packed greedily; each counts its length and a space. The overlap is made of whole tokens."""
-    empty = F.array().cast("array<string>")
-    width = lambda a: F.aggregate(a, F.lit(0), lambda n, t: n + F.length(t) + 1)
-    start = F.struct(empty.alias("chunks"), empty.alias("current"))
+    start = _state(F.array().cast("array<string>"), F.lit(""))
 
     def tail(current):
+        """The longest run of last tokens that counts at most the overlap: cut at the first space of that many last characters."""
         if not overlap:
-            return empty
-        return F.filter(current, lambda t, i: width(F.slice(current, i + 1, F.size(current))) <= overlap)
+            return F.lit("")
+        return F.when(F.length(current) < overlap, current).otherwise(F.regexp_replace(F.right(current, F.lit(overlap)), r"^[^ ]*( |\z)", ""))
 
     def step(acc, t):
         cur = acc["current"]
-        full = (width(cur) + F.length(t) + 1 > size) & (F.size(cur) > 0)
-        return F.struct(
-            F.when(full, F.concat(acc["chunks"], F.array(F.array_join(cur, " ")))).otherwise(acc["chunks"]).alias("chunks"),
-            F.concat(F.when(full, tail(cur)).otherwise(cur), F.array(t)).alias("current"),
-        )
+        full = (F.length(cur) + F.length(t) + 2 > size) & (cur != "")
+        kept = F.when(full, tail(cur)).otherwise(cur)
+        return _state(F.when(full, F.concat(acc["chunks"], F.array(cur))).otherwise(acc["chunks"]), F.when(kept == "", t).otherwise(F.concat(kept, F.lit(" "), t)))
 
     def finish(acc):
-        return F.when(F.size(acc["current"]) > 0, F.concat(acc["chunks"], F.array(F.array_join(acc["current"], " ")))).otherwise(acc["chunks"])
+        return F.when(acc["current"] == "", acc["chunks"]).otherwise(F.concat(acc["chunks"], F.array(acc["current"])))
 
     return F.when(F.length(c) <= size, F.array(c)).otherwise(F.aggregate(tokens(c), start, step, finish))
 

@@ -5,33 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.functions.text import drop_descriptive, entities, jaccard, strip, words
+from hopweave.functions.text import SPACE, count_words, drop_descriptive, entities, sentences, set_jaccard, strip, word_set, words
 
 #: Characters that only OCR produces in runs; the units that may follow a number.
 NOISE = "│━─—§¶×®©"
 NUMBER = r"\$?\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:%|million|billion|kg|mm|°C|kW)?"
 #: A list marker at the start of a line: "1.", "A)", "(A)" or an ideographic comma.
+THREE_WORDS = rf"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{2}}[^{SPACE}]"
 MARKER = r"\n\s*(?:\d+\.|\(?[A-Z]\)|、)"
 
 
 def clean_lines(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
     """Drop runs of noise and lines seen three times, short lines and those of under three words; keep texts of which over 30 % of the words are left."""
-    text = F.regexp_replace("text", f"[{NOISE}]{{5,}}", "")
-    bare = docs.withColumn("text", text).withColumn("lines", F.split("text", "\n"))
-    rows = bare.select(id_, "text", F.posexplode("lines").alias("pos", "line"))
-    often = Window.partitionBy(id_, "line")
-    kept = rows.withColumn("n", F.count("*").over(often)).where("n < 3").where(F.length(strip(F.col("line"))) > 10).where(F.size(words(F.col("line"))) > 2)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    back = kept.groupBy(id_).agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("cleaned"))
-    total = bare.select(id_, F.size(words(F.col("text"))).alias("n_words"))
-    left = F.size(words(F.col("cleaned")))
-    return back.join(total, id_).where("n_words > 0").where(left / F.col("n_words") > 0.3).select(id_, F.col("cleaned").alias("text"), left.cast("long").alias("n_left"), F.col("n_words").cast("long").alias("n_words"))
-
-
-def chunks(text: Column, size: int = 300) -> Column:
-    """Sections at list markers (over 50 words each), or pieces of ``size`` characters where there are under two markers."""
+    bare = F.regexp_replace("text", f"[{NOISE}]{{5,}}", "")
+
+    def often(lines: Column) -> Column:
+        """Sorted, a line seen three times stands two places after itself."""
+        return let(F.sort_array(lines), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 2) == x, F.lit(False)))))
+
+    def good(lines: Column) -> Column:
+        return let(often(lines), lambda o: F.filter(lines, lambda x: x.rlike(THREE_WORDS) & (F.length(strip(x)) > 10) & ~F.array_contains(o, x)))
+
+    kept = let(let(F.split(bare, "\n"), good), lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")))
+    row = let(kept, lambda t: F.struct(t.alias("text"), count_words(t, use_tokens=False).cast("long").alias("n_left"), count_words(bare, use_tokens=False).cast("long").alias("n_words")))
+    # As a generator, the row is made once; a filter would be pushed down and make it anew.
+    fits = F.filter(F.array(row), lambda r: (r["n_words"] > 0) & (r["n_left"] / r["n_words"] > 0.3))
+    return docs.select(id_, F.inline(fits))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: a lambda's variable is bound, a repeated expression is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sentence_windows(text: Column, n: int = 5) -> Column:
+    """Runs of ``n`` sentences, joined by a full stop and a space."""
+    s = sentences(text)
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(s) / n).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(s, i * n + 1, F.lit(n)), ". "))
+
+
+def chunks(text: Column, size: int = 300, windows: int = 0) -> Column:
+    """Sections at list markers (over 50 words each); with under two markers, pieces of ``size`` characters, or windows of so many sentences."""
     parts = F.split(text, MARKER)
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0))), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    pieces = sentence_windows(text, windows) if windows else pieces
     big = F.transform(F.filter(parts, lambda p: F.size(words(p)) > 50), strip)
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.size(parts) < 3, pieces).otherwise(big)
 
@@ -42,12 +59,21 @@ def coherent(text: Column) -> Column:
 
 
 def near_distinct(texts: Column, limit: Column | float = 0.9, most: int = 10) -> Column:
-    """Greedy choice from an ordered array: keep what is at most ``limit`` similar to all kept before; the first ``most``."""
+    """Greedy choice from an ordered array: keep what is at most ``limit`` similar to all kept before, up to the first ``most`` kept."""
+    paired = F.transform(texts, lambda t: F.struct(t.alias("t"), word_set(t).alias("w")))
     kept = F.aggregate(
-        texts, F.array().cast("array<string>"),
-        lambda acc, t: F.when((F.size(acc) >= most) | F.exists(acc, lambda k: jaccard(k, t) > limit), acc).otherwise(F.concat(acc, F.array(t))),
+        paired, F.array().cast("array<struct<t:string,w:array<string>>>"),
+        lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda k: set_jaccard(k["w"], x["w"]) > limit), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    return kept
+    return F.transform(kept, lambda k: k["t"])
+
+
+def ranked_distinct(texts: Column, scores: Column | None = None, limit: Column | float = 0.9, most: int = 10) -> Column:
+    """near_distinct() of texts by falling score, equal ones in their order; without scores (no model) in their order."""
+    if scores is None:
+        return near_distinct(texts, limit, most)
+    order = F.array_sort(F.transform(F.arrays_zip(texts.alias("t"), scores.alias("s")), lambda x, i: F.struct((-x["s"]).alias("s"), i.alias("i"), x["t"].alias("t"))))
+    return near_distinct(F.transform(order, lambda x: x["t"]), limit, most)
 
 
 def budget(ranked: DataFrame, target: int, key: str = "question_id", order: str = "rank", text: str = "text", worth: int = 100) -> DataFrame:
@@ -55,13 +81,12 @@ def budget(ranked: DataFrame, target: int, key: str = "question_id", order: str
     n = ranked.withColumn("n_words", F.size(words(F.col(text))).cast("long"))
     total = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     run = n.withColumn("so_far", F.sum("n_words").over(total))
-    first = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    run = run.withColumn("over_before", F.coalesce(F.max((F.col("so_far") > target).cast("int")).over(first), F.lit(0)))
+    # Sums only grow: one before was over the target if the sum without this chunk is.
     left = F.lit(target) - (F.col("so_far") - F.col("n_words"))
     cut = F.col("so_far") > target
-    kept = run.where("over_before = 0").where(~cut | (left > worth))
+    kept = run.where(left >= 0).where(~cut | (left > worth))
     short = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " ")
-    return kept.withColumn("truncated", cut).withColumn(text, F.when(cut, short).otherwise(F.col(text))).withColumn("n_words", F.when(cut, left).otherwise(F.col("n_words"))).drop("so_far", "over_before")
+    return kept.withColumn("truncated", cut).withColumn(text, F.when(cut, short).otherwise(F.col(text))).withColumn("n_words", F.when(cut, left).otherwise(F.col("n_words"))).drop("so_far")
 
 
 def numbers(text: Column) -> Column:

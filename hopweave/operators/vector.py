@@ -56,17 +56,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (norm(a) * norm(b) + 1e-10)))
 
 
-def _unit(rows: pd.Series, zero_uniform: bool) -> np.ndarray:
+def _unit(ids: pd.Series, rows: pd.Series, zero_uniform: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows without null or non-finite components."""
     x = np.stack(rows.to_numpy()).astype(np.float64)
-    n = np.sqrt((x**2).sum(1, keepdims=True))
+    good = np.isfinite(x).all(1)
+    x = x[good]
+    top = np.abs(x).max(1, keepdims=True, initial=0)  # keeps squares of very long vectors finite
+    n = top * np.sqrt(((x / np.where(top > 0, top, 1)) ** 2).sum(1, keepdims=True))
     d = np.sqrt(x.shape[1])
-    return np.where(n > 1e-8, x / np.where(n > 0, n, 1), 1 / d if zero_uniform else x / d)
+    return ids.to_numpy()[good], np.where(n > 1e-8, x / np.where(n > 0, n, 1), 1 / d if zero_uniform else x / d)
 
 
 def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, threshold: float | None) -> pd.DataFrame:
     """The best k of one block for each query, by rounded score and id."""
     out = []
-    for s in range(0, len(qids), 512):
+    for s in range(0, len(qids) if len(ids) else 0, 512):
         score = np.round(q[s : s + 512] @ x.T, 6) + 0.0
         m = min(k, score.shape[1])
         edge = np.partition(score, score.shape[1] - m, 1)[:, score.shape[1] - m]
@@ -80,8 +84,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float |
     """Exact search by inner product of unit vectors: query_id, rank, node_id, score (6 decimals).
 
     queries: (query_id long, vector); corpus: (node_id long, vector). Vectors are normalised (zero query:
-    uniform, zero node: zero); nodes of another dimension than the query's, and nulls, are never hits. Every
-    corpus batch keeps its best k per query before anything is shuffled; ties go to the smaller node_id.
+    uniform, zero node: zero); nodes of another dimension than the query's, nulls, and vectors with null or
+    non-finite components are never hits, and such queries have none. Every corpus batch keeps its best k per query before anything is shuffled; ties go to the smaller node_id.
     """
     spark = queries.sparkSession
     queries = queries.where("vector is not null and size(vector) > 0")
@@ -90,14 +94,14 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float |
     schema = "query_id long, node_id long, score double"
     if size <= broadcast_bytes:
         asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toPandas()  # at most broadcast_bytes
-        groups = {d: (g["query_id"].to_numpy(), _unit(g["vector"], True)) for d, g in asked.groupby(asked["vector"].map(len))}
+        groups = {d: _unit(g["query_id"], g["vector"], True) for d, g in asked.groupby(asked["vector"].map(len))}
         shared = spark.sparkContext.broadcast(groups)
 
         def scan(batches):
             for pdf in batches:
                 for d, g in pdf.groupby(pdf["vector"].map(len)):
                     if d in shared.value:
-                        yield _best(*shared.value[d], g["node_id"].to_numpy(), _unit(g["vector"], False), k, threshold)
+                        yield _best(*shared.value[d], *_unit(g["node_id"], g["vector"], False), k, threshold)
 
         partial = corpus.select("node_id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(scan, schema)
     else:
@@ -110,8 +114,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float |
         def tile(pdf: pd.DataFrame) -> pd.DataFrame:
             q, c = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
             if not len(q) or not len(c):
-                return _best(np.zeros(0), None, None, None, k, threshold)
-            return _best(q["id"].to_numpy(), _unit(q["vector"], True), c["id"].to_numpy(), _unit(c["vector"], False), k, threshold)
+                return _best(np.zeros(0), None, np.zeros(0), None, k, threshold)
+            return _best(*_unit(q["id"], q["vector"], True), *_unit(c["id"], c["vector"], False), k, threshold)
 
         partial = tiles.withColumn("d", F.size("vector")).groupBy("d", "tq", "tc").applyInPandas(tile, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")

@@ -266,8 +266,9 @@ select doc_id, ({_WORDS.format(_EVAL)} = {_WORDS.format(_EVAL.replace('text', 't
 def em_score(spark, sf_dir):
     """Exact match of every text with the first of its language."""
     d = read(spark, sf_dir, "documents")
-    f = d.groupBy("lang").agg(F.min_by("text", "doc_id").alias("truth"))
-    return d.join(F.broadcast(f), "lang").select("doc_id", evaluate.exact_match(F.col("text"), F.col("truth")).alias("exact_match"))
+    f = d.groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
+    truth = d.select("doc_id", F.col("text").alias("truth")).join(f, "doc_id").select("lang", "truth")  # whole texts don't travel as aggregates
+    return d.join(truth, "lang").select("doc_id", evaluate.exact_match(F.col("text"), F.col("truth")).alias("exact_match"))
 
 
 def _results(spark, sf_dir):
@@ -306,9 +307,10 @@ def resume_anti_join(spark, sf_dir):
 
 @query("select text, min(doc_id) as doc_id, count(*) as copies from documents group by text")
 def exact_dedup_first(spark, sf_dir):
-    """The first of each text. Grouping by a digest keeps whole texts out of the shuffle's keys."""
-    d = read(spark, sf_dir, "documents").withColumn("key", F.sha2("text", 256))
-    return d.groupBy("key").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("key")
+    """The first of each text. Only digests and ids are shuffled; texts are joined back for the firsts alone."""
+    d = read(spark, sf_dir, "documents")
+    first = d.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return d.select("doc_id", "text").join(first.select("doc_id", "copies"), "doc_id")
 
 
 @query("select doc_id, case doc_id % 3 when 0 then source when 1 then lang else 'fallback' end as truth from documents")

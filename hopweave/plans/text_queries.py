@@ -85,7 +85,7 @@ def txt_normalize(spark, sf_dir):
 def txt_features(spark, sf_dir):
     c = F.col("text")
     w, s = text.count_words(c), text.count_sentences(c)
-    letters = F.aggregate(text.tokens(c, remove_stopwords=False), F.lit(0), lambda n, x: n + F.length(x))
+    letters = text.count_letters(c)
     f = read(spark, sf_dir, "documents").select("doc_id", F.length(c).cast("long").alias("total_characters"), w.cast("long").alias("total_words"), s.cast("long").alias("total_sentences"), letters.alias("l"))
     share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)), 6)
     return f.select("doc_id", "total_characters", "total_words", "total_sentences", share("l", "total_words").alias("avg_word_length"), share("total_words", "total_sentences").alias("avg_sentence_length"))
@@ -110,19 +110,62 @@ def char_chunks(spark, sf_dir):
     return d.select("doc_id", F.col("i").cast("long").alias("chunk_no"), "chunk")
 
 
-@query()
+def _reduced(items: str, state: str, step: str, rows: str) -> str:
+    """A fold in SQL: every item becomes a state whose current text it is; step joins acc and x."""
+    return f"select *, list_reduce(list_transform({items}, lambda s: {state.format('s')}), lambda acc, x: {step}, {state.format(chr(39) * 2)}) as r from ({rows})"
+
+
+_CHUNK = "{{'c': []::varchar[], 'cur': {}}}"
+_PARTS = "case when length(text) <= 500 then [text] when {0} = '' then r.c else list_append(r.c, {0}) end"
+_TRIM = "trim({}, E' \t\n\r')"
+
+
+@query(
+    "select doc_id, generate_subscripts(p, 1) - 1 as chunk_no, unnest(p) as chunk from (select doc_id, "
+    + _PARTS.format(_TRIM.format("r.cur")) + " as p from ("
+    + _reduced(
+        _SENTENCES, _CHUNK,
+        f"case when length(acc.cur) + length(x.cur) + 1 > 500 and acc.cur <> '' then {{'c': list_append(acc.c, {_TRIM.format('acc.cur')}), 'cur': right(acc.cur, 20) || ' ' || x.cur}} "
+        "when acc.cur = '' then {'c': acc.c, 'cur': x.cur} else {'c': acc.c, 'cur': acc.cur || ' ' || x.cur} end",
+        "select doc_id, text from documents",
+    ) + "))"
+)
 def sentence_chunks(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentence_chunks(F.col("text"), 500, 20)).alias("i", "chunk"))
     return d.select("doc_id", F.col("i").cast("long").alias("chunk_no"), "chunk")
 
 
-@query()
+_TAIL = "case when length(acc.cur) < 40 then acc.cur else regexp_replace(right(acc.cur, 40), '^[^ ]*( |$)', '') end"
+
+
+@query(
+    "select doc_id, generate_subscripts(p, 1) - 1 as chunk_no, unnest(p) as chunk from (select doc_id, "
+    + _PARTS.format("r.cur") + " as p from ("
+    + _reduced(
+        _TOKENS, _CHUNK,
+        "case when length(acc.cur) + length(x.cur) + 2 > 500 and acc.cur <> '' then {'c': list_append(acc.c, acc.cur), 'cur': case when " + _TAIL + " = '' then x.cur else " + _TAIL + " || ' ' || x.cur end} "
+        "when acc.cur = '' then {'c': acc.c, 'cur': x.cur} else {'c': acc.c, 'cur': acc.cur || ' ' || x.cur} end",
+        "select doc_id, text from documents",
+    ) + "))"
+)
 def token_chunks(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.token_chunks(F.col("text"), 500, 40)).alias("i", "chunk"))
     return d.select("doc_id", F.col("i").cast("long").alias("chunk_no"), "chunk")
 
 
-@query()
+_GAPS = "(len(string_split(acc.cur, ' ')) - 1)"
+_ROOM = "(80 - length(replace(acc.cur, ' ', '')))"
+_JUSTIFIED = f"case when {_GAPS} < 1 then acc.cur else array_to_string(list_transform(string_split(acc.cur, ' '), lambda w, i: case when i <= {_GAPS} then w || repeat(' ', ({_ROOM} // {_GAPS} + (i <= {_ROOM} % {_GAPS})::int)::bigint) else w end), '') end"
+
+
+@query(
+    "select conv_id, turn, array_to_string(case when r.cur = '' then r.c else list_append(r.c, r.cur) end, E'\\n') as wrapped from ("
+    + _reduced(
+        _WORDS.format("text"), _CHUNK,
+        f"case when length(acc.cur) + length(x.cur) + (acc.cur <> '')::int > 80 then {{'c': list_append(acc.c, {_JUSTIFIED}), 'cur': x.cur}} when acc.cur = '' then {{'c': acc.c, 'cur': x.cur}} else {{'c': acc.c, 'cur': acc.cur || ' ' || x.cur}} end",
+        "select conv_id, turn, text from conversations",
+    ) + ")"
+)
 def txt_wrap(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.wrap(F.col("text"), 80, justified=True).alias("wrapped"))
 
@@ -186,19 +229,54 @@ def context_budget(spark, sf_dir):
     return ocr.budget(c, 400, key="doc_id", worth=20).select("doc_id", "rank", "n_words", "truncated", "text")
 
 
-@query()
+_SET = f"list_distinct({_WORDS.format('lower({})')})"
+
+
+def _greedy(items: str, rows: str) -> str:
+    """The greedy choice in SQL: items as (text, set) pairs, kept ones in k, at most ten."""
+    pair = f"{{'t': s, 'w': {_SET.format('s')}}}"
+    both = "len(list_intersect(y.w, x.k[1].w))"
+    near = f"len(list_filter(acc.k, lambda y: case when len(y.w) + len(x.k[1].w) > 0 then {both} / (len(y.w) + len(x.k[1].w) - {both}) else 0 end > 0.9)) > 0"
+    return f"select *, list_reduce(list_transform({items}, lambda s: {{'k': [{pair}]}}), lambda acc, x: case when len(acc.k) >= 10 or {near} then acc else {{'k': list_concat(acc.k, x.k)}} end) as g from ({rows})"
+
+
+@query(
+    "select doc_id, (generate_subscripts(g, 1) - 1)::bigint as pos, unnest(g) as sentence from (select doc_id, list_transform(g.k, lambda y: y.t) as g from ("
+    + _greedy(_SENTENCES, f"select doc_id, text from documents where len({_SENTENCES}) > 0") + "))"
+)
 def near_dup_greedy(spark, sf_dir):
-    """Per document, its sentences chosen greedily so that none is over 0.9 similar to an earlier one."""
+    """Per document, its sentences chosen greedily so that none is over 0.9 similar to an earlier one, up to the first ten chosen (the operator's ``most``, a top-k)."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(ocr.near_distinct(text.sentences(F.col("text")))).alias("i", "sentence"))
     return d.select("doc_id", F.col("i").cast("long").alias("pos"), "sentence")
 
 
-@query()
+_MARKER = ocr.MARKER
+_CHUNKED = f"""case when length(text) = 0 then [] when len(regexp_split_to_array(text, '{_MARKER}')) < 3 then list_transform(range(ceil(length(text) / 300.0)::bigint), lambda i: substring(text, i * 300 + 1, 300))
+  else list_transform(list_filter(regexp_split_to_array(text, '{_MARKER}'), lambda p: len({_WORDS.format('p')}) > 50), lambda p: {_TRIM.format('p')}) end"""
+
+
+@query(
+    f"""with c as (select doc_id, {_CHUNKED} as parts from ({_LINES})), g as ({_greedy('parts', 'select * from c where len(parts) > 0')}),
+    e as (select doc_id, generate_subscripts(t, 1) - 1 as rank, unnest(t) as text from (select doc_id, list_transform(g.k, lambda y: y.t) as t from g)),
+    n as (select *, len({_WORDS.format('text')}) as n from e), s as (select *, sum(n) over (partition by doc_id order by rank) - n as before from n)
+    select doc_id, rank::bigint as rank, (case when before + n > 500 then 500 - before else n end)::bigint as n_words, before + n > 500 as truncated,
+    case when before + n > 500 then array_to_string(({_WORDS.format('text')})[1:(500 - before)::bigint], ' ') else text end as text from s where before <= 500 and (before + n <= 500 or 500 - before > 100)"""
+)
 def ocr_compress(spark, sf_dir):
+    """Noise, chunks, near duplicates (at most ten chunks kept, a top-k) and budget of every document."""
     return ocr.compress(read(spark, sf_dir, "documents").select("doc_id", "text"), "what changed", 500).select("doc_id", F.col("rank").cast("long").alias("rank"), "text", "n_words", "truncated")
 
 
-@query()
+_ENDS = "list_transform(range(1, len({p})), lambda i: list_sum(list_transform(({p})[1:i], lambda y: length(y))) + i * length(e))"
+_WINDOWS = "list_transform(" + _ENDS.format(p="regexp_split_to_array(text, '(?i)' || e)") + ", lambda z: substring(text, greatest(z - length(e) - 100, 0)::bigint + 1, (z + 100 - greatest(z - length(e) - 100, 0))::bigint))"
+_ENTITIES = "list_sort(list_distinct(regexp_extract_all(string_split(text, ' ')[1], '[A-Z][a-z]+|[A-Z]+|[一-龥]+')))"
+_FOUND = f"""array_to_string(list_concat(regexp_extract_all(text, '{ocr.NUMBER}'), list_concat(regexp_extract_all(text, '(?s)(?:Table|Figure)\s*\d+[^\n]*\n.{{0,500}}'),
+  list_concat(regexp_extract_all(text, 'Page\s+\d+[^\n]*\n[^\n]{{0,300}}'), flatten(list_transform({_ENTITIES}, lambda e: {_WINDOWS}))))), E'\n')"""
+
+
+@query(
+    f"""select conv_id, turn, case when len({_WORDS.format('found')}) > 2000 then regexp_replace(found, '\b(?:{'|'.join(text.ADVERBS)})\b', '', 'g') else found end as extract from (select conv_id, turn, {_FOUND} as found from conversations)"""
+)
 def ocr_precision(spark, sf_dir):
     """For each question of the conversations, the precision extract of its own text."""
     c = read(spark, sf_dir, "conversations")

@@ -118,6 +118,40 @@ def hybrid_union(spark, sf_dir):
     return u.select("query_id", F.col("position").cast("long").alias("position"), "modality", "node_id", "score")
 
 
+_ODD = """with o as (select *, label::int as part, case vec_id % 7 when 3 then list_transform(embedding, lambda x: case when x > 0.1 then 'nan'::double else x::double end)
+  when 5 then list_transform(embedding, lambda x: case when x > 0.2 then null else x::double end) when 6 then list_transform(embedding, lambda x: case when x > 0.15 then 'inf'::double else x::double end)
+  when 1 then list_transform(embedding[1:32], lambda x: x::double) when 2 then list_transform(embedding, lambda x: 0.0::double) else list_transform(embedding, lambda x: x::double * 1e3) end as v from embeddings),
+g as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from o where len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+u as (select vec_id, len(v) as d, n, list_transform(v, lambda x: case when n > 1e-8 then x / n else 0 end) as c, list_transform(v, lambda x: case when n > 1e-8 then x / n else 1 / sqrt(len(v)) end) as q from g)"""
+_ODD_TOP = _ODD + f""" select query_id, {_RANK}::bigint as rank, node_id, score from (select a.vec_id as query_id, b.vec_id as node_id, round(list_inner_product(a.q, b.c), 6) + 0 as score
+from u a join u b on a.d = b.d where a.vec_id % 50 < 7 and a.vec_id % 50 > 0) qualify rank <= 10"""
+
+
+def _odd(spark, sf_dir, broadcast_bytes):
+    x = lambda c: c.cast("double")
+    some = lambda least, other: F.transform("embedding", lambda c: F.when(c > least, other).otherwise(x(c)))
+    k = F.col("vec_id") % 7
+    v = (
+        F.when(k == 3, some(0.1, F.lit(float("nan")))).when(k == 5, some(0.2, F.lit(None))).when(k == 6, some(0.15, F.lit(float("inf"))))
+        .when(k == 1, F.transform(F.slice("embedding", 1, 32), x)).when(k == 2, F.transform("embedding", lambda c: F.lit(0.0))).otherwise(F.transform("embedding", lambda c: x(c) * 1e3))
+    )
+    e = read(spark, sf_dir, "embeddings").select("vec_id", v.alias("vector"))
+    queries = e.where(F.col("vec_id") % 50 < 7).where(F.col("vec_id") % 50 > 0).select(F.col("vec_id").alias("query_id"), "vector")
+    got = vector.top_k(queries, e.select(F.col("vec_id").alias("node_id"), "vector"), 10, broadcast_bytes=broadcast_bytes)
+    return got.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.col("score") + F.lit(0.0))
+
+
+@query(_ODD_TOP)
+def vec_topk_odd(spark, sf_dir):
+    """Search among vectors with NaN, infinite and null components, zero vectors and other dimensions, on both sides."""
+    return _odd(spark, sf_dir, vector.BROADCAST_BYTES)
+
+
+@query(_ODD_TOP)
+def vec_topk_odd_tiled(spark, sf_dir):
+    return _odd(spark, sf_dir, 0)
+
+
 _JACCARD = "round(case when len(a) + len(b) > 0 then len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) else 0 end, 6)"
 
 
@@ -174,8 +208,8 @@ def similarity_records(spark, sf_dir):
 
 @query("select query_id, count(*) as n, max(score) as best from (" + _PAIRS + ") where query_id <> node_id group by query_id")
 def vec_corpus_stats(spark, sf_dir):
-    """Per query, how many nodes it was compared with and the best score besides itself."""
+    """Per query, how many nodes of its dimension it was compared with and the best score besides itself."""
     q, c = _sides(spark, sf_dir)
     top = vector.top_k(q, c, 2).where("query_id <> node_id").groupBy("query_id").agg(F.max("score").alias("best"))
-    n = c.agg((F.count("*") - 1).alias("n"))
-    return top.join(F.broadcast(n), F.lit(True)).select("query_id", "n", "best")
+    n = c.groupBy(F.size("vector").alias("dim")).agg((F.count("*") - 1).alias("n"))  # one row per dimension
+    return q.select("query_id", F.size("vector").alias("dim")).join(n, "dim").join(top, "query_id").select("query_id", "n", "best")

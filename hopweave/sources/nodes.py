@@ -42,12 +42,12 @@ def load_texts(files: DataFrame) -> DataFrame:
     return files.where(F.endswith("path", F.lit(".json"))).select("path", text.alias("text")).where(F.coalesce(strip(F.col("text")), F.lit("")) != "")
 
 
-def scan_nodes(spark: SparkSession, folder: str, data_root: str | None = None) -> DataFrame:
-    """Node files (*.node: an object or a list of objects) as (id, text, modality, image_path, file_path, embedding, metadata).
+def scan_nodes(spark: SparkSession, folder: str, data_root: str | None = None, pattern: str = "*.node") -> DataFrame:
+    """Node files (an object or a list of objects each) as (id, text, modality, image_path, file_path, embedding, metadata).
 
     Unreadable files give no rows, items that are no objects are skipped, and nodes without a vector are dropped.
     """
-    raw = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.node").load(folder)
+    raw = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", pattern).load(folder)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
     kind = F.schema_of_variant("v")
     items = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
@@ -155,7 +155,7 @@ def scan_samples(spark: SparkSession, path: str, limit: int | None = None) -> Da
     )
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        return spark.createDataFrame([(0, "dummy", "What is shown?", "")], "ord long, uid string, query string, reference_answer string")
+        return spark.range(1).select(F.lit(0).cast("long").alias("ord"), F.from_json(F.lit('{"uid": "dummy", "query": "What is shown?", "reference_answer": ""}'), schema).alias("s")).select("ord", "s.*")
     v = spark.read.format("text").option("wholetext", "true").load(path).select(F.try_parse_json("value").alias("v"))
     items = F.coalesce(F.try_variant_get("v", "$.examples", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
     rows = v.select(F.posexplode(items).alias("ord", "n")).select(F.col("ord").cast("long").alias("ord"), F.try_variant_get("n", "$", schema).alias("s"))

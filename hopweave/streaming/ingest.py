@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from hopweave.plans.providers import ModelSpec, embed
 from hopweave.sources.nodes import load_texts, stem
 
 
+def _run(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint belongs to: a new checkpoint is another stream, and gets folders of its own."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, spec: ModelSpec | None = None) -> None:
     """Embed the JSON texts that arrived since the last run and append them to the node table.
 
@@ -20,7 +27,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, spec:
     def write(batch: DataFrame, batch_id: int) -> None:
         nodes = load_texts(batch).select(stem(F.col("path")).alias("id"), "text", F.col("path").alias("file_path"), F.lit("text").alias("modality"))
         nodes = nodes.withColumn("embedding", embed(F.col("text"), spec)).where("embedding is not null")
-        nodes.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        nodes.write.mode("overwrite").parquet(f"{target}/run={_run(spark, checkpoint)}/batch={batch_id}")
 
     query = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -31,6 +38,6 @@ def append_rows(spark: SparkSession, source: str, schema, target: str, checkpoin
     rows = spark.readStream.schema(schema).parquet(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/run={_run(spark, checkpoint)}/batch={batch_id}")
 
     rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
