@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     ids = stored(ends, "ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     side = F.broadcast(ids) if few else ids
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(side.select("id"), "id").dropDuplicates(["id"]), "texts")
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(side.select("id"), "id"), "texts")
     known = lambda c: side.select(F.col("id").alias(c), F.col("pairs").alias(f"{c}_pairs"))
     swap = F.col("b_pairs") > F.col("a_pairs")
     placed = (
@@ -192,8 +192,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
         .select("center", F.pmod(F.xxhash64("id"), F.ceil(F.col("most") / BLOCK)).cast("int").alias("block"), "id")
     )
     placed = stored(placed, "placed")
-    partners = placed.join(texts, "id").select("center", "block", "id", "text")
-    centers = placed.select("center", "block").distinct().join(texts.withColumnRenamed("id", "center"), "center")
+    whole = stored(placed.select("center", "block").distinct(), "whole")
+    small = lambda t: F.broadcast(t) if t.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else t
+    partners = texts.join(small(placed), "id").select("center", "block", "id", "text")
+    centers = texts.withColumnRenamed("id", "center").join(small(whole), "center")
     both = partners.unionByName(centers.select("center", "block", F.lit(None).cast("long").alias("id"), "text"))
     blocks = both.repartition("center", "block").sortWithinPartitions("center", "block", F.col("id").asc_nulls_first())
 
@@ -218,7 +220,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     out = stored(blocks.mapInPandas(check, "a long, b long"), "links")
-    dropped(ids, texts, placed)
+    dropped(ids, texts, placed, whole)
     return out
 
 
