@@ -17,6 +17,7 @@ class Settings:
     rerank_top_k: int = 5
     rerank_enabled: bool = True
     confidence_threshold: float = 0.9
+    gated: bool = False
     decomposition_attempts: int = 2
     max_preloaded_images: int = 5
     llm_retries: int = 3

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import urllib.request
 from dataclasses import dataclass, field
@@ -33,16 +34,20 @@ class ModelSpec:
     retries: int = 3
     backoff_s: float = 2.0
     dim: int = 64
+    #: For the stub: pairs of a text that a prompt may hold and the reply to such prompts.
     options: tuple = field(default_factory=tuple)
 
 
 class StubModel:
-    """Answers that depend on the prompt alone: its last line's words, and hashed vectors."""
+    """Answers that depend on the prompt alone: the reply its options have for it, else its last line's words; hashed vectors; word overlap as rerank score."""
 
     def __init__(self, spec: ModelSpec):
         self.spec = spec
 
     def generate(self, prompt: str, image: str | None = None) -> str:
+        for mark, reply in self.spec.options:
+            if mark in (prompt or ""):
+                return reply
         lines = [x for x in (prompt or "").split("\n") if x.strip()]
         tail = lines[-1].split(":", 1)[-1].strip() if lines else ""
         return f"stub answer to {tail}" if tail else ""
@@ -55,6 +60,16 @@ class StubModel:
         n = np.linalg.norm(v)
         return (v / n if n else v).tolist()
 
+    def embed_image(self, uri: str) -> list[float]:
+        """An image by its path or data URI; the stub reads its words like a text's."""
+        return self.embed(" ".join(re.findall(r"[A-Za-z0-9]+", uri or "")))
+
+    def score(self, question: str, texts: list[str], images: list[str | None]) -> list[float]:
+        """Relevance of texts (with their images, if any) to a question."""
+        asked = {*(question or "").lower().split()}
+        sets = [{*(t or "").lower().split()} for t in texts]
+        return [len(asked & s) / len(asked | s) if asked | s else 0.0 for s in sets]
+
 
 class HttpModel(StubModel):
     """An OpenAI-style completion server."""
@@ -86,6 +101,17 @@ class HttpModel(StubModel):
     def embed(self, text: str) -> list[float]:
         return self._post("/embeddings", {"model": self.spec.model, "input": text})["data"][0]["embedding"]
 
+    def embed_image(self, uri: str) -> list[float]:
+        return self._post("/embeddings", {"model": self.spec.model, "input": [{"image": uri}]})["data"][0]["embedding"]
+
+    def score(self, question: str, texts: list[str], images: list[str | None]) -> list[float]:
+        """Texts of a batch in one call; a multimodal model gets the image beside the text. What the reply lacks scores 0."""
+        told = [{"text": t, "image": i} if i else t for t, i in zip(texts, images)]
+        out = [0.0] * len(texts)
+        for r in self._post("/rerank", {"model": self.spec.model, "query": question, "documents": told})["results"]:
+            out[r["index"]] = float(r.get("relevance_score") or 0.0)
+        return out
+
 
 PROVIDERS: dict[str, Callable[[ModelSpec], StubModel]] = {"stub": StubModel, "http": HttpModel}
 _made: dict[ModelSpec, StubModel] = {}
@@ -146,3 +172,59 @@ def embed(column, spec: ModelSpec):
         return texts.map(one)
 
     return run(column)
+
+
+def embed_image(column, spec: ModelSpec):
+    """A vector column of a column of image paths or data URIs; null for blanks and failures."""
+
+    @F.pandas_udf("array<float>")
+    def run(images: pd.Series) -> pd.Series:
+        def one(i):
+            if not i:
+                return None
+            got, error = attempted(lambda: model(spec).embed_image(i), spec.retries, spec.backoff_s)
+            return None if error else got
+
+        return images.map(one)
+
+    return run(column)
+
+
+def rerank_score(question, text, image, spec: ModelSpec, batch: int = 4):
+    """The reranker's score of each hit, in calls of up to ``batch`` hits of one question (a text longer than the model takes is cut by its server); null where the call fails."""
+
+    @F.pandas_udf("double")
+    def run(questions: pd.Series, texts: pd.Series, images: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=questions.index)
+        for q, at in questions.groupby(questions.fillna("")).groups.items():
+            for s in range(0, len(at), batch):
+                part = at[s : s + batch]
+                got, error = attempted(lambda p=part, q=q: model(spec).score(q, texts[p].tolist(), images[p].tolist()), spec.retries, spec.backoff_s)
+                if not error:
+                    out[part] = got
+        return out
+
+    return F.nanvl(run(question, text, image), F.lit(None).cast("double"))
+
+
+def cached_embeddings(texts: DataFrame, spec: ModelSpec, folder: str) -> DataFrame:
+    """(text, vector) of distinct texts (column ``text``): known ones from the table in the folder, new ones embedded and added there.
+
+    The table is partitioned by model and dimension, so no model meets another's vectors.
+    """
+    spark = texts.sparkSession
+    name = f"{spec.provider}:{spec.model}"
+    schema = "text string, vector array<float>, model string, dim int"
+    asked = texts.select("text").where("text is not null").distinct()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    mine = lambda: spark.read.schema(schema).parquet(folder).where((F.col("model") == name) & (F.col("dim") == spec.dim)).select("text", "vector")
+    new = asked.join(mine(), "text", "left_anti") if there else asked
+    made = new.withColumn("vector", embed(F.col("text"), spec)).where(F.size("vector") == spec.dim)
+    made.withColumns({"model": F.lit(name), "dim": F.lit(spec.dim)}).write.mode("append").partitionBy("model", "dim").parquet(folder)
+    return asked.join(mine(), "text")
+
+
+def gpu_settings(per_task: float = 1.0, per_executor: int = 1) -> dict[str, str]:
+    """Session settings that hand each task its share of a GPU: Spark schedules devices, nobody picks them."""
+    return {"spark.executor.resource.gpu.amount": str(per_executor), "spark.task.resource.gpu.amount": str(per_task)}

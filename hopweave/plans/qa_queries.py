@@ -349,19 +349,6 @@ def ingest_pending(spark, sf_dir):
     return nodes.pending(d, done).select("stem")
 
 
-@query()
-def answer_questions(spark, sf_dir):
-    """The whole pipeline over the benchmark's questions and all documents, with the offline stand-in models."""
-    from hopweave.plans.providers import ModelSpec, embed
-    from hopweave.plans.retrieval import Engine
-
-    spec = ModelSpec()
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text", "source", F.lit("text").alias("modality"))
-    engine = Engine(spark, d.withColumn("vector", embed(F.col("text"), spec)), llm=spec, embedder=spec)
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("images")).alias("information"))
-    return engine.answer(asked).select("question_id", "answer", F.array_join("sources", ",").alias("sources"), "n_hits")
-
-
 # Beyond the retrieval engine: plain relational and event-time queries, which Spark has built in.
 
 

@@ -270,7 +270,7 @@ def ocr_compress(spark, sf_dir):
 _ENDS = "list_transform(range(1, len({p})), lambda i: list_sum(list_transform(({p})[1:i], lambda y: length(y))) + i * length(e))"
 _WINDOWS = "list_transform(" + _ENDS.format(p="regexp_split_to_array(text, '(?i)' || e)") + ", lambda z: substring(text, greatest(z - length(e) - 100, 0)::bigint + 1, (z + 100 - greatest(z - length(e) - 100, 0))::bigint))"
 _ENTITIES = "list_sort(list_distinct(regexp_extract_all(string_split(text, ' ')[1], '[A-Z][a-z]+|[A-Z]+|[一-龥]+')))"
-_FOUND = f"""array_to_string(list_concat(regexp_extract_all(text, '{ocr.NUMBER}'), list_concat(regexp_extract_all(text, '(?s)(?:Table|Figure)\s*\d+[^\n]*\n.{{0,500}}'),
+_FOUND = rf"""array_to_string(list_concat(regexp_extract_all(text, '{ocr.NUMBER}'), list_concat(regexp_extract_all(text, '(?s)(?:Table|Figure)\s*\d+[^\n]*\n.{{0,500}}'),
   list_concat(regexp_extract_all(text, 'Page\s+\d+[^\n]*\n[^\n]{{0,300}}'), flatten(list_transform({_ENTITIES}, lambda e: {_WINDOWS}))))), E'\n')"""
 
 
