@@ -13,28 +13,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hopweave.llm import langid, ngram_join, packing, quality
-from hopweave.llm._common import stored, table
+from hopweave.llm._common import bounded_batches, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality classifier, learned from the labels, finds likelier good than bad."""
+    bounded_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")), threshold=0.5)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what is in one of the languages of the corpus with a probability of at least one half."""
+    bounded_batches(spark)
     return langid.keep_known(docs, langid.fit(docs), threshold=0.5)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
+    bounded_batches(spark)
     return ngram_join.keep_firsts(docs, n=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents that are left into sequences of 4096 tokens."""
+    bounded_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))

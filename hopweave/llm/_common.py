@@ -30,9 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows that go to Python at once, where the session doesn't set its own number: texts can be long.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have the session hand Python BATCH_ROWS rows at once, unless it has been told a number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) in (None, "10000"):
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and return the table read back."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/hopweave/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave.llm._common import bounded_batches
+
 #: White space as the tokenizer's pattern language has it (the control separators aren't).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Characters of text worked on at once, and words remembered.
@@ -336,6 +338,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    bounded_batches(spark)
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

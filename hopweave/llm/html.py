@@ -40,6 +40,7 @@ import html as _html
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -314,6 +315,7 @@ def as_wrapper(node: Node, digest: int) -> list:
     return [node.label, texts, [as_wrapper(c, digest) for c in node.nodes()], 1, len(texts)]
 
 
+@lru_cache(100_000)
 def _tag(label: str) -> str:
     return label.partition(".")[0]
 

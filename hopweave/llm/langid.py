@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._common import crc_fold
+from hopweave.llm._common import bounded_batches, crc_fold
 
 BUCKETS = 1 << 15
 #: The matrix has at most this many languages; beyond it fit() raises.
@@ -129,6 +129,7 @@ def keep_known(docs: DataFrame, model: Bayes, threshold: float = 0.5) -> DataFra
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score; the fold with remainder 1 is never learned from."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     fold = F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False))
     return identify(docs, fit(docs, ~fold)).select("doc_id", fold.alias("held_out"), "lang_pred", "score")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm._common import crc_fold, stored
+from hopweave.llm._common import bounded_batches, crc_fold, stored
 
 FEATURES = (
     "log_words", "log_mean_word", "log_line", "upper", "digit", "common_punct", "other_punct", "non_ascii", "distinct_words",
@@ -199,6 +199,7 @@ def keep_good(docs: DataFrame, model: Discriminant | None, threshold: float = 0.
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; the fold with remainder 2 is never learned from."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     fold = F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False))
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~fold)
