@@ -38,11 +38,11 @@ def query(sql: str):
 _PLAN = ("Rate the question", '{"score": {"modality_complexity": 1, "multi_hop_complexity": %d}}')
 
 
-def _engine(spark, sf_dir, options=(), modality=F.lit("text"), **settings):
+def _engine(spark, sf_dir, options=(), modality=None, **settings):
     from hopweave.plans.retrieval import Engine
 
     spec = ModelSpec(options=options)
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text", "source", modality.alias("modality"), embed(F.col("text"), ModelSpec()).alias("vector"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text", "source", (F.lit("text") if modality is None else modality).alias("modality"), embed(F.col("text"), ModelSpec()).alias("vector"))
     return Engine(spark, d, Settings().updated(**settings), llm=spec, embedder=ModelSpec())
 
 

@@ -1,5 +1,8 @@
 """The driver's contract, and plans without Python where SQL is enough."""
 
+import subprocess
+import sys
+
 import __spark_entry__ as entry_module
 from hopweave.plans.catalog import ORACLES, QUERIES
 
@@ -22,3 +25,10 @@ def test_plans(spark):
     assert "LeftAnti" in plan(QUERIES["resume_anti_join"](spark, SF))
     scan = plan(QUERIES["eval_overall"](spark, SF))
     assert "n_chars" not in scan and "Python" not in scan
+
+
+def test_import_without_session():
+    """The driver lists the queries before it has a session."""
+    code = "import __spark_entry__ as e; print(len(e.queries()) > 100, set(e.oracle_sql()) <= set(e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=entry_module.__file__.rpartition("/")[0])
+    assert said.stdout.split() == ["True", "True"], said.stderr
