@@ -4,8 +4,10 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before kep
 the rows they keep with the columns of ``documents``; the last returns the packed pieces.
 
 Cases: null or empty texts have no letter, so the language stage lets them go (as it does what no language
-can be told of); without any label the quality stage keeps all. Rows with a null doc_id pass the
-near-duplicate stage. An empty table gives no rows.
+can be told of, and texts unlike any language learned); without any label the quality stage keeps all, without
+any language the language stage. Rows with a null doc_id pass the near-duplicate stage; of rows that repeat a
+doc_id it keeps one. Very long texts pass whole. Extra columns pass through all filtering stages. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what is in one of the languages of the corpus with a probability of at least one half."""
+    """Keep what is in one of the languages of the corpus with a probability of at least one half, and like its texts."""
     bounded_batches(spark)
     return langid.keep_known(docs, langid.fit(docs), threshold=0.5)
 

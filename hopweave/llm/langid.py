@@ -6,8 +6,12 @@ Spark over every training text; the log-probability matrix (languages x buckets)
 size being fixed by the two parameters, and batches are scored with sparse gathers in numpy.
 
 Defined cases: null texts and texts without a letter get ``und`` with score 0, as does everything when
-nothing could be learned. Rows with a null lang or doc_id are never learned from. Ties go to the
-language that sorts first.
+nothing could be learned. Rows with a null lang or doc_id are never learned from, rows that repeat count
+each. Ties go to the language that sorts first. A very long text is scored whole; an empty table gives no
+rows; extra columns are ignored.
+
+A filter (keep_known) also rejects texts in no learned language, whose posterior may still be one: those whose
+mean log-probability lies UNLIKE deviations under that of their best language's own texts.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from hopweave.llm._common import bounded_batches, crc_fold
 BUCKETS = 1 << 15
 #: The matrix has at most this many languages; beyond it fit() raises.
 MAX_LANGUAGES = 512
+#: Deviations below its language's mean from which a text is in none of them, and what short texts (by the root of their n-grams) may add.
+UNLIKE, SHORT = 1.4, 6.0
 #: What a character below U+0080 counts as: itself for a letter, else a space.
 _PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -48,6 +54,23 @@ def grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
 class Bayes:
     languages: tuple
     logs: np.ndarray
+    #: Per language, mean and standard deviation of its n-grams' log-probability over its own training texts.
+    means: np.ndarray
+    spreads: np.ndarray
+
+    def likeness(self, text: str) -> tuple[float, int]:
+        """How many deviations a text's mean log-probability in its best language lies above that language's own, and its number of n-grams."""
+        at, n = np.unique(grams(text, self.logs.shape[0]), return_counts=True)
+        s = n @ self.logs[at]
+        k = int(s.argmax())
+        return float((s[k] / n.sum() - self.means[k]) / self.spreads[k]), int(n.sum())
+
+    def known(self, text) -> bool:
+        """Whether a text is in one of the languages: a posterior saturates, a text's likeness to its best language doesn't."""
+        if not self.languages or not isinstance(text, str) or not has_letter(text):
+            return False
+        like, n = self.likeness(text)
+        return like >= -UNLIKE - SHORT / np.sqrt(n)
 
     def predict(self, texts) -> tuple[list, np.ndarray]:
         names, scores = [], np.zeros(len(texts))
@@ -99,8 +122,10 @@ def fit(docs: DataFrame, train_fold=None, buckets: int = BUCKETS, smoothing: flo
     logs = np.full((buckets, max(len(counted), 1)), smoothing)
     for k, r in enumerate(counted):
         logs[[x["bucket"] for x in r["c"]], k] += [x["n"] for x in r["c"]]
-    logs = np.log(logs / logs.sum(0))
-    return Bayes(tuple(r["lang"] for r in counted), logs)
+    shares = logs / logs.sum(0)
+    logs = np.log(shares)
+    means = (shares * logs).sum(0)
+    return Bayes(tuple(r["lang"] for r in counted), logs, means, np.sqrt((shares * (logs - means) ** 2).sum(0)) + 1e-9)
 
 
 def identify(docs: DataFrame, model: Bayes) -> DataFrame:
@@ -116,13 +141,14 @@ def identify(docs: DataFrame, model: Bayes) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Bayes, threshold: float = 0.5) -> DataFrame:
-    """The rows whose language is known with at least the given score, with all their columns."""
+    """The rows whose language is known with at least the given score and that are like it, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def sift(batches):
         for pdf in batches:
             names, scores = shared.value.predict(pdf["text"])
-            yield pdf[(np.array(names, object) != "und") & (scores >= threshold)]
+            sure = (np.array(names, object) != "und") & (scores >= threshold)
+            yield pdf[[bool(s and shared.value.known(t)) for s, t in zip(sure, pdf["text"])]]
 
     return docs.mapInPandas(sift, docs.schema) if model.languages else docs
 
