@@ -45,7 +45,7 @@ BLOCK_ROWS = 3_000
 LEAF = 256
 #: Rows of the sample for the centers, most centers, and classes of length (each a factor of eight, the ends open).
 SAMPLE = 20_000
-CELLS = 1_024
+CELLS = 4_096
 CLASSES = 9
 #: Numbers gathered at once when candidates are scored anew; twice the spacing of doubles at one.
 GATHER = 4_000_000
