@@ -16,7 +16,7 @@ SQL_FUNCTIONS = {
     "hw_sentences": ("s string", "array<string>", f"filter(transform(split(s, '[.!?;]'), x -> regexp_replace(x, r'^[{SPACE}]+|[{SPACE}]+\\z', '')), x -> x <> '')"),
     "hw_norm": ("a array<double>", "double", "sqrt(aggregate(a, 0D, (s, x) -> s + x * x))"),
     "hw_valid_query": ("s string", "boolean", f"coalesce(length(regexp_replace(s, r'^[{SPACE}]+|[{SPACE}]+\\z', '')) >= 2, false)"),
-    "hw_sort_number": ("s string", "bigint", r"coalesce(try_cast(nullif(regexp_extract(s, '(\\\\d+)', 1), '') as bigint), 0)"),
+    "hw_sort_number": ("s string", "bigint", r"coalesce(try_cast(nullif(regexp_extract(s, r'(\d+)', 1), '') as bigint), 0)"),
     "hw_strip_html": ("s string", "string", r"regexp_replace(s, '<[^\\n]*?>', '')"),
     "hw_jaccard": (
         "a string, b string", "double",
