@@ -220,3 +220,20 @@ def links(
 def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.98 and more between vectors of one label, and their components."""
     return links(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+#: The same rows in SQL: all pairs of a label, then everything that can be reached.
+OP4_SQL = """
+with recursive good as (
+  select vec_id, label, embedding::double[] as v from embeddings where label is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.98
+), reached(vec_id, other) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, l.b from reached r join links l on l.a = r.other
+), n as (
+  select a as vec_id, count(*) as n from links group by a
+)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, vec_id = c.component_id as kept
+from (select vec_id, min(other) as component_id from reached group by vec_id) c left join n using (vec_id)
+"""

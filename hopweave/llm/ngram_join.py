@@ -363,3 +363,22 @@ def keep_firsts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id for 3-word shingles and a Jaccard similarity of 0.9."""
     return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
+
+
+#: The same rows in SQL: all pairs that share a shingle, then everything that can be reached.
+OP2_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from words
+), items as (
+  select doc_id, len(s) as n, hash(unnest(s)) as g from sets
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, a.n + b.n as n, count(*) as k from items a join items b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from pairs where 100 * k >= 90 * (n - k) union all select b, a from pairs where 100 * k >= 90 * (n - k)
+), reached(doc_id, other) as (
+  select doc_id, doc_id from sets union select r.doc_id, l.b from reached r join links l on l.a = r.other
+)
+select doc_id, len(s)::bigint as n_shingles, c.component_id from sets join (select doc_id, min(other) as component_id from reached group by doc_id) c using (doc_id)
+"""

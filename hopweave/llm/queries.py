@@ -1,10 +1,10 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
 from hopweave.llm.bpe import op10_bpe
-from hopweave.llm.embed_dedup import op4_embed_dedup
+from hopweave.llm.embed_dedup import OP4_SQL, op4_embed_dedup
 from hopweave.llm.html import op1_html
 from hopweave.llm.langid import op7_language
-from hopweave.llm.ngram_join import op2_ngram_join
+from hopweave.llm.ngram_join import OP2_SQL, op2_ngram_join
 from hopweave.llm.packing import op3_packing
 from hopweave.llm.quality import op5_quality
 from hopweave.llm.sharding import op8_sharding
@@ -26,4 +26,4 @@ QUERIES = {
         op10_bpe,
     )
 }
-ORACLES = {"op6_url_filter": OP6_SQL}
+ORACLES = {"op2_ngram_join": OP2_SQL, "op4_embed_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
