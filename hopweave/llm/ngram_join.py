@@ -43,7 +43,7 @@ MAX_MATCH = 3
 #: Shingles of so many documents always ask their hub, as among them listing pairs would cost most.
 LARGE = 16
 #: Postings of a side of a tile where open shingles are joined, and partners that share one copy of a text.
-TILE = 1_000
+TILE = 10_000
 BLOCK = 256
 _CHUNK = 1 << 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
