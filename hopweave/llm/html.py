@@ -5,7 +5,7 @@ wrapper: the wrapper's tree is aligned with the page's by simple tree matching (
 nodes of equal tag that keeps order; equal classes, and blocks whose usual text is equal, weigh more), and
 holds the nodes of either. Ids and words with digits are no part of a label. A node counts its pages, those
 on which it has text of its own (inline elements are nodes themselves), and its most frequent texts, each
-with a few hashes of different main texts that it came with. Wrappers fold page by page inside a partition
+with a few hashes of different main texts that it came with. Wrappers fold two by two inside a partition
 and then wrapper by wrapper (some tens at once, level by level) across partitions, so a host of any size is
 never gathered, and all pages take part.
 
@@ -479,19 +479,34 @@ def induce(pages: DataFrame) -> DataFrame:
 
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        held: dict[str, tuple[list, int]] = {}
+        # Per host wrappers of 1, 2, 4, ... pages, as in a binary counter: a large one meets few others.
+        held: dict[str, list[tuple[int, list, int]]] = {}
         m, nodes = Matcher(), 0
 
+        def folded(stack: list) -> None:
+            """The last two of a host's wrappers as one."""
+            nonlocal nodes
+            level, b, y = stack.pop()
+            _, a, x = stack.pop()
+            tree, n = joined(m, a, b)
+            nodes += n - x - y
+            stack.append((level + 1, tree, n))
+
         def rows():
-            return pd.DataFrame([(h, part, json.dumps(t)) for h, (t, _) in held.items()], columns=["host", "part", "tree"])
+            for stack in held.values():
+                while len(stack) > 1:
+                    folded(stack)
+            return pd.DataFrame([(h, part, json.dumps(stack[0][1])) for h, stack in held.items()], columns=["host", "part", "tree"])
 
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"]):
                 root = parsed(page)
                 tree = as_wrapper(root, zlib.crc32(text_of(root).encode("utf-8", "surrogatepass")))
-                old, n = held.get(host, (None, 0))
-                held[host] = joined(m, old, tree) if old else (tree, m.sizes[m.shape(tree)[0]])
-                nodes += held[host][1] - n
+                stack = held.setdefault(host, [])
+                stack.append((0, tree, m.sizes[m.shape(tree)[0]]))
+                nodes += stack[-1][2]
+                while len(stack) > 1 and stack[-1][0] == stack[-2][0]:
+                    folded(stack)
                 if nodes > HELD:
                     yield rows()
                     held.clear()
