@@ -173,6 +173,11 @@ def _room(p: int, n1, pos1, n2, pos2):
     return most * 100 >= (n1 + n2 - most) * p
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has no more than BROADCAST_IDS rows of a few numbers."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole texts have the similarity.
 
@@ -193,9 +198,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     )
     placed = stored(placed, "placed")
     whole = stored(placed.select("center", "block").distinct(), "whole")
-    small = lambda t: F.broadcast(t) if t.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else t
-    partners = texts.join(small(placed), "id").select("center", "block", "id", "text")
-    centers = texts.withColumnRenamed("id", "center").join(small(whole), "center")
+    partners = texts.join(_small(placed), "id").select("center", "block", "id", "text")
+    centers = texts.withColumnRenamed("id", "center").join(_small(whole), "center")
     both = partners.unionByName(centers.select("center", "block", F.lit(None).cast("long").alias("id"), "text"))
     blocks = both.repartition("center", "block").sortWithinPartitions("center", "block", F.col("id").asc_nulls_first())
 
@@ -310,9 +314,11 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     partners = reach.withColumn("kind", F.explode(F.sequence("lo", "hi"))).join(kinds, ["tok", "kind"]).where("x <> comp or y <> comp")
     open_ = stored(partners.select(*placed.columns).distinct(), "open")
     inner = open_.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("o")).select("rep", F.col("o.tok").alias("open"))
-    blocks = open_.groupBy("tok").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = stored(open_.join(inner, "rep").join(blocks, "tok").withColumn("own", own), "rows")
+    # Few shingles need more than one block, so their number is joined without moving the postings.
+    many = stored(open_.groupBy("tok").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")).where("blocks > 1"), "many")
+    blocks = F.coalesce("blocks", F.lit(1))
+    rows = open_.join(inner, "rep").join(_small(many), "tok", "left").withColumn("blocks", blocks)
+    rows = stored(rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "rows")
     # Blocks meet in tiles: rows of one block in the tile (i, i), those of two in the tile (i, j).
     tiles = rows.withColumn("far", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("t1", F.least("own", "far")).withColumn("t2", F.greatest("own", "far"))
     x, y = tiles.alias("x"), tiles.alias("y")
@@ -338,7 +344,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"),
     )
     out = stored(out, "classes")
-    dropped(sets, groups, shared, common, live, hubs, first, links, found, placed, kinds, open_, rows, second)
+    dropped(sets, groups, shared, common, live, hubs, first, links, found, placed, kinds, open_, many, rows, second)
     return out
 
 
