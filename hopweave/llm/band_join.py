@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopweave.llm._common import table
+from hopweave.llm._common import stored, table
 
 #: Cents of a bucket below 10^6 cents, line groups of a bucket from which it is salted, copies of a price's row.
 WIDTH, HOT, COPIES = 100, 2_000, 8
@@ -34,12 +34,6 @@ def cents(x: Column) -> Column:
     return F.when(F.abs(x) < 4e16, F.floor(F.lit(100.0) * x + F.lit(0.5)).cast("long"))
 
 
-def unit_cents(amount: Column, quantity: Column) -> Column:
-    """floor((2 amount + quantity) / (2 quantity)) in integers, null for quantity 0."""
-    n, d = F.signum(quantity).cast("long") * (2 * amount + quantity), 2 * F.abs(quantity)
-    return F.when(quantity != 0, F.call_function("div", n - F.pmod(n, d), d))
-
-
 def bucket(u: Column) -> Column:
     """The bucket of a number of cents; rises with it, without gaps."""
     zone = F.when(u >= 1_000_000, F.length(u.cast("string")) - 6).otherwise(0)
@@ -60,14 +54,20 @@ def interval(p: Column) -> tuple[Column, Column]:
 
 
 def pairing(lines: DataFrame) -> DataFrame:
-    """The lines that can pair: u, sale_id, line_no, line_item_id, crc."""
-    q = F.col("quantity").cast("long")
-    crc = F.crc32(F.concat_ws(",", F.col("sale_id").cast("string"), F.coalesce(F.col("line_no").cast("string"), F.lit("")), F.col("item_id").cast("string")).cast("binary"))
-    return (
-        lines.where("sale_id is not null and item_id is not null and quantity is not null and amount is not null")
-        .select(unit_cents(cents(F.col("amount").cast("double")), q).alias("u"), F.col("sale_id").cast("long").alias("sale_id"), F.col("line_no").cast("long").alias("line_no"), F.col("item_id").cast("long").alias("line_item_id"), crc.alias("crc"))
-        .where("u is not null")
-    )
+    """The lines that can pair, with u = floor((2 amount + quantity) / (2 quantity)) in whole cents: u, sale_id, line_no, line_item_id."""
+    can = lines.where("sale_id is not null and item_id is not null and quantity <> 0 and abs(cast(amount as double)) < 4e16")
+    ids = [F.col("sale_id").cast("long").alias("sale_id"), F.col("line_no").cast("long").alias("line_no"), F.col("item_id").cast("long").alias("line_item_id")]
+    q, kept = F.col("quantity").cast("long"), ["sale_id", "line_no", "line_item_id"]
+    both = can.select(*ids, (2 * F.floor(F.lit(100.0) * F.col("amount").cast("double") + F.lit(0.5)) + q).alias("n"), (2 * q).alias("d"))
+    upright = both.select(*kept, F.when(F.col("d") < 0, -F.col("n")).otherwise(F.col("n")).alias("n"), F.abs("d").alias("d"))
+    # Whole division cuts towards zero: below zero it starts from the last of its step.
+    return upright.select(*kept, F.call_function("div", F.when(F.col("n") < 0, F.col("n") - F.col("d") + 1).otherwise(F.col("n")), F.col("d")).alias("u"))
+
+
+def summed(found: DataFrame) -> DataFrame:
+    """Lines of one item and cent in one row: line_item_id, u, n, crc (sum of the checksums)."""
+    shown = F.concat_ws(",", "sale_id", F.coalesce(F.col("line_no").cast("string"), F.lit("")), "line_item_id")
+    return found.groupBy("line_item_id", "u").agg(F.count("*").alias("n"), F.sum(F.crc32(shown.cast("binary"))).alias("crc"))
 
 
 def first_lines(found: DataFrame, k: int) -> DataFrame:
@@ -102,15 +102,17 @@ def band_join(lines: DataFrame, items: DataFrame, k: int = 10, hot: int = HOT) -
     gap = F.abs(F.col("u") - F.col("p"))
 
     # All lines near a price, and the cents that hold its first lines.
-    sums = found.groupBy("u").agg(F.count("*").alias("n"), F.sum("crc").alias("crc"))
-    firsts = first_lines(found, k)
+    by_item = stored(summed(found), "by_item")
+    sums = by_item.groupBy("u").agg(F.sum("n").alias("n"), F.sum("crc").alias("crc"))
+    firsts = stored(first_lines(found, k), "firsts")
     groups = sums.join(firsts.select("u", "free"), "u").withColumn("b", bucket(F.col("u")))
     before = F.coalesce(F.sum("free").over(W.partitionBy("p").orderBy("gap", "u").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     pairs = salted_join(groups, prices, hot).withColumn("gap", gap).withColumn("before", before)
-    near_price = pairs.groupBy("p").agg(
+    summed_up = pairs.groupBy("p").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("gap")).alias("g"), F.sum("crc").alias("crc"),
         F.collect_list(F.when(F.col("before") < k, F.struct("gap", "u"))).alias("cents"),
     )
+    near_price = stored(summed_up, "near_price")
 
     # The first lines of a price: at most k of an item and 2 k in all, as for a cent.
     order = ["gap", "u", "sale_id", "line_no", "line_item_id"]
@@ -123,7 +125,7 @@ def band_join(lines: DataFrame, items: DataFrame, k: int = 10, hot: int = HOT) -
     by_price = near_price.drop("cents").join(lists, "p").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
 
     # An item's own lines near its price, by (item, bucket), so that no item is one task's.
-    own = found.groupBy(F.col("line_item_id").alias("item_id"), "u").agg(F.count("*").alias("n"), F.sum("crc").alias("crc")).withColumn("b", bucket(F.col("u")))
+    own = by_item.select(F.col("line_item_id").alias("item_id"), "u", "n", "crc", bucket(F.col("u")).alias("b"))
     own = own.join(touched(asked.where("p is not null").distinct()), ["item_id", "b"]).where(near(F.col("u"), F.col("p")))
     own = own.groupBy("item_id", "p").agg(F.sum("n").alias("own_n"), F.sum(F.col("n") * gap).alias("own_g"), F.sum("crc").alias("own_crc"))
 
