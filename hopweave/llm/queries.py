@@ -7,6 +7,7 @@ from hopweave.llm.html import op1_html
 from hopweave.llm.langid import op7_language
 from hopweave.llm.ngram_join import OP2_SQL, op2_ngram_join
 from hopweave.llm.packing import op3_packing
+from hopweave.llm.pii import op12_personal_data
 from hopweave.llm.quality import op5_quality
 from hopweave.llm.runs import op11_runs
 from hopweave.llm.sharding import op8_sharding
@@ -27,6 +28,7 @@ QUERIES = {
         op9_vptree,
         op10_bpe,
         op11_runs,
+        op12_personal_data,
         op13_band_join,
     )
 }
