@@ -11,8 +11,8 @@ the positions of the first shared one leave enough room; candidates are verified
 Nothing grows with the square of a group. Equal sets are collapsed first. Then every prefix shingle
 sends its documents to one hub (the member whose prefix is the most frequent, as the text from which
 the others were edited is), which is linear; the verified links give components, and only shingles
-that still hold several components are joined pairwise, under the position bound, in tiles of bounded size.
-So no pair within a component already found is ever listed, and none between components is missed. For
+that still hold several components are joined pairwise, under the position bound, in tiles of bounded size:
+postings meet without their sets, and how many shingles a pair shares is counted. So no pair within a component already found is ever listed, and none between components is missed. For
 verification the text of a pair's better connected side travels once per block of its partners.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; texts shorter than
@@ -173,6 +173,70 @@ def _room(p: int, n1, pos1, n2, pos2):
     return most * 100 >= (n1 + n2 - most) * p
 
 
+def _met(batches, percent: int):
+    """Pairs of different components that meet on postings sorted by (tile, tok): how often (a, b, k) and how many they need (ell).
+
+    A pair that can be similar has room at each of its first ell shared shingles, the ones before counted in, so these are counted.
+    """
+
+    def pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ell = np.minimum(x["ell"][i], x["ell"][j])
+        most = np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j]) + ell - 1
+        fit = most * 100 >= (x["n"][i] + x["n"][j] - most) * percent
+        fit &= (x["comp"][i] != x["comp"][j]) & ((x["t1"][i] == x["t2"][i]) | (x["own"][i] != x["own"][j]))
+        a, b = x["rep"][i][fit], x["rep"][j][fit]
+        return np.stack([np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), ell[fit]])
+
+    def summed(found: list[np.ndarray]) -> pd.DataFrame:
+        a, b, k, ell = np.concatenate(found, 1)
+        order = np.lexsort((b, a))
+        a, b, k, ell = a[order], b[order], k[order], ell[order]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": a[at], "b": b[at], "k": np.add.reduceat(k, at) if len(a) else k, "ell": ell[at].astype(np.int32)})
+
+    def groups(x: dict[str, np.ndarray]):
+        """Pairs of each group, found by size: a larger set's position leaves a range of sizes for the smaller one."""
+        fresh = np.append(True, (x["tok"][1:] != x["tok"][:-1]) | (x["t1"][1:] != x["t1"][:-1]) | (x["t2"][1:] != x["t2"][:-1]))
+        group = np.cumsum(fresh) - 1
+        order = np.lexsort((x["n"], group))
+        x = {c: v[order] for c, v in x.items()}
+        n, base = x["n"], group * (int(x["n"].max()) + 2)
+        most = n - x["pos"] + x["ell"] - 1
+        low = np.searchsorted(base + n, base + -(-n * percent // 100))
+        high = np.searchsorted(base + n, base + np.clip(most * (100 + percent) // percent - n, -1, n), "right")
+        many = np.maximum(np.minimum(high, np.arange(len(n))) - low, 0)
+        ends = np.cumsum(many)
+        i = 0
+        while i < len(n):  # so many pairs at once, or one posting's
+            before = ends[i] - many[i]
+            j = max(i + 1, int(np.searchsorted(ends, before + 1_000_000, "right")))
+            larger = np.repeat(np.arange(i, j), many[i:j])
+            yield pairs(x, larger, low[larger] + np.arange(len(larger)) - (ends[larger] - many[larger] - before))
+            i = j
+
+    rest, found, held = None, [], 0
+    for pdf in batches:
+        x = {c: pdf[c].to_numpy(np.int64) for c in pdf.columns}
+        x = x if rest is None else {c: np.concatenate([rest[c], x[c]]) for c in x}
+        last = (x["tok"] == x["tok"][-1:]) & (x["t1"] == x["t1"][-1:]) & (x["t2"] == x["t2"][-1:])
+        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0  # where the last group begins
+        rest = {c: v[cut:] for c, v in x.items()}
+        for part in groups({c: v[:cut] for c, v in x.items()}) if cut else ():
+            found.append(part)
+            held += part.shape[1]
+            if held > 1_000_000:
+                yield summed(found)
+                found, held = [], 0
+    for part in groups(rest) if rest is not None and len(rest["tok"]) else ():
+        found.append(part)
+        held += part.shape[1]
+        if held > 1_000_000:
+            yield summed(found)
+            found, held = [], 0
+    if found:
+        yield summed(found)
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """A stored table, marked for broadcast if it has no more than BROADCAST_IDS rows of a few numbers."""
     return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
@@ -312,25 +376,19 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     most = F.least(F.col("n") / t, (F.col("n") - F.greatest(F.col("pos") - F.col("ell") + 1, F.lit(0))) * (1 + t) / t - F.col("n"))
     reach = placed.withColumn("lo", kind(F.ceil(F.col("n") * t - 1e-6))).withColumn("hi", kind(F.floor(most + 1e-6))).where("hi >= lo")
     partners = reach.withColumn("kind", F.explode(F.sequence("lo", "hi"))).join(kinds, ["tok", "kind"]).where("x <> comp or y <> comp")
-    open_ = stored(partners.select(*placed.columns).distinct(), "open")
-    inner = open_.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("o")).select("rep", F.col("o.tok").alias("open"))
+    # Shingles of one family of texts mostly have one hub: dealt by it, a pair meets on all of them in one task.
+    family = hubs.select("tok", F.col("h.rep").alias("family"))
+    open_ = stored(partners.select(*placed.columns).distinct().join(family, "tok"), "open")
     # Few shingles need more than one block, so their number is joined without moving the postings.
     many = stored(open_.groupBy("tok").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")).where("blocks > 1"), "many")
     blocks = F.coalesce("blocks", F.lit(1))
-    rows = open_.join(inner, "rep").join(_small(many), "tok", "left").withColumn("blocks", blocks)
-    rows = stored(rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "rows")
+    rows = open_.join(_small(many), "tok", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # Blocks meet in tiles: rows of one block in the tile (i, i), those of two in the tile (i, j).
     tiles = rows.withColumn("far", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("t1", F.least("own", "far")).withColumn("t2", F.greatest("own", "far"))
-    x, y = tiles.alias("x"), tiles.alias("y")
-    both = F.array_intersect("x.open", "y.open")
-    cross = (
-        x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2")) & ((F.col("x.t1") == F.col("x.t2")) | (F.col("x.own") != F.col("y.own")))
-               & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-               & _room(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-               & (F.try_element_at(both, F.lit(1)) == F.col("x.tok")) & (F.size(both) >= F.least("x.ell", "y.ell")))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .join(first, ["a", "b"], "left_anti")
-    )
+    dealt = tiles.withColumn("part", F.pmod(F.xxhash64("tok"), F.col("blocks"))).repartition("family", "t1", "t2", "part")
+    dealt = dealt.sortWithinPartitions("family", "t1", "t2", "tok").select("tok", "t1", "t2", "own", "rep", "comp", "n", "pos", "ell")
+    met = dealt.mapInPandas(lambda batches: _met(batches, percent), "a long, b long, k long, ell int")
+    cross = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("ell").alias("ell")).where("k >= ell").select("a", "b").join(first, ["a", "b"], "left_anti")
     second = stored(cross, "cross")
     if second.limit(1).count():
         more = _verified(second, docs, n, percent)
@@ -344,7 +402,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"),
     )
     out = stored(out, "classes")
-    dropped(sets, groups, shared, common, live, hubs, first, links, found, placed, kinds, open_, many, rows, second)
+    dropped(sets, groups, shared, common, live, hubs, first, links, found, placed, kinds, open_, many, second)
     return out
 
 
