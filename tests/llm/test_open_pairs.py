@@ -62,8 +62,8 @@ def test_long_near_copies_write_less_than_their_text(spark, monkeypatch):
 
 def test_unlinked_copies_of_one_passage(spark):
     rng = np.random.default_rng(1)
-    passage = " ".join(str(x) for x in rng.integers(0, 10**9, 300))
-    rows = [(i, passage + " " + " ".join(map(str, rng.integers(0, 10**9, 20 if i < 380 else 5)))) for i in range(400)]
+    passages = [" ".join(str(x) for x in rng.integers(0, 10**9, 300)) for _ in range(2)]
+    rows = [(i, passages[i >= 380] + " " + " ".join(map(str, rng.integers(0, 10**9, 20 if i < 380 else 5)))) for i in range(400)]
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
     assert all(got[i] == i for i in range(380))
     assert all(got[i] == 380 for i in range(380, 400))
