@@ -68,7 +68,8 @@ MAX_DEPTH = 150
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after the other: its name, and its value in either kind of quotes or none.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[\"'=/]")
 _WORD = re.compile(r"[a-z0-9]+")
 #: Element names of HTML by their role here.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,7 +81,7 @@ _CLOSES_P = _BLOCK - frozenset("body html td th tr tbody thead tfoot caption".sp
 _AUTO = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _NOISE_TAGS = frozenset(
-    "head nav footer aside form script style noscript template iframe object embed svg math canvas audio video button select option textarea input label menu dialog title map frame frameset noframes applet datalist".split()
+    "head nav footer aside form script style noscript template iframe object embed svg math canvas audio video button select option textarea input menu dialog title map frame frameset noframes applet datalist".split()
 )
 _UNSEEN = frozenset("head script style noscript template iframe object embed svg math canvas audio video title map frame frameset noframes applet".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
@@ -89,6 +90,12 @@ _NOISE_WORDS = frozenset(
     "sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations "
     "widget pagination pager search searchform login signup copyright skip".split()
 )
+#: Words that name no main text in whatever compound; the others count if every further word says only where or how large a box is.
+_SURE_WORDS = frozenset("advert adverts advertisement advertising adsense sponsor sponsored cookie cookies gdpr newsletter sidebar navbar breadcrumb breadcrumbs comment comments commentlist disqus pagination".split())
+_PLACE_WORDS = frozenset("site main top bottom page global primary secondary left right wp js sticky fixed float box bar buttons button links link list lists wrapper wrap container section area block unit slot panel items item icons thread posts articles form inner outer row col content group".split())
+_AD_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored promo".split())
+#: Elements that hold others; names on headings, paragraphs and inline elements tell of a style.
+_CONTAINERS = frozenset("div section ul ol dl li table tbody thead tfoot tr td th fieldset details center figure blockquote address".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
 _CONTENT_WORDS = frozenset("article content entry main post story text body".split())
 
@@ -96,10 +103,11 @@ _CONTENT_WORDS = frozenset("article content entry main post story text body".spl
 class Node:
     """An element: tag, noise flag, label, children, and its own text parts between them."""
 
-    __slots__ = ("tag", "marks", "hidden", "label", "children", "parts")
+    __slots__ = ("tag", "marks", "names", "ids", "hidden", "label", "children", "parts")
 
-    def __init__(self, tag: str, marks: frozenset, hidden: bool, classes: set = frozenset()):
-        self.tag, self.marks, self.hidden = tag, marks, hidden
+    def __init__(self, tag: str, marks: frozenset, hidden: bool, classes: set = frozenset(), names: frozenset = frozenset(), ids: frozenset = frozenset()):
+        # marks: words of classes and ids, and roles; names and ids: whole classes and ids.
+        self.tag, self.marks, self.hidden, self.names, self.ids = tag, marks, hidden, names, ids
         # Ids and words with digits tell pages apart, and so do the classes of the body.
         words = [] if tag in ("html", "body") else sorted(m for m in classes if not any(map(str.isdigit, m)))
         self.label = ".".join([tag, *words])
@@ -119,6 +127,7 @@ def parsed(page: str) -> Node:
     """The page as a tree, with the end tags that HTML lets authors leave out."""
     root = Node("#root", frozenset(), False)
     stack, at = [root], 0
+    forms: list[Node] = []
     over: dict[str, int] = {}  # open elements beyond the depth limit, by name
     while True:
         m = _TOKEN.search(page, at)
@@ -128,6 +137,9 @@ def parsed(page: str) -> Node:
                 text = _html.unescape(text)
             stack[-1].parts.append((len(stack[-1].children), text))
         if not m:
+            for form in forms:  # one around the page is no form to fill in
+                if 2 * _size(form) > _size(root) or any(c.tag in ("article", "main") for c in _walk(form)):
+                    form.tag = "div"
             return root
         at = m.end()
         name = m.group(2)
@@ -163,21 +175,24 @@ def parsed(page: str) -> Node:
                     break
         marks, hidden = frozenset(), False
         rest = m.group(3) if m.group(3) is not None else m.group(4)
-        classes: set[str] = set()
+        classes, names, ids = set(), set(), set()
         if len(rest) > 1:
             found = set()
             for a in _ATTRIBUTE.finditer(rest):
-                key, value = a.group(1).lower(), (a.group(2) or a.group(3) or a.group(4) or "").lower()
+                key, value = (a.group(1) or "").lower(), (a.group(2) or a.group(3) or a.group(4) or "").lower()
                 if key in ("class", "id", "itemprop"):
                     found.update(words := _WORD.findall(value))
                     if key == "class":
                         classes.update(words)
+                    (ids if key == "id" else names).update(value.split())
                 elif key == "role":
                     found.add("role=" + value.strip())
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     hidden = True
             marks = frozenset(found)
-        node = Node(name, marks, hidden, classes)
+        node = Node(name, marks, hidden, classes, frozenset(names), frozenset(ids))
+        if name == "form":
+            forms.append(node)
         stack[-1].children.append(node)
         if name in _VOID:
             continue
@@ -200,15 +215,36 @@ def parsed(page: str) -> Node:
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)", re.I) for n in _RAW}
 
 
-def noisy(node: Node, inside: bool) -> bool:
-    """Whether an element is no content by its name, role or class. inside: within an article or main."""
+@lru_cache(100_000)
+def noise_name(name: str) -> bool:
+    """Whether a whole class or id says that its element is no main text."""
+    words = {w for w in _WORD.findall(name) if not any(map(str.isdigit, w))}
+    return bool(words & _SURE_WORDS) or bool(words & _NOISE_WORDS) and words <= _NOISE_WORDS | _PLACE_WORDS
+
+
+def noisy(node: Node, inside: bool, named: bool = False) -> bool:
+    """Whether an element is no content by its tag, role, class or id. inside: where headers may be the text's own; named: within an article or main, where ids don't decide but for the surest words."""
     if node.hidden or node.tag in _NOISE_TAGS:
         return True
-    if node.tag == "header" or node.marks & {"header", "masthead"}:
+    if node.tag == "header" or node.tag in _CONTAINERS and node.names & {"header", "masthead"}:
         return not (inside and any(c.tag in _HEADINGS for c in _walk(node)))
     if any(m.startswith("role=") and m[5:] in _NOISE_ROLES for m in node.marks):
         return True
-    return node.tag not in ("html", "body", "article", "main") and bool(node.marks & _NOISE_WORDS) or node.tag == "article" and bool(node.marks & {"comment", "comments", "reply", "ad", "ads", "related", "promo", "sponsored"})
+    if node.tag == "article":
+        return bool(node.names & {"comment", "comments", "reply", "ad", "ads", "related", "promo", "sponsored"})
+    if node.tag in _CONTAINERS:
+        return any(map(noise_name, node.names)) or any(i in _SURE_WORDS if named else noise_name(i) for i in node.ids)
+    return node.tag not in ("html", "body", "main") and node.tag not in _HEADINGS and bool(node.names & _AD_WORDS)
+
+
+def _size(node: Node) -> int:
+    """Characters of text in an element, without what is never shown."""
+    todo, n = [node], 0
+    while todo:
+        x = todo.pop()
+        n += sum(len(t.strip()) for _, t in x.parts)
+        todo += [c for c in x.children if c.tag not in _UNSEEN]
+    return n
 
 
 def _walk(node: Node):
@@ -274,7 +310,7 @@ def text_of(root: Node, template: set[int] = frozenset(), names: bool = True) ->
         run.clear()
 
     def visit(node: Node, top: bool, inside: bool) -> None:
-        if not top and (noisy(node, inside) if names else node.hidden or node.tag in _UNSEEN):
+        if not top and (noisy(node, inside, named) if names else node.hidden or node.tag in _UNSEEN):
             run.append(" ")
             return
         inside = inside or marked(node)
