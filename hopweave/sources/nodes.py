@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from hopweave.functions.parsing import corpus_text
 from hopweave.functions.text import first_of, rewrite_path, strip
 from hopweave.operators.vector import normalize_corpus
+from hopweave.sources.json_array import scan_array
+from hopweave.storage import checkpointed
 
 ALLOWED = ("json", "jpg", "jpeg", "png")
 #: Media types by suffix; what has none is taken for JPEG.
@@ -78,14 +80,14 @@ def split_modalities(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def scan_legacy(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus file with text_corpus (or corpus), image_corpus and audio_corpus as one table with a modality."""
-    v = spark.read.format("text").option("wholetext", "true").load(path).select(F.try_parse_json("value").alias("v"))
-    part = lambda p: F.try_variant_get("v", f"$.{p}", "array<variant>")
-    text = F.coalesce(part("text_corpus"), part("corpus"))
-    out = None
-    for name, items in (("text", text), ("image", part("image_corpus")), ("audio", part("audio_corpus"))):
-        rows = v.select(F.lit(name).alias("modality"), F.explode(items).alias("n"))
-        out = rows if out is None else out.unionByName(rows)
+    """A corpus file with text_corpus (or corpus), image_corpus and audio_corpus as one table with a modality; one file is read by many tasks.
+
+    ``corpus`` counts in files that have no ``text_corpus`` with elements.
+    """
+    found = checkpointed(scan_array(spark, path), "legacy").where("field in ('text_corpus', 'corpus', 'image_corpus', 'audio_corpus')")
+    newer = found.where("field = 'text_corpus'").select("path").distinct().withColumn("newer", F.lit(True))
+    found = found.join(newer, "path", "left").where("field <> 'corpus' or newer is null")
+    out = found.select(F.when(F.col("field") == "corpus", "text").otherwise(F.regexp_replace("field", "_corpus$", "")).alias("modality"), F.try_parse_json("element").alias("n")).where("n is not null")
     get = lambda p: F.try_variant_get("n", p, "string")
     return out.select("modality", get("$.id").alias("id"), first_of(get("$.text"), get("$.description")).alias("text"), get("$.image_path").alias("image_path"), F.try_variant_get("n", "$.metadata", "variant").alias("metadata"))
 
@@ -156,11 +158,9 @@ def scan_samples(spark: SparkSession, path: str, limit: int | None = None) -> Da
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         return spark.range(1).select(F.lit(0).cast("long").alias("ord"), F.from_json(F.lit('{"uid": "dummy", "query": "What is shown?", "reference_answer": ""}'), schema).alias("s")).select("ord", "s.*")
-    v = spark.read.format("text").option("wholetext", "true").load(path).select(F.try_parse_json("value").alias("v"))
-    items = F.coalesce(F.try_variant_get("v", "$.examples", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    rows = v.select(F.posexplode(items).alias("ord", "n")).select(F.col("ord").cast("long").alias("ord"), F.try_variant_get("n", "$", schema).alias("s"))
-    rows = rows.select("ord", "s.*").orderBy("ord")
-    return rows.limit(limit) if limit else rows
+    items = scan_array(spark, path).where("field in ('', 'examples')")
+    items = items.where(F.col("ord") < limit) if limit else items
+    return items.select("ord", F.try_variant_get(F.try_parse_json("element"), "$", schema).alias("s")).select("ord", "s.*").orderBy("ord")
 
 
 def sample_key(uid: Column, query: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from hopweave.plans.catalog import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = sorted(f.removesuffix(".parquet") for f in os.listdir(SF) if f.endswith(".parquet"))
 
 
 @pytest.fixture(scope="module")
