@@ -209,7 +209,7 @@ def _met(batches, percent: int):
         i = 0
         while i < len(n):  # so many pairs at once, or one posting's
             before = ends[i] - many[i]
-            j = max(i + 1, int(np.searchsorted(ends, before + 1_000_000, "right")))
+            j = max(i + 1, int(np.searchsorted(ends, before + 250_000, "right")))
             larger = np.repeat(np.arange(i, j), many[i:j])
             yield pairs(x, larger, low[larger] + np.arange(len(larger)) - (ends[larger] - many[larger] - before))
             i = j
@@ -224,13 +224,13 @@ def _met(batches, percent: int):
         for part in groups({c: v[:cut] for c, v in x.items()}) if cut else ():
             found.append(part)
             held += part.shape[1]
-            if held > 1_000_000:
+            if held > 250_000:
                 yield summed(found)
                 found, held = [], 0
     for part in groups(rest) if rest is not None and len(rest["tok"]) else ():
         found.append(part)
         held += part.shape[1]
-        if held > 1_000_000:
+        if held > 250_000:
             yield summed(found)
             found, held = [], 0
     if found:

@@ -44,8 +44,8 @@ RESERVE = 32
 STOCK = 16_384
 STALLED = 500
 #: Characters of text encoded at once, and words remembered by a worker.
-SLICE = 2_000_000
-REMEMBERED = 400_000
+SLICE = 1_000_000
+REMEMBERED = 200_000
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: Beyond these, lower case and composition depend on more than the single character.
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
