@@ -1,7 +1,8 @@
 """Language, embedding and reranking models behind one interface, with deterministic offline stand-ins.
 
 A provider is made once per Python worker from a picklable specification. Calls go through
-``mapInPandas``, so a partition is the unit of retry and results must not depend on the attempt.
+``mapInPandas``, so a partition is the unit of retry and results must not depend on the attempt; a log of
+replies (calls.py) keeps a retried one from asking twice. Providers may be called from several threads at once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopweave.plans.calls import Caller
+
 
 @dataclass(frozen=True)
 class ModelSpec:
@@ -34,6 +37,9 @@ class ModelSpec:
     retries: int = 3
     backoff_s: float = 2.0
     dim: int = 64
+    #: Calls of one task that run at the same time, and that begin in a second (None: as many as may).
+    concurrency: int = 8
+    per_second: float | None = None
     #: For the stub: pairs of a text that a prompt may hold and the reply to such prompts.
     options: tuple = field(default_factory=tuple)
 
@@ -128,6 +134,16 @@ def model(spec: ModelSpec) -> StubModel:
     return _made[spec]
 
 
+def carried(*specs: ModelSpec | None) -> dict[str, Callable]:
+    """What the driver has registered for the specifications' providers; workers take it over before they make a model."""
+    return {s.provider: PROVIDERS[s.provider] for s in specs if s is not None and s.provider in PROVIDERS}
+
+
+def adopted(factories: dict[str, Callable]) -> None:
+    for name, factory in factories.items():
+        register(name, factory)
+
+
 def forget() -> None:
     _made.clear()
 
@@ -145,56 +161,65 @@ def attempted(call: Callable[[], str], retries: int, backoff_s: float, sleep=tim
     return "", message
 
 
-def generate(df: DataFrame, spec: ModelSpec, prompt: str = "prompt", image: str | None = None, out: str = "reply", multimodal: ModelSpec | None = None) -> DataFrame:
-    """Add the reply and an error column; rows with an image go to the multimodal model if there is one."""
+def generate(df: DataFrame, spec: ModelSpec, prompt: str = "prompt", image: str | None = None, out: str = "reply", multimodal: ModelSpec | None = None, log: tuple[str, str] | None = None) -> DataFrame:
+    """Add the reply and an error column; rows with an image go to the multimodal model if there is one.
+
+    Equal prompts of a batch are asked once, ``spec.concurrency`` at a time. log: (folder, run), where replies are written
+    down, so that a task that runs again, or a run of the same name, asks only what it hasn't been told.
+    """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{out}` string, `{out}_error` string"
 
+    factories = carried(spec, multimodal)
+
     def run(batches):
+        adopted(factories)
+
+        def call(p, i):
+            return attempted(lambda: model(multimodal if i and multimodal else spec).generate(p, i), spec.retries, spec.backoff_s)
+
+        caller = Caller(spec, "generate" if multimodal is None else f"generate:{multimodal.provider}:{multimodal.model}", call, log)
         for pdf in batches:
             pictures = pdf[image] if image else [None] * len(pdf)
-            got = [attempted(lambda p=p, i=i: model(multimodal if i and multimodal else spec).generate(p, i), spec.retries, spec.backoff_s) for p, i in zip(pdf[prompt], pictures)]
+            got = caller.ask([*zip(pdf[prompt], pictures)])
             yield pdf.assign(**{out: [g[0] for g in got], f"{out}_error": [g[1] for g in got]})
 
     return df.mapInPandas(run, schema)
 
 
-def embed(column, spec: ModelSpec):
-    """A vector column of a text column; null for blank texts and failures."""
+def _vectors(column, spec: ModelSpec, kind: str, call):
+    """A vector column; asked once for each distinct value of a batch, and, being marked as not deterministic, only once in a plan that also filters by it."""
+
+    factories = carried(spec)
 
     @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if not t or not t.strip():
-                return None
-            got, error = attempted(lambda: model(spec).embed(t), spec.retries, spec.backoff_s)
-            return None if error else got
+    def run(values: pd.Series) -> pd.Series:
+        adopted(factories)
+        caller = Caller(spec, kind, lambda v: attempted(lambda: call(model(spec), v), spec.retries, spec.backoff_s))
+        asked = [v for v in values if isinstance(v, str) and v.strip()]
+        told = dict(zip(asked, caller.ask([(v,) for v in asked])))
+        return pd.Series([None if v not in told or told[v][1] else told[v][0] for v in values], dtype=object)
+
+    return run.asNondeterministic()(column)
 
-        return texts.map(one)
 
-    return run(column)
+def embed(column, spec: ModelSpec):
+    """A vector column of a text column; null for blank texts and failures."""
+    return _vectors(column, spec, "embed", lambda m, t: m.embed(t))
 
 
 def embed_image(column, spec: ModelSpec):
     """A vector column of a column of image paths or data URIs; null for blanks and failures."""
-
-    @F.pandas_udf("array<float>")
-    def run(images: pd.Series) -> pd.Series:
-        def one(i):
-            if not i:
-                return None
-            got, error = attempted(lambda: model(spec).embed_image(i), spec.retries, spec.backoff_s)
-            return None if error else got
-
-        return images.map(one)
-
-    return run(column)
+    return _vectors(column, spec, "embed_image", lambda m, i: m.embed_image(i))
 
 
 def rerank_score(question, text, image, spec: ModelSpec, batch: int = 4):
     """The reranker's score of each hit, in calls of up to ``batch`` hits of one question (a text longer than the model takes is cut by its server); null where the call fails."""
 
+    factories = carried(spec)
+
     @F.pandas_udf("double")
     def run(questions: pd.Series, texts: pd.Series, images: pd.Series) -> pd.Series:
+        adopted(factories)
         out = pd.Series(np.nan, index=questions.index)
         for q, at in questions.groupby(questions.fillna("")).groups.items():
             for s in range(0, len(at), batch):
