@@ -1,7 +1,8 @@
 """Packing: cutting-stock column generation, with a cuttable reserve that fills what is left over.
 
 Texts become token ids once, by the given tokenizer. A document is cut into whole sequences and a rest;
-the rests' lengths form a histogram of at most 256 classes. Over it a linear program chooses patterns
+the rests' lengths form a histogram of at most 256 classes of 16 tokens or, where pieces are so short that rounding
+them up would leave more than the reserve can fill, finer ones for these (384 classes at most). Over it a linear program chooses patterns
 (how many rests of each class share a sequence): starting from one pattern per class, a knapsack
 dynamic program prices the best new pattern from the duals until none improves. The solution is
 rounded down, the few rests left over are packed first-fit, and each pattern's slots go to the rests by
@@ -40,6 +41,8 @@ from hopweave.llm._common import cumulated, dropped, ranked, stored
 CAPACITY = 4096
 CLASSES = 256
 RESERVE = 32
+#: Units up to which lengths have classes of one unit, and the share of the stock that rounding may be expected to take.
+FINE, FILLED = 128, 0.7
 #: Ids of a slice of the stock (64 KB), and steps without a gain after which column generation ends.
 STOCK = 16_384
 STALLED = 500
@@ -228,15 +231,33 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.
     return kept
 
 
+def units(lengths: dict[int, int], capacity: int, reserve: int) -> int:
+    """Tokens of a class: as many as leave gaps that the stock is likely to fill, fewer the shorter the pieces are."""
+    tokens = sum(n * length for length, n in lengths.items())
+    unit = capacity // CLASSES
+    while unit > 1 and sum(n * (rounded(length, unit, capacity) * unit - length) for length, n in lengths.items()) > FILLED * tokens / reserve:
+        unit //= 2
+    return unit
+
+
+def rounded(length: int, unit: int, capacity: int) -> int:
+    """The class of a length, in units; pieces of more than FINE units have the classes of a coarse grid."""
+    coarse = capacity // CLASSES
+    return -(-length // unit) if length <= FINE * unit else -(-length // coarse) * (coarse // unit)
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, reserve: int = RESERVE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    unit = capacity // CLASSES
     made = stored(pieces(docs, tokenizer, end_id, capacity, reserve), "pieces")
-    rests = made.where("ids is null").drop("ids").withColumn("cls", F.ceil(F.col("length") / unit).cast("int"))
+    rests = made.where("ids is null").drop("ids")
+    unit = units({r["length"]: r["count"] for r in rests.groupBy("length").count().collect()}, capacity, reserve)  # at most ``capacity`` rows
+    coarse = capacity // CLASSES
+    fine = F.ceil(F.col("length") / unit)
+    rests = rests.withColumn("cls", F.when(F.col("length") <= FINE * unit, fine).otherwise(F.ceil(F.col("length") / coarse) * (coarse // unit)).cast("int"))
     hist = sorted((r["cls"], r["count"]) for r in rests.groupBy("cls").count().collect())
     sizes, demand = np.array([c for c, _ in hist], np.int64), np.array([n for _, n in hist], np.int64)
     plan, sequences, done = [], 0, np.zeros(len(sizes), np.int64)
-    for column, times in patterns(sizes, demand, CLASSES):
+    for column, times in patterns(sizes, demand, capacity // unit):
         for i in np.flatnonzero(column):
             plan.append((int(sizes[i]), int(done[i]), int(column[i]), sequences))
             done[i] += column[i] * times
