@@ -10,13 +10,13 @@ from hopweave.functions.text import SPACE, count_words, drop_descriptive, entiti
 #: Characters that only OCR produces in runs; the units that may follow a number.
 NOISE = "│━─—§¶×®©"
 NUMBER = r"\$?\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:%|million|billion|kg|mm|°C|kW)?"
-#: A list marker at the start of a line: "1.", "A)", "(A)" or an ideographic comma.
 THREE_WORDS = rf"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{2}}[^{SPACE}]"
+#: A list marker at the start of a line: "1.", "A)", "(A)" or an ideographic comma.
 MARKER = r"\n\s*(?:\d+\.|\(?[A-Z]\)|、)"
 
 
-def clean_lines(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
-    """Drop runs of noise and lines seen three times, short lines and those of under three words; keep texts of which over 30 % of the words are left."""
+def clean_lines(docs: DataFrame, id_: str = "doc_id", keep: tuple = ()) -> DataFrame:
+    """Of (id, text) with the columns to keep: drop runs of noise and lines seen three times, short lines and those of under three words; keep texts of which over 30 % of the words are left."""
     bare = F.regexp_replace("text", f"[{NOISE}]{{5,}}", "")
 
     def often(lines: Column) -> Column:
@@ -30,7 +30,7 @@ def clean_lines(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
     row = let(kept, lambda t: F.struct(t.alias("text"), count_words(t, use_tokens=False).cast("long").alias("n_left"), count_words(bare, use_tokens=False).cast("long").alias("n_words")))
     # As a generator, the row is made once; a filter would be pushed down and make it anew.
     fits = F.filter(F.array(row), lambda r: (r["n_words"] > 0) & (r["n_left"] / r["n_words"] > 0.3))
-    return docs.select(id_, F.inline(fits))
+    return docs.select(id_, *keep, F.inline(fits))
 
 
 def let(value: Column, body) -> Column:
@@ -114,14 +114,24 @@ def precision_extract(query: Column, text: Column, most_words: int = 2000, aroun
     Tables give the line of their marker with up to 500 characters after it. An extract over ``most_words``
     loses its descriptive adverbs.
     """
+    # What marks tables, figures and pages.
     tables = F.regexp_extract_all(text, F.lit(r"(?s)(?:Table|Figure)\s*\d+[^\n]*\n.{0,500}"), 0)
     pages = F.regexp_extract_all(text, F.lit(r"Page\s+\d+[^\n]*\n[^\n]{0,300}"), 0)
     found = F.array_join(F.concat(numbers(text), tables, pages, F.flatten(F.transform(entities(query), lambda e: surroundings(text, e, around)))), "\n")
     return F.when(F.size(words(found)) > most_words, drop_descriptive(found)).otherwise(found)
 
 
-def compress(docs: DataFrame, query: str, target: int = 2000, limit: float = 0.9) -> DataFrame:
-    """Noise, chunks, near duplicates and budget in one: one row per kept chunk of each document."""
-    cut = clean_lines(docs).select("doc_id", chunks(F.col("text")).alias("c"))
-    kept = cut.select(F.col("doc_id").alias("question_id"), F.posexplode(near_distinct(F.col("c"), limit)).alias("rank", "text"))
-    return budget(kept, target).withColumnRenamed("question_id", "doc_id").withColumn("query", F.lit(query))
+def compress(docs: DataFrame, query: str | Column, target: int = 2000, limit: float = 0.9, score=None) -> DataFrame:
+    """Noise, chunks, relevance, near duplicates and budget in one: one row per kept chunk of each document, the most relevant first.
+
+    query: what is asked, the same for all documents or a column of them. score(query, chunk): a column, by default
+    the similarity of both sets of words (a reranking model's stand-in); chunks of equal score stay in their order.
+    """
+    asked = docs.select("doc_id", "text", (F.lit(query) if isinstance(query, str) else query).alias("query"))
+    cut = clean_lines(asked, keep=("query",)).select("doc_id", "query", chunks(F.col("text")).alias("c"))
+    if score is None:
+        worth = let(word_set(F.coalesce("query", F.lit(""))), lambda q: F.transform("c", lambda x: set_jaccard(q, word_set(x))))
+    else:
+        worth = F.transform("c", lambda x: score(F.col("query"), x))
+    kept = cut.select(F.col("doc_id").alias("question_id"), "query", F.posexplode(ranked_distinct(F.col("c"), worth, limit)).alias("rank", "text"))
+    return budget(kept, target).withColumnRenamed("question_id", "doc_id")

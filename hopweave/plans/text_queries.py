@@ -255,18 +255,36 @@ _CHUNKED = f"""case when length(text) = 0 then [] when len(regexp_split_to_array
   else list_transform(list_filter(regexp_split_to_array(text, '{_MARKER}'), lambda p: len({_WORDS.format('p')}) > 50), lambda p: {_TRIM.format('p')}) end"""
 
 
+_ASKED = f"list_distinct(list_transform(({_WORDS.format('text')})[-8:], lambda w: lower(w)))"
+_RELEVANT = (
+    "list_transform(list_sort(list_transform(range(1, len(parts) + 1), lambda i: {'s': -1.0 * (case when len(a) + len(" + _SET.format("parts[i]") + ") > 0 then len(list_intersect(a, " + _SET.format("parts[i]") + ")) / "
+    "(len(a) + len(" + _SET.format("parts[i]") + ") - len(list_intersect(a, " + _SET.format("parts[i]") + "))) else 0 end), 'i': i})), lambda x: parts[x.i])"
+)
+
+
 @query(
-    f"""with c as (select doc_id, {_CHUNKED} as parts from ({_LINES})), g as ({_greedy('parts', 'select * from c where len(parts) > 0')}),
+    f"""with c as (select doc_id, ['what', 'changed'] as a, {_CHUNKED} as parts from ({_LINES})), r as (select doc_id, {_RELEVANT} as parts from c where len(parts) > 0), g as ({_greedy('parts', 'select * from r')}),
     e as (select doc_id, generate_subscripts(t, 1) - 1 as rank, unnest(t) as text from (select doc_id, list_transform(g.k, lambda y: y.t) as t from g)),
     n as (select *, len({_WORDS.format('text')}) as n from e), s as (select *, sum(n) over (partition by doc_id order by rank) - n as before from n)
     select doc_id, rank::bigint as rank, (case when before + n > 500 then 500 - before else n end)::bigint as n_words, before + n > 500 as truncated,
     case when before + n > 500 then array_to_string(({_WORDS.format('text')})[1:(500 - before)::bigint], ' ') else text end as text from s where before <= 500 and (before + n <= 500 or 500 - before > 100)"""
 )
 def ocr_compress(spark, sf_dir):
-    """Noise, chunks, near duplicates (at most ten chunks kept, a top-k) and budget of every document."""
+    """Noise, chunks by relevance, near duplicates (at most ten chunks kept, a top-k) and budget of every document."""
     return ocr.compress(read(spark, sf_dir, "documents").select("doc_id", "text"), "what changed", 500).select("doc_id", F.col("rank").cast("long").alias("rank"), "text", "n_words", "truncated")
 
 
+@query(
+    f"""with q as (select doc_id, {_ASKED} as a from documents), c as (select doc_id, a, {_CHUNKED} as parts from ({_LINES}) join q using (doc_id)), r as (select doc_id, {_RELEVANT} as parts from c where len(parts) > 0),
+    g as ({_greedy('parts', 'select * from r')}) select doc_id, generate_subscripts(t, 1)::bigint - 1 as rank, unnest(t) as text from (select doc_id, list_transform(g.k, lambda y: y.t) as t from g)"""
+)
+def ocr_relevance(spark, sf_dir):
+    """The chunks of every document by their likeness to its own last eight words, near duplicates left out (at most ten chunks kept, a top-k)."""
+    last = F.slice(text.words(F.col("text")), F.greatest(F.size(text.words(F.col("text"))) - 7, F.lit(1)), F.lit(8))
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(last, " ").alias("asked"))
+    return ocr.compress(d, F.col("asked"), 1_000_000_000).select("doc_id", F.col("rank").cast("long").alias("rank"), "text")
+
+
 _ENDS = "list_transform(range(1, len({p})), lambda i: list_sum(list_transform(({p})[1:i], lambda y: length(y))) + i * length(e))"
 _WINDOWS = "list_transform(" + _ENDS.format(p="regexp_split_to_array(text, '(?i)' || e)") + ", lambda z: substring(text, greatest(z - length(e) - 100, 0)::bigint + 1, (z + 100 - greatest(z - length(e) - 100, 0))::bigint))"
 _ENTITIES = "list_sort(list_distinct(regexp_extract_all(string_split(text, ' ')[1], '[A-Z][a-z]+|[A-Z]+|[一-龥]+')))"
