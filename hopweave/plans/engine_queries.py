@@ -6,6 +6,7 @@ the stub says of the last line of a prompt.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,6 +236,27 @@ def node_table_roundtrip(spark, sf_dir):
     return n.select("id", "label", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
+def _as_file(rows, path: str, arrays: tuple) -> None:
+    """One JSON file of an object of arrays: rows (name, ord, item: JSON text) by name in the given order, then ord, line by line; such a file has one writer, which holds a batch."""
+    order = F.array_position(F.array(*map(F.lit, arrays)), F.col("name"))
+
+    def lines(batches):
+        at, some = -1, False
+        for pdf in batches:
+            out = []
+            for name, item in zip(pdf["name"], pdf["item"]):
+                k, some = arrays.index(name), True
+                if k != at:
+                    out += ["]," if at >= 0 else "{"] + [f'"{a}": [],' for a in arrays[at + 1 : k]] + [f'"{name}": [', item]
+                    at = k
+                else:
+                    out.append("," + item)
+            yield pd.DataFrame({"value": out})
+        yield pd.DataFrame({"value": ["]}" if some else "{}"]})
+
+    rows.orderBy(order, "ord").select("name", "item").coalesce(1).mapInPandas(lines, "value string").write.text(path)
+
+
 @query("select case when item_id % 2 = 0 then 'text' else 'image' end as modality, 'b' || item_id as id, text, case when item_id % 2 = 1 then 'i.png' end as image_path from benchmark")
 def legacy_corpora_scan(spark, sf_dir):
     """A legacy corpus file with lists per modality, written and scanned."""
@@ -242,7 +264,8 @@ def legacy_corpora_scan(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark")
     even = F.col("item_id") % 2 == 0
     item = lambda key: F.struct(F.concat(F.lit("b"), "item_id").alias("id"), F.col("text").alias(key), F.when(~even, "i.png").alias("image_path"))
-    b.agg(F.to_json(F.struct(F.collect_list(F.when(even, item("text"))).alias("corpus"), F.collect_list(F.when(~even, item("description"))).alias("image_corpus"))).alias("value")).write.text(path)
+    rows = b.select(F.when(even, "corpus").otherwise("image_corpus").alias("name"), F.col("item_id").alias("ord"), F.when(even, F.to_json(item("text"))).otherwise(F.to_json(item("description"))).alias("item"))
+    _as_file(rows, path, ("corpus", "image_corpus"))
     return nodes.scan_legacy(spark, path).select("modality", "id", "text", "image_path")
 
 
@@ -252,7 +275,7 @@ def samples_scan(spark, sf_dir):
     path = fresh(spark, "samples")
     b = read(spark, sf_dir, "benchmark")
     item = F.struct("item_id", F.concat(F.lit("u"), "item_id").alias("uid"), F.col("text").alias("query"), F.concat(F.lit("r"), "item_id").alias("reference_answer"))
-    b.agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("examples"))).alias("value")).write.text(path)
+    _as_file(b.select(F.lit("examples").alias("name"), F.col("item_id").alias("ord"), F.to_json(item).alias("item")), path, ("examples",))
     return nodes.scan_samples(spark, path).select("ord", "uid", "query", F.col("reference_answer").alias("reference"))
 
 
