@@ -31,7 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows that go to Python at once, where the session doesn't set its own number: texts can be long.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
+
+
+def released() -> None:
+    """Give memory that is free back to the system, at the end of a task: a worker lives on beside the next stage's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; it keeps what it likes
+        pass
 
 
 def bounded_batches(spark: SparkSession) -> None:

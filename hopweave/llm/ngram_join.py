@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm._common import components, dropped, ranked, stored
+from hopweave.llm._common import components, dropped, ranked, released, stored
 
 #: log2 of the sketch's counters; its size (16 MB) doesn't depend on the corpus.
 SKETCH_BITS = 22
@@ -62,6 +62,12 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """At the end of a task: words aren't needed in what comes next."""
+    _words.clear()
+    released()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX[1]
     return x ^ (x >> np.uint64(29))
@@ -286,6 +292,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                 if 100 * shared >= percent * (len(x) + len(y) - shared):
                     found.append((min(center, k), max(center, k)))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        sets.clear()
+        forget()
 
     out = stored(blocks.mapInPandas(check, "a long, b long"), "links")
     dropped(ids, texts, placed, whole)
@@ -342,6 +350,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "ell", "mean", "pre"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        forget()
 
     sets = stored(docs.mapInPandas(describe, "doc_id long, n long, f1 long, f2 long, ell int, mean double, pre array<long>"), "sets")
     same = ["f1", "f2", "n"]

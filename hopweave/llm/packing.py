@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm._common import cumulated, dropped, ranked, stored
+from hopweave.llm._common import cumulated, dropped, ranked, released, stored
 
 CAPACITY = 4096
 CLASSES = 256
@@ -47,8 +47,8 @@ FINE, FILLED = 128, 0.7
 STOCK = 16_384
 STALLED = 500
 #: Characters of text encoded at once, and words remembered by a worker.
-SLICE = 1_000_000
-REMEMBERED = 200_000
+SLICE = 500_000
+REMEMBERED = 120_000
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: Beyond these, lower case and composition depend on more than the single character.
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
@@ -157,6 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        released()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.pmod(F.xxhash64("doc_id"), F.lit(reserve)) == 0).alias("stock"))
     return rows.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
