@@ -16,7 +16,7 @@ from hopweave.operators import evaluate, fusion, ocr, planning, vector
 from hopweave.plans import providers
 from hopweave.plans.providers import ModelSpec, embed, generate
 from hopweave.plans.qa_queries import _HOPS, _Q
-from hopweave.plans.text_queries import _TOKENS, _WORDS, keywords, read
+from hopweave.plans.text_queries import _SET, _TOKENS, _WORDS, keywords, read
 from hopweave.sources import nodes
 from hopweave.storage import checkpointed, fresh
 from hopweave.streaming.ingest import append_rows
@@ -126,6 +126,46 @@ def answer_trace(spark, sf_dir):
     return done.hits.select("question_id", F.col("sub_ord").cast("long").alias("sub_ord"), F.col("rank").cast("long").alias("rank"))
 
 
+_LETTERS = "list_transform(range(97, 123), lambda c: (length(text) - length(replace(text, chr(c::int), '')))::double)"
+_SIMILAR = f"(case when len({_SET.format('question')}) + len({_SET.format('text')}) > 0 then len(list_intersect({_SET.format('question')}, {_SET.format('text')})) / (len({_SET.format('question')}) + len({_SET.format('text')}) - len(list_intersect({_SET.format('question')}, {_SET.format('text')}))) else 0 end)"
+
+
+def _hits_sql(nodes: str) -> str:
+    """What the engine retrieves with letter counts for vectors: the nearest ten, of which the likest five by their words."""
+    return f"""(with n as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as l from (select doc_id as node_id, text, {_LETTERS} as e from documents where trim(text, E' \\t\\n\\r') <> '' {nodes})),
+    q as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as l from (select item_id as query_id, text as question, {_LETTERS} as e from benchmark)),
+    s as (select query_id, question, node_id, text, round(case when n.l > 0 then list_dot_product(q.e, n.e) / (q.l * n.l) else 0 end, 6) as near from q, n),
+    h as (select *, row_number() over (partition by query_id order by near desc, node_id) as r from s qualify r <= 10)
+    select query_id, node_id, round({_SIMILAR}, 6) as score, row_number() over (partition by query_id order by round({_SIMILAR}, 6) desc, r) as rank from h qualify rank <= 5)"""
+
+
+def _letters(spark, sf_dir, modality):
+    from hopweave.plans.retrieval import Engine
+
+    spec = ModelSpec(provider="letters", model="letters", dim=26)
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text", "source", modality.alias("modality"), embed(F.col("text"), spec).alias("vector")).where("vector is not null")
+    return Engine(spark, d, Settings(), embedder=spec)
+
+
+@query(f"select query_id, rank::bigint as rank, node_id, score from {_hits_sql('')}")
+def retrieval_hits(spark, sf_dir):
+    """The nodes and scores that the engine retrieves and reranks, by vectors that SQL can say."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    got = _letters(spark, sf_dir, F.lit("text")).retrieve(asked)
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "node_id", "score")
+
+
+@query(
+    f"""select query_id, row_number() over (partition by query_id order by m, rank)::bigint as position, node_id, case when m = 0 then 'text' else 'image' end as modality
+    from (select 0 as m, * from {_hits_sql('and doc_id % 2 = 0')} union all select 1, * from {_hits_sql('and doc_id % 2 = 1')})"""
+)
+def retrieval_hybrid_hits(spark, sf_dir):
+    """The same of both modalities (odd documents stand in for images), texts before images."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    got = _letters(spark, sf_dir, F.when(F.col("doc_id") % 2 == 0, "text").otherwise("image")).retrieve(asked, "hybrid")
+    return got.select("query_id", F.col("position").cast("long").alias("position"), "node_id", "modality")
+
+
 @query("select item_id as query_id, 0.7::double as confidence, true as needed, 'cross_modal' as strategy from benchmark")
 def retrieval_judged(spark, sf_dir):
     """Confidence, need and strategy as a model says them."""

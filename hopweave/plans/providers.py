@@ -119,7 +119,14 @@ class HttpModel(StubModel):
         return out
 
 
-PROVIDERS: dict[str, Callable[[ModelSpec], StubModel]] = {"stub": StubModel, "http": HttpModel}
+class LetterModel(StubModel):
+    """The stub, with vectors that SQL can say too: how often each letter from a to z is in a text."""
+
+    def embed(self, text: str) -> list[float]:
+        return [float((text or "").count(chr(97 + i))) for i in range(26)]
+
+
+PROVIDERS: dict[str, Callable[[ModelSpec], StubModel]] = {"stub": StubModel, "http": HttpModel, "letters": LetterModel}
 _made: dict[ModelSpec, StubModel] = {}
 
 
