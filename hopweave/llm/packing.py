@@ -46,9 +46,9 @@ FINE, FILLED = 128, 0.7
 #: Ids of a slice of the stock (64 KB), and steps without a gain after which column generation ends.
 STOCK = 16_384
 STALLED = 500
-#: Characters of text encoded at once, and words remembered by a worker.
-SLICE = 500_000
-REMEMBERED = 120_000
+#: Words remembered by a worker (some 200 bytes each), and fewer where a worker has to do with other stages too; four times as many
+#: characters of text are encoded at once.
+REMEMBERED, FEWER = 400_000, 120_000
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: Beyond these, lower case and composition depend on more than the single character.
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
@@ -61,7 +61,7 @@ class WordEncoder:
     token that closes a word; other new words go one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,6 +72,7 @@ class WordEncoder:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.remembered = remembered
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -112,7 +113,7 @@ class WordEncoder:
         for t in texts:
             held.append(t)
             size += len(t)
-            if size >= SLICE:
+            if size >= 4 * self.remembered:
                 out += self._slice(held)
                 held, size = [], 0
         return out + self._slice(held)
@@ -124,27 +125,27 @@ class WordEncoder:
         self.known.update(fresh)
         get = self.known.__getitem__
         out = [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
-        if len(self.known) > REMEMBERED:  # what came first is the most frequent; the newest go again
+        if len(self.known) > self.remembered:  # what came first is the most frequent; the newest go again
             for w in fresh:
                 self.known.pop(w, None)
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> WordEncoder:
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = WordEncoder(path, remembered)
+    return _encoders[path, remembered]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, reserve: int = RESERVE) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, reserve: int = RESERVE, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of the fixed pieces; slices of stock documents keep their ids."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         for pdf in batches:
             rows = []
             for doc_id, ids, stock in zip(pdf["doc_id"], enc.ids([t or "" for t in pdf["text"]]), pdf["stock"]):
@@ -247,9 +248,9 @@ def rounded(length: int, unit: int, capacity: int) -> int:
     return -(-length // unit) if length <= FINE * unit else -(-length // coarse) * (coarse // unit)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, reserve: int = RESERVE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, reserve: int = RESERVE, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    made = stored(pieces(docs, tokenizer, end_id, capacity, reserve), "pieces")
+    made = stored(pieces(docs, tokenizer, end_id, capacity, reserve, remembered), "pieces")
     rests = made.where("ids is null").drop("ids")
     unit = units({r["length"]: r["count"] for r in rests.groupBy("length").count().collect()}, capacity, reserve)  # at most ``capacity`` rows
     coarse = capacity // CLASSES
