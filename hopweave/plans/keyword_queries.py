@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hopweave.functions import segment, text
 from hopweave.operators import keywords
 from hopweave.plans.text_queries import _TOKENS, read
+from hopweave.storage import checkpointed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,10 +64,14 @@ _BARE = r"regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g')"
 def segment_words(spark, sf_dir):
     """Texts without any space, segmented by the corpus's own words and counts: every part of two and more characters is such a word, and nothing is lost."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    dictionary = keywords.counted(d.select("doc_id", F.coalesce(pieces, F.array().cast("array<string>")).alias("words"))).groupBy("word").agg(F.sum("n").alias("n"))
+    pieces = F.split("text", r"[^\p{L}\p{N}]+")
+    dictionary = checkpointed(d.select(F.explode(pieces).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")), "dictionary")
     bare = d.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]", "").alias("bare")).where("bare <> ''")
-    found = segment.segmented(bare, dictionary, "bare", runs=r"[^\s]+", others="")
+    found = checkpointed(segment.segmented(bare, dictionary, "bare", runs=r"[^\s]+", others="", limited=False).select("doc_id", "words"), "segmented")
     long = found.select("doc_id", F.explode(F.array_distinct(F.filter("words", lambda w: F.length(w) > 1))).alias("word"))
-    unknown = long.join(dictionary.select("word"), "word", "left_anti").select("doc_id").distinct().withColumn("known", F.lit(False))
-    return found.select("doc_id", F.array_join("words", "").alias("rejoined")).join(unknown, "doc_id", "left").select("doc_id", "rejoined", F.coalesce("known", F.lit(True)).alias("known"))
+    strange = checkpointed(long.select("word").distinct().join(dictionary, "word", "left_anti"), "strange")
+    whole = F.array_join("words", "").alias("rejoined")
+    if strange.isEmpty():
+        return found.select("doc_id", whole, F.lit(True).alias("known"))
+    unknown = long.join(strange, "word").select("doc_id").distinct().withColumn("known", F.lit(False))
+    return found.select("doc_id", whole).join(unknown, "doc_id", "left").select("doc_id", "rejoined", F.coalesce("known", F.lit(True)).alias("known"))

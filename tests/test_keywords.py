@@ -68,3 +68,17 @@ def test_odd_rows(spark, monkeypatch):
         assert got[1, 1] == ("a", round(2 / 3 * (math.log(6 / 3) + 1), 6)) and got[5, 1][0] == "b" and set(got) == {(1, 1), (1, 2), (4, 1), (4, 2), (5, 1)}
     ranks = {(r["doc_id"], r["word"]): r["weight"] for r in keywords.text_rank(docs).collect()}
     assert ranks[5, "b"] == 0.15 and ranks[1, "a"] == ranks[1, "b"] and (2, "a") not in ranks
+
+
+def test_a_dictionary_of_any_size_in_pieces(spark, monkeypatch):
+    """Over MOST_WORDS, read in several pieces, in several blocks; words on both sides of the gate, beside each other's beginnings."""
+    rng = random.Random(5)
+    counts = {"".join(rng.choices("ab中", k=rng.randrange(1, 12))): rng.randrange(1, 9) for _ in range(400)}
+    texts = ["".join(rng.choices([*counts, "x", "😀"], k=rng.randrange(1, 30))) for _ in range(60)]
+    want = [segment.Dictionary(counts).cut(t) for t in texts]
+    monkeypatch.setattr(segment, "MOST_WORDS", 2)
+    monkeypatch.setattr(segment, "PIECE", 90)
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["words"] for r in segment.segmented(docs, words, runs=r"\S+", others="", limited=False).collect()}
+    assert [got[i] for i in range(len(texts))] == want and all("".join(w) == t for w, t in zip(want, texts))
