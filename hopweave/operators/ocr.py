@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.functions.text import SPACE, count_words, drop_descriptive, entities, sentences, set_jaccard, strip, word_set, words
+from hopweave.functions.text import UNICODE_SPACE, count_words, drop_descriptive, entities, let, sentences, set_jaccard, strip, word_set, words
 
 #: Characters that only OCR produces in runs; the units that may follow a number.
 NOISE = "│━─—§¶×®©"
 NUMBER = r"\$?\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:%|million|billion|kg|mm|°C|kW)?"
-THREE_WORDS = rf"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{2}}[^{SPACE}]"
+
+
+def _at_least(n: int) -> str:
+    """A pattern of texts with n words; it reads no further."""
+    return rf"(?U)\A[{UNICODE_SPACE}]*+(?:[^{UNICODE_SPACE}]++[{UNICODE_SPACE}]++){{{n - 1}}}[^{UNICODE_SPACE}]"
+
+
 #: A list marker at the start of a line: "1.", "A)", "(A)" or an ideographic comma.
 MARKER = r"\n\s*(?:\d+\.|\(?[A-Z]\)|、)"
 
@@ -24,38 +30,31 @@ def clean_lines(docs: DataFrame, id_: str = "doc_id", keep: tuple = ()) -> DataF
         return let(F.sort_array(lines), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 2) == x, F.lit(False)))))
 
     def good(lines: Column) -> Column:
-        return let(often(lines), lambda o: F.filter(lines, lambda x: x.rlike(THREE_WORDS) & (F.length(strip(x)) > 10) & ~F.array_contains(o, x)))
+        return let(often(lines), lambda o: F.filter(lines, lambda x: x.rlike(_at_least(3)) & (F.length(strip(x)) > 10) & ~F.array_contains(o, x)))
 
-    kept = let(let(F.split(bare, "\n"), good), lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")))
-    row = let(kept, lambda t: F.struct(t.alias("text"), count_words(t, use_tokens=False).cast("long").alias("n_left"), count_words(bare, use_tokens=False).cast("long").alias("n_words")))
+    kept = lambda b: let(let(F.split(b, "\n"), good), lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")))
+    row = let(bare, lambda b: let(kept(b), lambda t: F.struct(t.alias("text"), count_words(t, use_tokens=False).cast("long").alias("n_left"), count_words(b, use_tokens=False).cast("long").alias("n_words"))))
     # As a generator, the row is made once; a filter would be pushed down and make it anew.
     fits = F.filter(F.array(row), lambda r: (r["n_words"] > 0) & (r["n_left"] / r["n_words"] > 0.3))
     return docs.select(id_, *keep, F.inline(fits))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once: a lambda's variable is bound, a repeated expression is not."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sentence_windows(text: Column, n: int = 5) -> Column:
     """Runs of ``n`` sentences, joined by a full stop and a space."""
-    s = sentences(text)
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(s) / n).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(s, i * n + 1, F.lit(n)), ". "))
+    last = lambda s: F.greatest(F.ceil(F.size(s) / n).cast("int") - 1, F.lit(0))
+    return let(sentences(text), lambda s: F.transform(F.sequence(F.lit(0), last(s)), lambda i: F.array_join(F.slice(s, i * n + 1, F.lit(n)), ". ")))
 
 
 def chunks(text: Column, size: int = 300, windows: int = 0) -> Column:
     """Sections at list markers (over 50 words each); with under two markers, pieces of ``size`` characters, or windows of so many sentences."""
-    parts = F.split(text, MARKER)
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0))), lambda i: F.substring(text, i * size + 1, F.lit(size)))
-    pieces = sentence_windows(text, windows) if windows else pieces
-    big = F.transform(F.filter(parts, lambda p: F.size(words(p)) > 50), strip)
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.size(parts) < 3, pieces).otherwise(big)
+    pieces = sentence_windows(text, windows) if windows else F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0)  # one pass; substrings are counted from the start
+    big = lambda parts: F.transform(F.filter(parts, lambda p: p.rlike(_at_least(51))), strip)
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(let(F.split(text, MARKER), lambda parts: F.when(F.size(parts) < 3, pieces).otherwise(big(parts))))
 
 
 def coherent(text: Column) -> Column:
     """Without a language model: more than ten words."""
-    return F.size(words(text)) > 10
+    return text.rlike(_at_least(11))
 
 
 def near_distinct(texts: Column, limit: Column | float = 0.9, most: int = 10) -> Column:
@@ -130,7 +129,7 @@ def compress(docs: DataFrame, query: str | Column, target: int = 2000, limit: fl
     asked = docs.select("doc_id", "text", (F.lit(query) if isinstance(query, str) else query).alias("query"))
     cut = clean_lines(asked, keep=("query",)).select("doc_id", "query", chunks(F.col("text")).alias("c"))
     if score is None:
-        worth = let(word_set(F.coalesce("query", F.lit(""))), lambda q: F.transform("c", lambda x: set_jaccard(q, word_set(x))))
+        worth = let(word_set(F.coalesce("query", F.lit(""))), lambda q: F.transform("c", lambda x: let(word_set(x), lambda w: set_jaccard(q, w))))
     else:
         worth = F.transform("c", lambda x: score(F.col("query"), x))
     kept = cut.select(F.col("doc_id").alias("question_id"), "query", F.posexplode(ranked_distinct(F.col("c"), worth, limit)).alias("rank", "text"))
