@@ -280,7 +280,7 @@ def ocr_compress(spark, sf_dir):
 )
 def ocr_relevance(spark, sf_dir):
     """The chunks of every document by their likeness to its own last eight words, near duplicates left out (at most ten chunks kept, a top-k)."""
-    last = F.slice(text.words(F.col("text")), F.greatest(F.size(text.words(F.col("text"))) - 7, F.lit(1)), F.lit(8))
+    last = text.let(text.words(F.col("text")), lambda w: F.slice(w, F.greatest(F.size(w) - 7, F.lit(1)), F.lit(8)))
     d = read(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(last, " ").alias("asked"))
     return ocr.compress(d, F.col("asked"), 1_000_000_000).select("doc_id", F.col("rank").cast("long").alias("rank"), "text")
 
