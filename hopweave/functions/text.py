@@ -89,6 +89,17 @@ def tokens(c: Column, remove_stopwords: bool = True, min_length: int = 1, stopwo
     return F.filter(found, lambda w: F.length(w) >= min_length) if min_length > 1 else found
 
 
+def counted(c: Column) -> Column:
+    """Of an array of words, the distinct ones as (word, n, first: the place of the first): sorted, each is a run. None for null."""
+
+    def runs(s: Column) -> Column:
+        word = lambda i: F.get(s, i)["word"]
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i < F.size(s)) & ((i == 0) | (word(i) != word(i - 1))))
+        return let(places, lambda p: F.transform(p, lambda a, k: F.struct(word(a).alias("word"), (F.coalesce(F.get(p, k + 1), F.size(s)) - a).cast("long").alias("n"), F.get(s, a)["pos"].alias("first"))))
+
+    return let(F.sort_array(F.transform(c, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))), runs)
+
+
 def tokens_cjk(c: Column) -> Column:
     """Runs of Chinese characters or ASCII alphanumerics: segmentation without a dictionary."""
     return F.regexp_extract_all(c, F.lit("[一-龥]+|[a-zA-Z0-9]+"), 0)

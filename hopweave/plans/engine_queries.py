@@ -16,7 +16,7 @@ from hopweave.operators import evaluate, fusion, ocr, planning, vector
 from hopweave.plans import providers
 from hopweave.plans.providers import ModelSpec, embed, generate
 from hopweave.plans.qa_queries import _HOPS, _Q
-from hopweave.plans.text_queries import _SET, _TOKENS, _WORDS, keywords, read
+from hopweave.plans.text_queries import _SET, _TOKENS, _WORDS, frequent, read
 from hopweave.sources import nodes
 from hopweave.storage import checkpointed, fresh
 from hopweave.streaming.ingest import append_rows
@@ -433,8 +433,7 @@ def sentence_windows(spark, sf_dir):
 def keyword_density(spark, sf_dir):
     """The ten most frequent tokens of each document with weight times words."""
     d = read(spark, sf_dir, "documents")
-    k = keywords(d).join(d.select("doc_id", text.count_words(F.col("text")).alias("words")), "doc_id")
-    return k.select("doc_id", "word", F.round(F.col("weight") * F.col("words")).cast("long").alias("density"))
+    return frequent(d).select("doc_id", "word", F.round(F.col("n") / F.col("total") * F.col("total")).cast("long").alias("density"))
 
 
 @query("select doc_id, array_to_string(list_filter(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda w: w not in ('the', 'of', 'et', 'und')), ' ') as tokens from documents")

@@ -46,13 +46,28 @@ def txt_tokens(spark, sf_dir):
     return t.select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n_tokens"))
 
 
-def keywords(docs: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent tokens of each document with their share; ties go to the first met."""
+def frequent(docs: DataFrame, k: int = 10) -> DataFrame:
+    """doc_id, rank, word, n, total: the k most frequent tokens of each document; ties go to the first met.
+
+    They are counted and cut within the row; only rows that share a doc_id are brought together.
+    """
     t = docs.select("doc_id", text.tokens(F.col("text")).alias("t"))
-    seen = t.select("doc_id", F.size("t").alias("total"), F.posexplode("t").alias("pos", "word"))
-    n = seen.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.first("total").alias("total"))
+    best = lambda c: F.slice(F.sort_array(F.transform(c, lambda x: F.struct((-x["n"]).alias("less"), x["first"].alias("first"), x["word"].alias("word")))), 1, k)
+    row = lambda d: d.select("doc_id", F.size("t").alias("total"), F.posexplode(best(text.counted(F.col("t")))).alias("at", "w")).select("doc_id", (F.col("at") + 1).cast("long").alias("rank"), "w.word", (-F.col("w.less")).alias("n"), "total")
+    shared = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("shared"))
+    if shared.isEmpty():
+        return row(t)
+    same = F.col("doc_id").eqNullSafe(F.col("shared"))
+    seen = t.join(shared, same, "left_semi").select("doc_id", F.size("t").alias("total"), F.inline(text.counted(F.col("t"))))
+    n = seen.groupBy("doc_id", "word").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.first("total").alias("total"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return n.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", F.col("rank").cast("long").alias("rank"), "word", F.round(F.col("n") / F.col("total"), 6).alias("weight"))
+    merged = n.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("doc_id", "rank", "word", "n", "total")
+    return row(t.join(shared, same, "left_anti")).unionByName(merged)
+
+
+def keywords(docs: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent tokens of each document with their share; ties go to the first met."""
+    return frequent(docs, k).select("doc_id", "rank", "word", F.round(F.col("n") / F.col("total"), 6).alias("weight"))
 
 
 @query(
