@@ -7,14 +7,13 @@ number) by broadcast, all others by shuffle, so no word is one task's.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopweave.storage import checkpointed
+from hopweave.functions.text import counted as counts
+from hopweave.storage import bounded_batches, checkpointed
 
 #: A word in more than one of so many (document, word) rows is frequent; there are at most so many of them.
 FREQUENT = 1_000
@@ -22,13 +21,8 @@ FREQUENT = 1_000
 
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, word, n, total of every word of a document."""
-
-    def count(batches):
-        for pdf in batches:
-            rows = [(d, w, n, len(ws)) for d, ws in zip(pdf["doc_id"], pdf["words"]) if ws is not None for w, n in Counter(ws).items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "word", "n", "total"])
-
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "words").mapInPandas(count, "doc_id long, word string, n long, total long")
+    known = docs.where("doc_id is not null and words is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "words")
+    return known.select("doc_id", F.size("words").cast("long").alias("total"), F.inline(counts(F.col("words")))).select("doc_id", "word", "n", "total")
 
 
 def tf_idf(docs: DataFrame, k: int = 10) -> DataFrame:
@@ -65,6 +59,7 @@ def ranked_words(words: list[str], span: int = 5, rounds: int = 10, damping: flo
 
 def text_rank(docs: DataFrame, k: int = 10, span: int = 5, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """doc_id, rank, word, weight (5 decimals): the k words of the highest TextRank of each document; ties go to the word. No shuffle."""
+    bounded_batches(docs.sparkSession)
 
     def work(batches):
         for pdf in batches:
