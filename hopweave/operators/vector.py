@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopweave.functions.text import jaccard
+from hopweave.storage import bounded_batches
 
 #: Query vectors up to this many bytes travel with the closure; larger sets are joined in tiles.
 BROADCAST_BYTES = 64_000_000
@@ -67,6 +68,11 @@ def _unit(ids: pd.Series, rows: pd.Series, zero_uniform: bool) -> tuple[np.ndarr
     return ids.to_numpy()[good], np.where(n > 1e-8, x / np.where(n > 0, n, 1), 1 / d if zero_uniform else x / d)
 
 
+def _first(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k hits of each query."""
+    return hits.sort_values(["query_id", "score", "node_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
 def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, threshold: float | None) -> pd.DataFrame:
     """The best k of one block for each query, by rounded score and id."""
     out = []
@@ -76,7 +82,7 @@ def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
         edge = np.partition(score, score.shape[1] - m, 1)[:, score.shape[1] - m]
         i, j = np.nonzero(score >= np.maximum(edge, -np.inf if threshold is None else threshold)[:, None])
         got = pd.DataFrame({"query_id": qids[s + i], "node_id": ids[j], "score": score[i, j]})
-        out.append(got.sort_values(["query_id", "score", "node_id"], ascending=[True, False, True]).groupby("query_id").head(k))
+        out.append(_first(got, k))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "node_id": [], "score": []})
 
 
@@ -85,9 +91,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float |
 
     queries: (query_id long, vector); corpus: (node_id long, vector). Vectors are normalised (zero query:
     uniform, zero node: zero); nodes of another dimension than the query's, nulls, and vectors with null or
-    non-finite components are never hits, and such queries have none. Every corpus batch keeps its best k per query before anything is shuffled; ties go to the smaller node_id.
+    non-finite components are never hits, and such queries have none. Every task keeps its best k per query before anything is shuffled; ties go to the smaller node_id.
     """
     spark = queries.sparkSession
+    bounded_batches(spark)
     queries = queries.where("vector is not null and size(vector) > 0")
     corpus = corpus.where("vector is not null and size(vector) > 0")
     size = queries.agg(F.sum(8 * F.size("vector") + 16).alias("b")).first()["b"] or 0
@@ -98,10 +105,13 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float |
         shared = spark.sparkContext.broadcast(groups)
 
         def scan(batches):
+            best: dict[int, pd.DataFrame] = {}
             for pdf in batches:
                 for d, g in pdf.groupby(pdf["vector"].map(len)):
                     if d in shared.value:
-                        yield _best(*shared.value[d], *_unit(g["node_id"], g["vector"], False), k, threshold)
+                        found = _best(*shared.value[d], *_unit(g["node_id"], g["vector"], False), k, threshold)
+                        best[d] = _first(pd.concat([best[d], found]), k) if d in best else found
+            yield from best.values()
 
         partial = corpus.select("node_id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(scan, schema)
     else:

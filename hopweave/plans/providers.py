@@ -17,10 +17,11 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.plans.calls import Caller
+from hopweave.storage import bounded_batches
 
 
 @dataclass(frozen=True)
@@ -177,6 +178,7 @@ def generate(df: DataFrame, spec: ModelSpec, prompt: str = "prompt", image: str
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{out}` string, `{out}_error` string"
 
     factories = carried(spec, multimodal)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         adopted(factories)
@@ -197,6 +199,7 @@ def _vectors(column, spec: ModelSpec, kind: str, call):
     """A vector column; asked once for each distinct value of a batch, and, being marked as not deterministic, only once in a plan that also filters by it."""
 
     factories = carried(spec)
+    bounded_batches(SparkSession.active())
 
     @F.pandas_udf("array<float>")
     def run(values: pd.Series) -> pd.Series:
@@ -223,6 +226,7 @@ def rerank_score(question, text, image, spec: ModelSpec, batch: int = 4):
     """The reranker's score of each hit, in calls of up to ``batch`` hits of one question (a text longer than the model takes is cut by its server); null where the call fails."""
 
     factories = carried(spec)
+    bounded_batches(SparkSession.active())
 
     @F.pandas_udf("double")
     def run(questions: pd.Series, texts: pd.Series, images: pd.Series) -> pd.Series:
