@@ -12,6 +12,7 @@ from hopweave.functions import parsing, text
 from hopweave.operators import evaluate, fusion, planning
 from hopweave.plans.text_queries import _EVAL, _WORDS, read
 from hopweave.sources import nodes
+from hopweave.storage import checkpointed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -265,10 +266,10 @@ def fusion_legacy(spark, sf_dir):
 select doc_id, ({_WORDS.format(_EVAL)} = {_WORDS.format(_EVAL.replace('text', 'truth'))})::int::double as exact_match from documents join f using (lang)""")
 def em_score(spark, sf_dir):
     """Exact match of every text with the first of its language."""
-    d = read(spark, sf_dir, "documents")
-    f = d.groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
-    truth = d.select("doc_id", F.col("text").alias("truth")).join(f, "doc_id").select("lang", "truth")  # whole texts don't travel as aggregates
-    return d.join(truth, "lang").select("doc_id", evaluate.exact_match(F.col("text"), F.col("truth")).alias("exact_match"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", evaluate.normal_digest(F.col("text")).alias("digest"))
+    d = checkpointed(d)  # every text is normalised once, and only digests are joined
+    truth = d.where("doc_id is not null").groupBy("lang").agg(F.min_by("digest", "doc_id").alias("truth"))
+    return d.join(truth, "lang").select("doc_id", (F.col("digest") == F.col("truth")).cast("double").alias("exact_match"))
 
 
 def _results(spark, sf_dir):
